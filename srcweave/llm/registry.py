@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import op9_quality_rules
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_quality_rules,)}
 ORACLES: dict[str, str] = {}
