@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .license_scan import op10_license_scan
 from .quality_rules import op9_quality_rules
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op9_quality_rules, op10_license_scan,)}
 ORACLES: dict[str, str] = {}
