@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
 from .license_scan import op10_license_scan
 from .quality_rules import op9_quality_rules
 from .sharding import op3_feistel_sharding
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_feistel_sharding, op9_quality_rules, op10_license_scan,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_feistel_sharding, op8_decontamination, op9_quality_rules, op10_license_scan,)}
 ORACLES: dict[str, str] = {}
