@@ -139,3 +139,44 @@ def test_decontamination(docs, rows, empty, spark, sf_dir):
         D.BLOCK_WORDS = old
     assert D.decontaminate(empty, bench).count() == 0
     assert all(not r.hits for r in D.decontaminate(docs, bench.where("false")).collect())
+
+
+def _pii_by_patterns(t):
+    def luhn(s):
+        return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(int(c) for c in reversed(s))) % 10 == 0
+
+    def digits(s):
+        return "".join(c for c in s if c in "0123456789")
+
+    out = {"email": [], "ip": [], "card": [], "phone": []}
+    out["email"] = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out["card"] = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out["phone"] = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return [f"{k}:{a}:{b}" for k, v in out.items() for a, b in v]
+
+
+def test_pii(docs, rows, empty):
+    from srcweave.llm.pii import BASE, find_pii
+
+    got = sorted((str(r.doc_id), [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind in BASE]) for r in find_pii(docs).collect())
+    assert got == sorted((str(i), _pii_by_patterns(t)) for i, t in rows)
+    assert find_pii(empty).count() == 0
+
+
+def test_pii_against_patterns_on_odd_strings():
+    import random
+
+    from srcweave.llm.pii import BASE, KINDS, _automaton, find
+
+    automaton, rng = _automaton(), random.Random(5)
+    for _ in range(4000):
+        t = "".join(rng.choice("a.@@b-+ 11223344()5.67 é%4111") for _ in range(rng.randrange(60)))
+        assert [f"{KINDS[k]}:{s}:{e}" for k, s, e in find(t, automaton) if KINDS[k] in BASE] == _pii_by_patterns(t), t
+
+
+def test_pii_of_its_own_kinds():
+    from srcweave.llm.pii import KINDS, _automaton, find
+
+    t = 'See https://x.org/a?b=1. Account no: 12345678, token = "04dbeb" at 12 Old Mill Road; no cue 5 here'
+    assert [(KINDS[k], t[s:e]) for k, s, e in find(t, _automaton())] == [("url", "https://x.org/a?b=1"), ("account", "12345678"), ("account", "04dbeb"), ("address", "12 Old Mill Road")]
