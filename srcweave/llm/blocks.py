@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
+from .textkit import buffers
 
 BLOCK_BYTES = 8 << 20
 SLICE_VALUES = 1 << 20
@@ -29,36 +30,40 @@ U = np.uint64
 def _pack(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, seq = TaskContext.get().partitionId(), 0
-    ids: list = []
-    texts: list = []
-    size = 0
+    part, seq, size = TaskContext.get().partitionId(), 0, 0
+    held: list[pa.RecordBatch] = []
 
     def row():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], ["block", "ids", "texts"]
-        )
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n = rows.num_rows
+        lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c.chunk(0)) for c in rows.columns]
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | seq], pa.int64()), *lists], ["block", *rows.schema.names])
 
     for b in it:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t or "") + 16
+        _, off = buffers(b.column("text"))
+        lo = 0
+        while lo < b.num_rows:
+            hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit - size, "right"))), b.num_rows)
+            held.append(b.slice(lo, hi - lo))
+            size += int(off[hi] - off[lo])
+            lo = hi
             if size >= limit:
                 yield row()
-                ids, texts, size, seq = [], [], 0, seq + 1
-    if ids:
+                held, size, seq = [], 0, seq + 1
+    if held:
         yield row()
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(blocks table (block, ids, texts) bucketed by block, bytes of all texts)."""
+def pack(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(blocks table (block, ids, texts, and each column of keep as an array), bucketed by block; bytes of all texts)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    more = [F.col(c).alias(f"x{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(math.ceil(size / (2 * block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"blocks_{uuid.uuid4().hex[:12]}"
-    packed = rows.mapInArrow(lambda it: _pack(it, block_bytes), "block long, ids array<long>, texts array<string>")
+    schema = "block long, " + ", ".join(f"{c} array<{t}>" for c, t in rows.dtypes)
+    packed = rows.mapInArrow(lambda it: _pack(it, block_bytes), schema)
     packed.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(spark, name)).bucketBy(n, "block").saveAsTable(name)
     return spark.table(name), size
 
@@ -89,8 +94,9 @@ def ask(blocks: DataFrame, fn: Callable[[dict], Iterator[tuple[int, bytes]]]) ->
 
 
 def row(one: pa.RecordBatch) -> dict:
-    """A block as {ids: Arrow array, texts: Arrow array, replies: {(kind, slice): data}}."""
-    out = {"ids": one.column("ids").flatten(), "texts": one.column("texts").flatten(), "replies": {}}
+    """A block as {block, ids, texts and kept columns: Arrow arrays, replies: {(kind, slice): data}}."""
+    kept = [one.column(c).flatten() for c in one.schema.names if c[0] == "x"]
+    out = {"block": one.column("block")[0].as_py(), "ids": one.column("id").flatten(), "texts": one.column("text").flatten(), "kept": kept, "replies": {}}
     if "replies" in one.schema.names:
         out["replies"] = {(r["kind"], r["slice"]): r["data"] for r in (one.column("replies")[0].as_py() or [])}
     return out

@@ -126,10 +126,15 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
-def words(texts: pa.Array, table: np.ndarray = SPACED, fold: bool = False) -> Words:
-    """Words of each text by a byte table, after folding A-Z if asked."""
+#: Lines: runs of anything but line feeds.
+LINES = np.ones(256, bool)
+LINES[0x0A] = False
+
+
+def words(texts: pa.Array, table: np.ndarray = SPACED, fold: bool = False, blank: int = 32) -> Words:
+    """Words of each text by a byte table, after folding A-Z if asked. blank: a byte that no word has."""
     raw, off = buffers(texts)
-    buf = np.insert(raw, off[1:], np.uint8(32))
+    buf = np.insert(raw, off[1:], np.uint8(blank))
     if fold:
         buf = LOWER[buf]
     inside = table[buf]
