@@ -155,9 +155,6 @@ def _hits(w: Words, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
 
 
-SCHEMA = "doc_id long, text string, n_words long, hits array<int>, items array<string>"
-
-
 def _search(it, shared):
     index, names = shared.value
     for b in it:
@@ -174,10 +171,8 @@ def _search(it, shared):
             for d in np.unique(doc[hit]).tolist():
                 hits[d] = sorted({*hits[d], *(hit[doc[hit] == d] - w.first[d]).tolist()})
                 items[d] = sorted({*items[d], *(names[i] for i in np.unique(item[doc[start] == d]).tolist())})
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text"), pa.array(w.counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "hits", "items"],
-            )
+            found = [part.column("doc_id"), part.column("text"), pa.array(w.counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*found, *part.columns[5:]], part.schema.names)
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list[str], pa.Array]]:
@@ -193,16 +188,18 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list[str], pa.Array]]:
     yield names, pa.array(texts, pa.string())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document (doc_id, text, n_words, hits: numbers of the words inside an item's window, items: ids found)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document (doc_id, text, n_words, hits: numbers of the words inside an item's window, items: ids found, and the columns of keep)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    more = [F.col(c).alias(f"x{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    out = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *[F.col(f"x{i}") for i in range(len(keep))])
+    schema = ", ".join(f"{c} {t}" for c, t in out.dtypes)
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
     for names, texts in _blocks(items):
         shared = spark.sparkContext.broadcast((_index(rows.select("text"), texts), names))
-        out = out.mapInArrow(lambda it, shared=shared: _search(it, shared), SCHEMA)
-    return out
+        out = out.mapInArrow(lambda it, shared=shared: _search(it, shared), schema)
+    return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(keep)})
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

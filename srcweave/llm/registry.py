@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .jaccard_join import op6_jaccard_join
 from .license_scan import op10_license_scan
+from .line_dedup import op2_line_dedup
+from .packing import op5_packing
+from .pii import op7_pii
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op9_quality_rules
 from .sharding import op3_feistel_sharding
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_feistel_sharding, op8_decontamination, op9_quality_rules, op10_license_scan,)}
+_ALL = (
+    op1_substring_dedup,
+    op2_line_dedup,
+    op3_feistel_sharding,
+    op4_quality_classifier,
+    op5_packing,
+    op6_jaccard_join,
+    op7_pii,
+    op8_decontamination,
+    op9_quality_rules,
+    op10_license_scan,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
