@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Node labels, in the order in which they name a node with several.
+#: Node labels.
 NODE_LABELS = (
-    "File", "Class", "Interface", "Function", "Component", "Variable", "Type",
-    "Import", "Commit", "MarkdownDocument", "Section", "CodeBlock", "Link",
+    "File", "Class", "Interface", "Function", "Variable", "Import", "Type", "Component", "Commit",
+    "MarkdownDocument", "Section", "CodeBlock", "Link",
 )
 #: Edge types that statistics report.
 EDGE_LABELS = (
-    "CONTAINS", "IMPORTS", "IMPORTS_SYMBOL", "EXPORTS", "CALLS", "INSTANTIATES", "EXTENDS", "IMPLEMENTS", "USES_TYPE",
-    "RETURNS", "HAS_PARAM", "HAS_METHOD", "HAS_PROPERTY", "RENDERS", "USES_HOOK", "INTRODUCED_IN", "MODIFIED_IN",
-    "DELETED_IN", "READS", "WRITES", "FLOWS_TO", "HAS_SECTION", "PARENT_SECTION", "CONTAINS_CODE", "LINKS_TO",
+    "CONTAINS", "IMPORTS", "IMPORTS_SYMBOL", "CALLS", "EXTENDS", "IMPLEMENTS", "USES_TYPE", "RETURNS", "HAS_PARAM",
+    "HAS_METHOD", "HAS_PROPERTY", "RENDERS", "USES_HOOK", "INTRODUCED_IN", "MODIFIED_IN", "DELETED_IN", "READS",
+    "WRITES", "FLOWS_TO", "EXPORTS", "INSTANTIATES", "HAS_SECTION", "PARENT_SECTION", "CONTAINS_CODE", "LINKS_TO",
 )
 
 PARAMS = "array<struct<name:string,type:string,optional:boolean,defaultValue:string,isRest:boolean>>"
@@ -62,5 +62,5 @@ def extractor_id(path: Column, kind: Column, name: Column, line: Column) -> Colu
 
 def label_of(labels: Column) -> Column:
     """A node's label: the first known of its labels; else Class if external; else File."""
-    known = F.filter(F.array(*map(F.lit, NODE_LABELS)), lambda x: F.array_contains(labels, x))
+    known = F.filter(labels, lambda x: x.isin(*NODE_LABELS))
     return F.when(F.size(known) > 0, known[0]).when(F.array_contains(labels, "External"), F.lit("Class")).otherwise(F.lit("File"))
