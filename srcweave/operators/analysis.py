@@ -37,7 +37,7 @@ def impact_tier(score: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     """The five patterns by which a file is a test."""
-    return path.rlike(r"\.test\.[jt]sx?$|\.spec\.[jt]sx?$|__tests__/|/tests?/|_test\.(py|go)$")
+    return path.rlike(r"\.test\.[jt]sx?$|\.spec\.[jt]sx?$|__tests__/|/tests?/|\.tests?\.[jt]sx?$")
 
 
 def is_test_name(path: Column) -> Column:
@@ -106,8 +106,9 @@ def coupling_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.round(avg, 1).alias("avg_score"), F.max("score").alias("max_score"), F.count_if("candidate").alias("candidates"), level.alias("level"))
 
 
-def needs_refactoring(functions: int, average: float, complexity: float) -> bool:
-    return functions > 20 or average > 6 or complexity > 10
+def needs_refactoring(functions: Column, average: Column) -> Column:
+    """A file with more than 15 functions, or with an average coupling above medium."""
+    return (functions > 15) | (average > 6)
 
 
 def responsibilities(functions: DataFrame, calls: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ class PropertyGraph:
         core = center.unionAll(inside).distinct()
         around = self.expand(inside, direction="both").select(F.col("other").alias("id"))
         ids = core.unionAll(around).distinct()
-        edges = self.edges.join(core.withColumnRenamed("id", "src"), "src", "left_semi").unionAll(self.edges.join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        edges = self.edges.join(core.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(self.edges.join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi"))
         return PropertyGraph(self.nodes.join(ids, "id", "left_semi"), edges.dropDuplicates(["src", "dst", "label"]))
 
     def full(self, limit: int = 1000, prefix: str | None = None) -> PropertyGraph:

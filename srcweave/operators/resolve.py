@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import first_by
 
-#: Endings tried for a relative import, in order; a .js or .jsx ending may stand for these.
+#: Endings tried for a relative import without one, in order, and what else an ending may stand for.
 IMPORT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
-IMPORT_INDEXES = ("/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+ENDING_SWAPS = {".js": (".ts", ".tsx"), ".jsx": (".tsx", ".ts"), ".mjs": (".mts", ".ts"), ".cjs": (".cts", ".ts")}
 
 
 def resolve_names(refs: DataFrame, known: DataFrame, imports: DataFrame) -> DataFrame:
@@ -46,11 +46,20 @@ def dirname(path: Column) -> Column:
 
 
 def import_candidates(imports: DataFrame) -> DataFrame:
-    """Relative imports (file_path, source) with every path to try (candidate) and its rank (pos)."""
-    base = normalized(F.concat(dirname(F.col("file_path")), F.lit("/"), F.col("source")))
-    swap = F.when(F.col("_b").rlike(r"\.jsx?$"), F.array(F.regexp_replace("_b", r"\.jsx?$", ".ts"), F.regexp_replace("_b", r"\.jsx?$", ".tsx"))).otherwise(F.array().cast("array<string>"))
-    tries = F.concat(F.array("_b"), swap, F.array(*[F.concat("_b", F.lit(x)) for x in IMPORT_ENDINGS + IMPORT_INDEXES]))
-    rel = imports.where(F.col("source").startswith(".")).withColumn("_b", base)
+    """Relative or absolute imports (file_path, source) with every path to try (candidate) and its rank (pos).
+
+    With an ending: the path itself, then its swaps. Without: each ending, then an index file with each.
+    """
+    source = F.col("source")
+    base = normalized(F.when(source.startswith("/"), source).otherwise(F.concat(dirname(F.col("file_path")), F.lit("/"), source)))
+    ending = F.regexp_extract("source", r"[^/.][^/]*?(\.[^./]*)$", 1)
+    bare = F.expr("substring(_b, 1, length(_b) - length(_e))")
+    swaps = F.array().cast("array<string>")
+    for old, new in ENDING_SWAPS.items():
+        swaps = F.when(F.col("_e") == old, F.array(*[F.concat(bare, F.lit(x)) for x in new])).otherwise(swaps)
+    plain = F.array(*[F.concat("_b", F.lit(x)) for x in IMPORT_ENDINGS], *[F.concat("_b", F.lit(f"/index{x}")) for x in IMPORT_ENDINGS])
+    tries = F.when(F.col("_e") != "", F.concat(F.array("_b"), swaps)).otherwise(plain)
+    rel = imports.where(source.startswith(".") | source.startswith("/")).withColumn("_b", base).withColumn("_e", ending)
     return rel.select(*imports.columns, F.posexplode(tries).alias("pos", "candidate"))
 
 
