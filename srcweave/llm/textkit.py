@@ -15,6 +15,7 @@ import pyarrow as pa
 U = np.uint64
 _GOLD, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 CHUNK = 1 << 20
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -96,14 +97,23 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
     def hashes(self) -> np.ndarray:
-        if not len(self):
-            return np.empty(0, U)
-        lens = self.ends - self.starts
-        at = np.cumsum(lens) - lens
-        total = int(lens.sum())
-        pos = np.arange(total) - np.repeat(at, lens)
-        inside = np.repeat(self.starts - at, lens) + np.arange(total)
-        v = _BYTE[self.buf[inside]] * _powers(int(lens.max()))[pos]
+        out = np.empty(len(self), U)
+        size = np.cumsum(self.ends - self.starts)
+        lo = 0
+        while lo < len(out):  # in pieces, so that the bytes' places and values stay in the cache
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, "right")))
+            out[lo:hi] = self._hashes(self.starts[lo:hi], self.ends[lo:hi])
+            lo = hi
+        return out
+
+    def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        lens = (ends - starts).astype(np.int32)
+        at = np.cumsum(lens, dtype=np.int32) - lens
+        every = np.arange(int(lens.sum()), dtype=np.int32)
+        base = int(starts[0])
+        pos = every - np.repeat(at, lens)
+        inside = np.repeat((starts - base).astype(np.int32), lens) + pos
+        v = _BYTE[self.buf[base : int(ends[-1])][inside]] * _powers(int(lens.max()))[pos]
         return mix(np.add.reduceat(v, at) + lens.astype(U) * _GOLD)
 
     def text_of(self, keep: np.ndarray) -> pa.Array:
