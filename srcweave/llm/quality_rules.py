@@ -26,6 +26,7 @@ BUCKETS = 1 << 16
 TRUSTED = 20_000
 PRIOR = 20_000.0
 THRESHOLD = -0.2
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
 
 
 def _buckets(w: Column) -> Column:
@@ -108,11 +109,14 @@ def _words_buckets(text: Column) -> Column:
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` and a struct ``rules``: the counts, score, base_failed, kept."""
     weights = ratio_weights(docs, trusted, id_col, text_col).scalar()
-    r = F.col("rules")
-    failed = (r["n_words"] < 10) | (100 * r["n_repeat_words"] > 20 * r["n_words"])
-    kept = ~failed & (r["score"] >= F.lit(threshold))
-    scored = docs.withColumn("_weights", weights).select(*docs.columns, base_counts(F.col(text_col), F.col("_weights")).alias("rules"))
-    return scored.withColumn("rules", r.withField("base_failed", failed).withField("kept", kept))
+
+    def judged(r: Column) -> Column:
+        failed = (r["n_words"] < 10) | (100 * r["n_repeat_words"] > 20 * r["n_words"])
+        return F.struct(*[r[c].alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & (r["score"] >= F.lit(threshold))).alias("kept"))
+
+    # one expression for all of it: a filter on ``kept`` that is pushed below then computes it once
+    rules = let(base_counts(F.col(text_col), F.col("_weights")), judged).alias("rules")
+    return docs.withColumn("_weights", weights).select(*[c for c in docs.columns if c != "rules"], rules)
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:
