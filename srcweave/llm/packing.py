@@ -13,8 +13,8 @@ The ``QUEUES`` - 1 sources with most bytes have queues of their own and all othe
 on the driver. Tokens are made once and written; the places of documents in their queues come from one sum for each
 task and queue. A hot source is spread over all tasks like any other.
 
-Words are encoded once for each worker: the tokenizer never joins anything across ASCII white space, so a text's ids
-are its words' ids end to end.
+Words are encoded once for each worker process: the tokenizer never joins anything across ASCII white space, nor across
+an ASCII letter and an ASCII digit or sign, so a text's ids are its words' ids end to end.
 
 Cases: a null or empty text is its end token alone; a null source is a source; repeated rows are packed each; an empty
 table gives an empty result. Only the id, text and source columns are read.
@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import scratch
-from .textkit import SPACED, chunks, words
+from .textkit import LOWER, SPACED, Words, chunks, words
 
 LENGTH = 2048
 END = 1
 QUEUES = 32
 KNOWN_WORDS = 1_000_000
+BROADCAST_ROWS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -45,8 +46,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+_ALPHA = np.zeros(256, bool)
+_ALPHA[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER = np.zeros(256, bool)
+_OTHER[0x21:0x7F] = True
+_OTHER[_ALPHA] = False
+_OTHER[0x27] = False
+
+
+def _units(texts: pa.Array) -> Words:
+    """What is encoded by itself: words, cut further between an ASCII letter and an ASCII digit or sign.
+
+    The tokenizer lower-cases, and no token of it spans white space or such a cut; apostrophes begin contractions and
+    so never make one. Capitals before anything beyond ASCII stay: the tokenizer composes marks before it lower-cases.
+    """
+    w = words(texts, SPACED)
+    buf = np.where(np.append(w.buf[1:], np.uint8(32)) < 128, LOWER[w.buf], w.buf)
+    alpha, other = _ALPHA[buf], _OTHER[buf]
+    cut = np.flatnonzero((alpha[:-1] & other[1:]) | (other[:-1] & alpha[1:])) + 1
+    starts, ends = np.sort(np.concatenate([w.starts, cut])), np.sort(np.concatenate([w.ends, cut]))
+    begin = np.append(w.starts, len(w.buf))[w.first]
+    return Words(buf, starts, ends, np.searchsorted(starts, begin))
+
+
 class Encoder:
-    """Ids of texts by way of the ids of their words; holds up to KNOWN_WORDS words."""
+    """Ids of texts by way of the ids of their words; holds up to KNOWN_WORDS words, sorted by hash."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,34 +81,33 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.known)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-            if k >= len(self.at):
-                self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = k
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + total))
+        self.flat[self.used : self.used + total] = np.fromiter((x for v in lists for x in v), np.uint32, total)
+        place = np.searchsorted(self.known, hashes)
+        at = self.used + np.cumsum(size) - size
+        self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.used += total
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by END; number of ids of each)."""
-        w = words(texts, SPACED)
+        w = _units(texts)
         distinct, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KNOWN_WORDS:
             self.clear()
-        names = distinct.tolist()
-        new = [k for k, h in enumerate(names) if h not in self.known]
-        if new:
+        slot = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero((slot == len(self.known)) | (np.append(self.known, np.uint64(0))[slot] != distinct))
+        if len(new):
             raw, s, e = w.buf.tobytes(), w.starts[first[new]].tolist(), w.ends[first[new]].tolist()
-            self._learn([names[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
-        slot = np.fromiter((self.known[h] for h in names), np.int64, len(names))
+            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            slot = np.searchsorted(self.known, distinct)
         # the end token takes part as one more word after each text's words
         place = np.arange(len(w)) + w.doc()
         n = np.ones(len(w) + len(texts), np.int64)
@@ -99,10 +122,20 @@ class Encoder:
         return out, np.diff(ends, prepend=0)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, which goes on to other tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _tokens(it, path: str, queues: dict, other: int):
     from pyspark import TaskContext
 
-    part, encoder, given = TaskContext.get().partitionId(), Encoder(path), np.zeros(other + 1, np.int64)
+    part, encoder, given = TaskContext.get().partitionId(), _encoder(path), np.zeros(other + 1, np.int64)
     for b in it:
         for lo, hi in chunks(b.column("text")):
             rows = b.slice(lo, hi - lo)
@@ -243,6 +276,9 @@ def pack_sequences(
     plan = phases(totals, target, length)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    starts = scratch.materialize(starts, "starts")
+    if starts.count() <= BROADCAST_ROWS:  # a row for each task and queue; beyond that size the join shuffles
+        starts = F.broadcast(starts)
     placed = made.join(starts, ["queue", "part"]).withColumn("start", F.col("start") + F.col("base")).select("doc_id", "queue", "start", "n", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return placed.mapInArrow(lambda it: _pieces(it, plan, with_ids), schema)
