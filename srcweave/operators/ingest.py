@@ -216,7 +216,7 @@ def index(files: DataFrame, root: str = "", registry: Registry | None = None, pr
         nodes = nodes.unionByName(spark.createDataFrame([(f"Project:{project}", "Project", project)], "id string, label string, name string"), allowMissingColumns=True)
         edges = edges.unionByName(fr.select(F.lit(f"Project:{project}").alias("src"), fid(F.col("path")).alias("dst"), F.lit("HAS_FILE").alias("label"), *none))
     edges = edges.select(*[c.split()[0] for c in EDGE_SCHEMA.split(", ")])
-    return Snapshot(fr, x, PropertyGraph(nodes, scratch.materialize(edges, "graph_edges")))
+    return Snapshot(fr, x, PropertyGraph(scratch.materialize(nodes, "graph_nodes"), scratch.materialize(edges, "graph_edges")))
 
 
 def replace_files(old: PropertyGraph, changed: PropertyGraph, removed: DataFrame) -> PropertyGraph:
@@ -229,7 +229,7 @@ def replace_files(old: PropertyGraph, changed: PropertyGraph, removed: DataFrame
     nodes = kept.nodes.unionByName(changed.nodes.join(kept.nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
     again = old.edges.join(changed.nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(kept.nodes.select(F.col("id").alias("src")), "src", "left_semi")
     edges = kept.edges.unionByName(changed.edges).unionByName(again).dropDuplicates(["src", "dst", "label"])
-    return PropertyGraph(nodes, edges)
+    return PropertyGraph(scratch.materialize(nodes, "nodes"), scratch.materialize(edges, "graph_edges"))
 
 
 __all__ = ["PARAMS", "PROPS", "SPECIFIERS", "Registry", "Snapshot", "default_registry", "extract", "index", "replace_files", "rows_of"]
