@@ -6,6 +6,7 @@ from .decontamination import op8_decontamination
 from .jaccard_join import op6_jaccard_join
 from .license_scan import op10_license_scan
 from .line_dedup import op2_line_dedup
+from .oracles import ORACLES
 from .packing import op5_packing
 from .pii import op7_pii
 from .quality_classifier import op4_quality_classifier
@@ -26,4 +27,5 @@ _ALL = (
     op10_license_scan,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
