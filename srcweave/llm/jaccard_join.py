@@ -7,13 +7,16 @@ of its first shingle, and the triangle inequality bounds where a partner within
 distance 0.2 share one of the first n/5 + 1 shingles of either. A document is replicated to the regions of just these
 (its window), so every link lies inside some region. Inside regions, documents are pivots:
 
-1. A round draws one pivot in each region that still holds more than one component, measures it exactly against the
-   region's documents outside its own component, and merges what lies within the radius. Documents that a pivot
-   links are one component from then on and need no comparison with each other, so a group of copies of any size
-   costs one comparison for each member, not one for each pair.
-2. After ``ROUNDS`` rounds the regions left over join exhaustively, but only pairs of different components, within
-   the length and position bounds, and not set apart by the triangle inequality: where a common pivot's distances
-   differ by more than the radius, the pair can't be linked.
+1. First the regions of each document's rarest shared shingles are taken, and each document is measured exactly
+   against the pivot of most of them; what lies within the radius is merged. Documents that a pivot links are
+   one component from then on and need no comparison with each other, so a group of copies of any size costs a
+   few comparisons for each member, not one for each pair.
+2. Then all regions are looked at, and those that hold more than one component go on: a round draws one more pivot in
+   each, measures it against the documents outside its component, and regions that became one component drop out.
+3. After ``ROUNDS`` rounds the regions left over join exhaustively, but only pairs of different components, each at its
+   first common shingle, within the length and position bounds, and not set apart by the triangle inequality: by the
+   distances to common pivots that differ by more than the radius, or by the numbers of shingles in ``CLASSES`` hash
+   classes, which act as pivots too (in all classes together two sets share at most the sum of the smaller numbers).
 
 Documents with equal sets count as one from the start (the one with the least id stands for them), and documents
 whose window has no shingle in common with any other document leave at once. Frequencies come from an exchange of
@@ -42,6 +45,10 @@ from .textkit import SPACED, grams, mix, words
 
 SHINGLE = 5
 ROUNDS = 3
+FIRST = 8
+CLASSES = 32  # hash classes of shingles, by which sets are told apart
+BROADCAST_ROWS = 1_000_000
+PIVOTS = 64
 CELLS = 1 << 26
 U = np.uint64
 MAX_ID = np.iinfo(np.int64).max
@@ -120,11 +127,11 @@ def _merge(sent: list[bytes]) -> list[bytes]:
     return [B.bits(x) for x in np.split(first, np.cumsum(sizes)[:-1])]
 
 
-_ROWS = "block long, place int, doc_id long, n long, key long, ids binary, tokens array<long>, places array<int>"
+_ROWS = "block long, place int, doc_id long, n long, print long, key long, ids binary, counts array<smallint>, tokens array<long>, places array<int>"
 
 
 def _rows(block: dict, slices: int) -> pa.RecordBatch:
-    """Every document's size and set key; sets and windows of those that stand for a set and may have partners."""
+    """Every document's size and set's fingerprint; sets and windows of those that stand for a set and may have partners."""
     s = _Sets(block, slices)
     cells = np.unique(s.cells)
     level = np.zeros(len(cells), np.uint8)
@@ -139,6 +146,7 @@ def _rows(block: dict, slices: int) -> pa.RecordBatch:
     sets: list = [None] * len(s.sizes)
     tokens: list = [None] * len(s.sizes)
     places: list = [None] * len(s.sizes)
+    counts: list = [None] * len(s.sizes)
     for d in first[stands].tolist():
         a, z = s.first[d], s.first[d + 1]
         h, lv = s.all[a:z], level[a:z]
@@ -146,10 +154,14 @@ def _rows(block: dict, slices: int) -> pa.RecordBatch:
         shared = np.flatnonzero(lv[rank] > 0)
         if len(shared):
             sets[d] = B.encode(np.unique(mix(h[lv > 0], 5) >> U(16)))
+            if len(h) < 1 << 15:
+                counts[d] = np.bincount((mix(h[lv > 0], 6) >> U(59)).astype(np.int64), minlength=CLASSES).astype(np.int16)
             tokens[d] = h[rank[shared]].view(np.int64)
             places[d] = shared.astype(np.int32)
+    part, seq = divmod(block["block"], 1 << 32)
+    place = np.arange(len(s.sizes))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block["block"]] * len(s.sizes), pa.int64()), pa.array(range(len(s.sizes)), pa.int32()), block["ids"], pa.array(s.sizes), pa.array(s.f1.view(np.int64)), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+        [pa.array([block["block"]] * len(place), pa.int64()), pa.array(place, pa.int32()), block["ids"], pa.array(s.sizes), pa.array(s.f1.view(np.int64)), pa.array((part << 40 | seq << 24) + place), pa.array(sets, pa.binary()), pa.array(counts, pa.list_(pa.int16())), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
         [c.split()[0] for c in _ROWS.split(", ")],
     )
 
@@ -170,14 +182,18 @@ def _measure(it):
 
 #: 100 * common >= 80 * union, in whole numbers.
 LINKED = "9 * common >= 4 * (n_a + n_b)"
-#: Bounds on a pair in a region: sizes, and what is left after the token on either side.
-POSSIBLE = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)"
+#: Bounds on a pair: sizes; what is left after a common token on either side; what the classes have in common at most.
+SIZES = "5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+POSSIBLE = f"{SIZES} and 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)"
+CLASSED = "coalesce(9 * aggregate(zip_with(counts_a, counts_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) >= 4 * (n_a + n_b), true)"
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("key").alias("a"), F.col("ids").alias("set_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("ids").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_measure, "a long, b long, n_a long, n_b long, common long")
+    """(a, b, n_a, n_b, common) of the pairs (a, b) that neither sizes nor classes rule out."""
+    side = lambda x, *cols: sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    some = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").where(f"{SIZES} and {CLASSED}").select("a", "b", "n_a", "n_b")
+    both = some.join(side("a", "ids"), "a").join(side("b", "ids"), "b").withColumnsRenamed({"ids_a": "set_a", "ids_b": "set_b"})
+    return both.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_measure, "a long, b long, n_a long, n_b long, common long")
 
 
 def _relabel(labels: DataFrame, linked: DataFrame) -> DataFrame:
@@ -203,48 +219,74 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     stands = rows.where("ids is not null")
     name = f"sets_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stands.select("key", "ids").write.format("parquet").option("path", scratch.new_path(spark, name)).bucketBy(buckets, "key").saveAsTable(name)
+    stands.select("key", "n", "counts", "ids").write.format("parquet").option("path", scratch.new_path(spark, name)).bucketBy(buckets, "key").saveAsTable(name)
     sets = spark.table(name)
-    windows = stands.select("key", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("at"))).alias("token", "at"))
-    crowded = windows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    regions = scratch.materialize(windows.join(crowded, "token", "left_semi"), "regions")
-    labels = stands.select("key", F.col("key").alias("c"))
-    tested: DataFrame | None = None
-    for r in range(ROUNDS + 1):
-        now = regions.join(labels, "key").select("token", "key", "n", "at", "c")
-        open_ = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("key", "n", "at", "c"), F.xxhash64("key", F.lit(r))).alias("p")).where("lo <> hi")
+    windows = stands.select("key", "n", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("at"))).alias("k", "x"))
+    windows = windows.select("x.token", "key", "n", "x.at", "k")
+
+    # first the rarest tokens only: each document meets the pivot (least key) of most of its regions
+    few = stands.select("key", F.explode(F.slice("tokens", 1, FIRST)).alias("token"))
+    heads = few.groupBy("token").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b")
+    met = few.join(heads, "token").where("key <> b").groupBy("key", "b").agg(F.count("*").alias("m"))
+    pairs = met.groupBy("key").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b")).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    tested = scratch.materialize(_measured(pairs, sets), "measured")
+    linked = tested.where(LINKED)
+    keys = linked.select(F.col("a").alias("key")).unionAll(linked.select("b")).distinct()
+    labels = _relabel(keys.withColumn("c", F.col("key")), linked)
+
+    # then every token: the regions that still hold more than one component
+    named = stands.select("key", "tokens").join(labels, "key", "left").select(F.explode("tokens").alias("token"), F.coalesce("c", "key").alias("c"))
+    open_ = scratch.materialize(named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token"), "crowded")
+    if open_.count() <= BROADCAST_ROWS:
+        open_ = F.broadcast(open_)
+    regions = scratch.materialize(windows.join(open_, "token", "left_semi"), "regions")
+    keys = regions.select("key").distinct().join(labels, "key", "left_anti").withColumn("c", F.col("key"))
+    labels = scratch.materialize(labels.unionByName(keys), "labels")
+
+    for r in range(1, ROUNDS + 1):
+        now = regions.join(labels, "key")
+        crowds = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("key", "n", "at", "c"), F.xxhash64("key", F.lit(r))).alias("p")).where("lo <> hi")
+        now = scratch.materialize(now.join(crowds.select("token", "p"), "token"), "open")
+        if now.isEmpty():
+            break
         if r == ROUNDS:
-            left = scratch.materialize(now.join(open_.select("token"), "token", "left_semi"), "left")
-            far = tested.select(F.col("a").alias("key"), "b", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"))
-            far = far.groupBy("key").agg(F.collect_list(F.struct("b", "d")).alias("far"))
-            left = left.join(far, "key", "left")
-            x, y = left.select(*[F.col(c).alias("a" if c == "key" else f"{c}_a" if c != "token" else c) for c in left.columns]), left.select(*[F.col(c).alias("b" if c == "key" else f"{c}_b" if c != "token" else c) for c in left.columns])
-            apart = F.coalesce(F.exists("far_a", lambda p: F.exists("far_b", lambda q: (p["b"] == q["b"]) & (F.abs(p["d"] - q["d"]) > 0.2 + 1e-9))), F.lit(False))
-            pairs = x.join(y, "token").where(f"a < b and c_a <> c_b and {POSSIBLE}").where(~apart).select("a", "b", "n_a", "n_b").distinct()
+            pairs = _left_over(now, tested, stands)
         else:
-            pivots = open_.select("token", F.col("p.key").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"), F.col("p.c").alias("c_b"))
-            near = now.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"))
-            pairs = near.join(pivots, "token").where(f"c_a <> c_b and {POSSIBLE}").select("a", "b", "n_a", "n_b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            near = now.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), F.col("p.key").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"), F.col("p.c").alias("c_b"))
+            pairs = near.where(f"c_a <> c_b and {POSSIBLE}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         done = scratch.materialize(_measured(pairs, sets), "measured")
-        tested = done if tested is None else tested.unionAll(done)
+        tested = tested.unionAll(done)
         labels = _relabel(labels, done.where(LINKED))
-        if r < ROUNDS:
-            still = regions.join(labels, "key").groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-            regions = scratch.materialize(regions.join(still, "token", "left_semi"), "regions")
-            if regions.isEmpty():
-                break
+        regions = now.select("token", "key", "n", "at", "k")
     return rows, labels
 
 
+def _left_over(now: DataFrame, tested: DataFrame, stands: DataFrame) -> DataFrame:
+    """Pairs of different components that share a region and that neither bounds, classes nor pivots rule out, each at
+    its first common token only."""
+    d = (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d")
+    far = tested.select(F.col("a").alias("key"), "b", d).unionAll(tested.select(F.col("b").alias("key"), F.col("a").alias("b"), d))
+    pivots = far.groupBy("b").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "b").limit(PIVOTS).select("b")
+    far = far.join(F.broadcast(pivots), "b").groupBy("key").agg(F.collect_list(F.struct("b", "d")).alias("far"))
+    own = stands.select("key", "tokens", "counts").join(now.select("key").distinct(), "key", "left_semi").join(far, "key", "left")
+    rows = scratch.materialize(now.drop("p").join(own, "key"), "left")
+    x, y = (rows.select("token", F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "k", "c", "tokens", "counts", "far")]) for s in "ab")
+    earlier = F.arrays_overlap(F.slice("tokens_a", F.lit(1), F.col("k_a")), F.slice("tokens_b", F.lit(1), F.col("k_b")))
+    apart = F.exists("far_a", lambda p: F.exists("far_b", lambda q: (p["b"] == q["b"]) & (F.abs(p["d"] - q["d"]) > 0.2 + 1e-9)))
+    on = F.expr(f"a < b and c_a <> c_b and {POSSIBLE} and {CLASSED}") & ~earlier & ~F.coalesce(apart, F.lit(False))
+    return x.join(y.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & on).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document (doc_id, n_shingles, key: equal for equal sets, component_id: the least doc_id that links reach)."""
     rows, labels = _components(*B.pack(docs, id_col, text_col))
-    ids = labels.join(rows.where("ids is not null").select("key", "doc_id"), "key")
-    least = ids.join(ids.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("key", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    return out.join(least, "key", "left").select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = labels.join(rows.where("ids is not null").select("key", "print", "doc_id"), "key")
+    least = ids.join(ids.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("print", "component_id")
+    alone = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
+    groups = alone.join(least, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("print")).alias("print"))
+    return out.join(groups, "print", "left").select("doc_id", "n_shingles", F.col("print").alias("key"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -252,8 +294,8 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table, size = B.pack(docs, id_col, text_col, keep)
     rows, labels = _components(table, size)
     own = F.struct(F.coalesce("doc_id", F.lit(int(MAX_ID))).alias("i"), "block", "place")
-    placed = rows.where("n > 0").select("key", own.alias("own")).groupBy("key").agg(F.min("own").alias("own"))
-    firsts = placed.join(labels, "key", "left").groupBy(F.coalesce("c", "key").alias("c")).agg(F.min("own").alias("own")).select("own.block", "own.place")
+    placed = rows.where("n > 0").groupBy("print").agg(F.min(own).alias("own"), F.max(F.when(F.col("ids").isNotNull(), F.col("key"))).alias("key"))
+    firsts = placed.join(labels, "key", "left").groupBy(F.coalesce("c", "key", "print").alias("c"), F.coalesce("c", "key").isNull().alias("alone")).agg(F.min("own").alias("own")).select("own.block", "own.place")
     stay = firsts.unionAll(rows.where("n = 0").select("block", "place")).groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("stay"))
     kinds = dict(docs.dtypes)
     schema = "doc_id long, text string" + "".join(f", x{i} {kinds[c]}" for i, c in enumerate(keep))
