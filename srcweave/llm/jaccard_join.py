@@ -13,8 +13,8 @@ distance 0.2 share one of the first n/5 + 1 shingles of either. A document is re
    few comparisons for each member, not one for each pair.
 2. Then all regions are looked at, and those that hold more than one component go on: a round draws one more pivot in
    each, measures it against the documents outside its component, and regions that became one component drop out.
-3. After ``ROUNDS`` rounds the regions left over join exhaustively, but only pairs of different components, each at its
-   first common shingle, within the length and position bounds, and not set apart by the triangle inequality: by the
+3. After ``ROUNDS`` rounds the regions left over join exhaustively, but only pairs of different components, within the
+   length and position bounds, and not set apart by the triangle inequality: by the
    distances to common pivots that differ by more than the radius, or by the numbers of shingles in ``CLASSES`` hash
    classes, which act as pivots too (in all classes together two sets share at most the sum of the smaller numbers).
 
@@ -31,7 +31,6 @@ stand for others; an empty table gives an empty result. Only the id and text col
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -188,12 +187,21 @@ POSSIBLE = f"{SIZES} and 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)"
 CLASSED = "coalesce(9 * aggregate(zip_with(counts_a, counts_b, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) >= 4 * (n_a + n_b), true)"
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, common) of the pairs (a, b) that neither sizes nor classes rule out."""
-    side = lambda x, *cols: sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    some = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").where(f"{SIZES} and {CLASSED}").select("a", "b", "n_a", "n_b")
-    both = some.join(side("a", "ids"), "a").join(side("b", "ids"), "b").withColumnsRenamed({"ids_a": "set_a", "ids_b": "set_b"})
-    return both.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_measure, "a long, b long, n_a long, n_b long, common long")
+def _measured(pairs: DataFrame, stands: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common) of the pairs (a, b) that neither sizes nor classes rule out.
+
+    Sizes and class counts go first; whole sets are fetched only for the documents of the pairs that are left.
+    """
+    side = lambda df, x, *cols: df.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    some = pairs.join(side(stands, "a", "n", "counts"), "a").join(side(stands, "b", "n", "counts"), "b").where(f"{SIZES} and {CLASSED}")
+    some = scratch.materialize(some.select("a", "b", "n_a", "n_b"), "pairs")
+    need = scratch.materialize(some.select(F.col("a").alias("key")).unionAll(some.select("b")).distinct(), "need")
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    sets = stands.select("key", "ids").join(need, "key", "left_semi")
+    both = some.join(side(sets, "a", "ids"), "a").join(side(sets, "b", "ids"), "b").withColumnsRenamed({"ids_a": "set_a", "ids_b": "set_b"})
+    both = both.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(_measure, "a long, b long, n_a long, n_b long, common long")
+    return scratch.materialize(both, "measured")
 
 
 def _relabel(labels: DataFrame, linked: DataFrame) -> DataFrame:
@@ -217,19 +225,14 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     rows = scratch.materialize(B.with_replies(table, replies).mapInArrow(run, _ROWS), "sets")
     stands = rows.where("ids is not null")
-    name = f"sets_{uuid.uuid4().hex[:12]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stands.select("key", "n", "counts", "ids").write.format("parquet").option("path", scratch.new_path(spark, name)).bucketBy(buckets, "key").saveAsTable(name)
-    sets = spark.table(name)
-    windows = stands.select("key", "n", F.posexplode(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("at"))).alias("k", "x"))
-    windows = windows.select("x.token", "key", "n", "x.at", "k")
+    windows = stands.select("key", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("at"))).alias("token", "at"))
 
     # first the rarest tokens only: each document meets the pivot (least key) of most of its regions
     few = stands.select("key", F.explode(F.slice("tokens", 1, FIRST)).alias("token"))
     heads = few.groupBy("token").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b")
     met = few.join(heads, "token").where("key <> b").groupBy("key", "b").agg(F.count("*").alias("m"))
     pairs = met.groupBy("key").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b")).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-    tested = scratch.materialize(_measured(pairs, sets), "measured")
+    tested = _measured(pairs, stands)
     linked = tested.where(LINKED)
     keys = linked.select(F.col("a").alias("key")).unionAll(linked.select("b")).distinct()
     labels = _relabel(keys.withColumn("c", F.col("key")), linked)
@@ -255,27 +258,25 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             near = now.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), F.col("p.key").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"), F.col("p.c").alias("c_b"))
             pairs = near.where(f"c_a <> c_b and {POSSIBLE}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        done = scratch.materialize(_measured(pairs, sets), "measured")
+        done = _measured(pairs, stands)
         tested = tested.unionAll(done)
         labels = _relabel(labels, done.where(LINKED))
-        regions = now.select("token", "key", "n", "at", "k")
+        regions = now.select("token", "key", "n", "at")
     return rows, labels
 
 
 def _left_over(now: DataFrame, tested: DataFrame, stands: DataFrame) -> DataFrame:
-    """Pairs of different components that share a region and that neither bounds, classes nor pivots rule out, each at
-    its first common token only."""
+    """Pairs of different components that share a region and that neither bounds, classes nor pivots rule out."""
+    rows = now.select("token", "key", "n", "at", "c").join(stands.select("key", "counts"), "key")
+    x, y = (rows.select(F.col("token").alias(f"token_{s}"), F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "c", "counts")]) for s in "ab")
+    pairs = x.join(y, F.expr(f"token_a = token_b and a < b and c_a <> c_b and {POSSIBLE} and {CLASSED}")).select("a", "b").distinct()
     d = (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d")
     far = tested.select(F.col("a").alias("key"), "b", d).unionAll(tested.select(F.col("b").alias("key"), F.col("a").alias("b"), d))
     pivots = far.groupBy("b").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "b").limit(PIVOTS).select("b")
     far = far.join(F.broadcast(pivots), "b").groupBy("key").agg(F.collect_list(F.struct("b", "d")).alias("far"))
-    own = stands.select("key", "tokens", "counts").join(now.select("key").distinct(), "key", "left_semi").join(far, "key", "left")
-    rows = scratch.materialize(now.drop("p").join(own, "key"), "left")
-    x, y = (rows.select("token", F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "k", "c", "tokens", "counts", "far")]) for s in "ab")
-    earlier = F.arrays_overlap(F.slice("tokens_a", F.lit(1), F.col("k_a")), F.slice("tokens_b", F.lit(1), F.col("k_b")))
+    near = pairs.join(far.toDF("a", "far_a"), "a", "left").join(far.toDF("b", "far_b"), "b", "left")
     apart = F.exists("far_a", lambda p: F.exists("far_b", lambda q: (p["b"] == q["b"]) & (F.abs(p["d"] - q["d"]) > 0.2 + 1e-9)))
-    on = F.expr(f"a < b and c_a <> c_b and {POSSIBLE} and {CLASSED}") & ~earlier & ~F.coalesce(apart, F.lit(False))
-    return x.join(y.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & on).select("a", "b")
+    return near.where(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
