@@ -8,8 +8,9 @@ the trusted documents say little weighs nothing. Before that come fixed rules: f
 fifth of the words in repeated five-word windows.
 
 Corpus counts cover every document: n-grams are exploded and counted map-side, so each task sends at most BUCKETS
-rows. The trusted documents are at most ``TRUSTED`` ids, those with the smallest hashes, and so safe to broadcast.
-The weights, BUCKETS doubles, reach the tasks as a scalar subquery; a score needs no join or shuffle.
+rows. The target counts cover every trusted document: documents are joined with all trusted ids, which shuffles the
+texts once; rows without an id are spread by their texts. The weights, BUCKETS doubles, reach the tasks as a scalar
+subquery; a score needs no join or shuffle.
 
 Cases: a null or empty text has zero counts and fails the base rules; repeated rows are counted and returned each;
 an empty table gives an empty result; with no trusted documents every weight is 0 and only the base rules decide.
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .native import BLANKS, blank_words, let, span
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 PRIOR = 20_000.0
 THRESHOLD = -0.2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
@@ -78,9 +78,10 @@ def base_counts(text: Column, weights: Column | None = None) -> Column:
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (weights array<double>): each bucket's log-likelihood ratio. trusted: one column of ids."""
-    ids = trusted.toDF("_id").where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED)
+    ids = trusted.toDF("_id").where("_id is not null").distinct().select("_id", F.lit(0).cast("long").alias("_none"), F.lit(1).alias("_in"))
     text = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
-    marked = text.join(F.broadcast(ids.withColumn("_in", F.lit(1))), F.col("_key") == F.col("_id"), "left")
+    text = text.withColumn("_salt", F.when(F.col("_key").isNull(), F.xxhash64("_text")).otherwise(F.lit(0)).cast("long"))
+    marked = text.join(ids.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_salt") == F.col("_none")), "left")
     counts = (
         marked.select(F.coalesce("_in", F.lit(0)).alias("_in"), F.explode(_words_buckets(F.col("_text"))).alias("b"))
         .groupBy("b").agg(F.count("*").alias("r"), F.sum("_in").alias("t"))

@@ -61,6 +61,19 @@ def test_quality_weights_are_the_log_likelihood_ratios(spark):
     assert len(weights) == Q.BUCKETS
 
 
+def test_quality_target_counts_every_trusted_document(spark):
+    import math
+
+    from srcweave.llm import quality_rules as Q
+
+    n = 30_000
+    docs = spark.range(2 * n).selectExpr("id as doc_id", f"if(id < {n}, 'good', 'bad') as text").unionByName(spark.createDataFrame([(None, "none")] * 9, "doc_id long, text string"))
+    weights = Q.ratio_weights(docs, spark.range(n).union(spark.range(5))).first().weights
+    b = spark.range(1).select(Q._words_buckets(F.lit("good"))[0]).first()[0]
+    p = (n + 1) / (2 * (2 * n + 9) + Q.BUCKETS)  # two n-grams for each word
+    assert math.isclose(weights[b], math.log((n + Q.PRIOR * p) / (2 * n + Q.PRIOR) / p), abs_tol=1e-9)
+
+
 def test_license_scan(docs, rows, empty):
     from srcweave.llm.license_scan import PHRASES, license_scan
 
