@@ -9,9 +9,12 @@ may take from documents of any partitions. Windows differ by at most one token a
 one window for each phase. With a mixture other than the corpus's own, a queue may run dry before the others; then a
 new phase begins in which the remaining queues share by their targets, so every token is packed.
 
-The ``QUEUES`` - 1 sources with most bytes have queues of their own and all others share one, which bounds the tables
-on the driver. Tokens are made once and written; the places of documents in their queues come from one sum for each
-task and queue. A hot source is spread over all tasks like any other.
+Every source has a queue of its own. The ``QUEUES`` - 1 sources with most bytes, and all that the mixture names, share
+windows directly; the queues of the others are leaves of a binary tree whose root takes part as one more queue. What a
+node has given is split between its children by the same closed form, so a leaf's tokens and their place in the window
+come from one walk from root to leaf, and windows hold these sources' proportions to a token for each level. The
+driver and the tasks hold a number and a sum for each source. Tokens are made once and written; the places of documents
+in their queues come from one sum for each task and queue. A hot source is spread over all tasks like any other.
 
 Words are encoded once for each worker process: the tokenizer never joins anything across ASCII white space, nor across
 an ASCII letter and an ASCII digit or sign, so a text's ids are its words' ids end to end.
@@ -132,20 +135,21 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _tokens(it, path: str, queues: dict, other: int):
+def _tokens(it, path: str, queues: dict):
     from pyspark import TaskContext
 
-    part, encoder, given = TaskContext.get().partitionId(), _encoder(path), np.zeros(other + 1, np.int64)
+    part, encoder, given = TaskContext.get().partitionId(), _encoder(path), np.zeros(len(queues), np.int64)
     for b in it:
         for lo, hi in chunks(b.column("text")):
             rows = b.slice(lo, hi - lo)
             ids, n = encoder.encode(rows.column("text"))
-            queue = np.array([queues.get(s, other) for s in rows.column("source").to_pylist()], np.int64)
+            queue = np.array([queues[s] for s in rows.column("source").to_pylist()], np.int64)
+            order = np.argsort(queue, kind="stable")
+            q, first, which = np.unique(queue[order], return_index=True, return_inverse=True)
+            before = np.cumsum(n[order]) - n[order]
             start = np.empty(len(n), np.int64)
-            for q in np.unique(queue):
-                k = queue == q
-                start[k] = given[q] + np.cumsum(n[k]) - n[k]
-                given[q] += n[k].sum()
+            start[order] = given[q][which] + before - before[first][which]
+            np.add.at(given, queue, n)
             off = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
             data = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays(
@@ -203,28 +207,97 @@ def phases(totals: list[int], target: list[float] | None, length: int = LENGTH)
     return out
 
 
-def _pieces(it, plan: list[Phase], with_ids: bool):
+class Tree:
+    """Queues that share one: each node's tokens are split between its two children in proportion, in whole tokens."""
+
+    def __init__(self, totals: list[int]):
+        self.levels = [np.array(totals, np.int64)]
+        while len(self.levels[0]) > 1:
+            x = np.append(self.levels[0], np.zeros(len(self.levels[0]) % 2, np.int64))
+            self.levels.insert(0, x[::2] + x[1::2])
+        self.total = int(self.levels[0].sum())
+
+    def _walk(self, leaf: np.ndarray, *given: np.ndarray):
+        """For each count given by the root: (by the leaf, by all leaves before it)."""
+        own, before = list(given), [np.zeros(len(leaf), np.int64) for _ in given]
+        for d in range(1, len(self.levels)):
+            node = leaf >> (len(self.levels) - 1 - d)
+            up, left, right = np.maximum(self.levels[d - 1][node >> 1], 1), self.levels[d][node & ~1], (node & 1) == 1
+            for k, n in enumerate(own):
+                # floor(n * left / up): the product may leave 64 bits, the remainder doesn't
+                got = np.floor(n * (left / up)).astype(np.int64)
+                rest = n * left - got * up
+                got += (rest >= up).astype(np.int64) - (rest < 0)
+                before[k] = before[k] + np.where(right, got, 0)
+                own[k] = np.where(right, n - got, got)
+        return list(zip(own, before, strict=True))
+
+    def given(self, leaf: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Tokens of the leaf among the first n of the root."""
+        return self._walk(leaf, n)[0][0]
+
+    def before(self, leaf: np.ndarray, n: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of the leaves before it among the root's n .. end-1."""
+        (_, a), (_, z) = self._walk(leaf, n, end)
+        return z - a
+
+
+class _Pooled:
+    """A phase's windows for the leaves of the tree behind the last of its queues."""
+
+    def __init__(self, p: Phase, q: int, tree: Tree):
+        self.p, self.q, self.tree = p, q, tree
+
+    def root(self, w: np.ndarray) -> np.ndarray:
+        return self.p.begin[self.q] + self.p.given(self.q, w).astype(np.int64)
+
+    def given(self, leaf: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.tree.given(leaf, self.root(w))
+
+    def window(self, leaf: np.ndarray, token: np.ndarray) -> np.ndarray:
+        lo, hi = np.zeros(len(token), np.int64), np.full(len(token), self.p.windows - 1)
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            right = self.given(leaf, mid + 1) <= token
+            lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, mid)
+        return lo
+
+
+def _pieces(it, plan: list[Phase], with_ids: bool, other: int, tree: Tree | None):
     for b in it:
         queue, start, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "start", "n"))
         ids, doc_id = b.column("ids"), b.column("doc_id")
         row, first, size, seq, offset = [], [], [], [], []
         for p in plan:
-            for q in np.unique(queue):
-                lo = np.maximum(start, p.begin[q])
-                hi = np.minimum(start + n, p.begin[q] + p.total[q])
-                k = np.flatnonzero((queue == q) & (lo < hi))
-                if not len(k):
+            for q in np.unique(np.minimum(queue, other)):
+                mine = np.flatnonzero(np.minimum(queue, other) == q)
+                leaf = queue[mine] - other
+                pool = _Pooled(p, q, tree) if q == other else None
+                begin, end = p.begin[q], p.begin[q] + p.total[q]
+                if pool:
+                    begin, end = (tree.given(leaf, np.full(len(leaf), x)) for x in (begin, end))
+                lo, hi = np.maximum(start[mine], begin), np.minimum(start[mine] + n[mine], end)
+                some = lo < hi
+                if not some.any():
                     continue
-                a, z = lo[k] - p.begin[q], hi[k] - p.begin[q]
-                w0 = p.window(q, a)
-                each = p.window(q, z - 1) - w0 + 1
+                k, leaf, lo, hi = mine[some], leaf[some], lo[some], hi[some]
+                # tokens of the tree are counted from the first phase on, those of other queues from this one
+                base = np.full(len(k), 0 if pool else begin)
+                window = pool.window if pool else lambda _, t, p=p, q=q: p.window(q, t)
+                given = pool.given if pool else lambda _, w, p=p, q=q: p.given(q, w)
+                a, z = lo - base, hi - base
+                w0 = window(leaf, a)
+                each = window(leaf, z - 1) - w0 + 1
                 w = np.repeat(w0 - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-                mine, k = p.given(q, w), np.repeat(k, each)
-                s, e = np.maximum(np.repeat(a, each), mine), np.minimum(np.repeat(z, each), p.given(q, w + 1))
+                k, leaf, base, a, z = (np.repeat(x, each) for x in (k, leaf, base, a, z))
+                mine = given(leaf, w)
+                s, e = np.maximum(a, mine), np.minimum(z, given(leaf, w + 1))
                 before = sum((p.given(x, w + 1) - p.given(x, w) for x in range(q)), np.zeros(len(w), np.int64))
+                if pool:
+                    before = before + tree.before(leaf, pool.root(w), pool.root(w + 1))
                 some = s < e
                 row.append(k[some])
-                first.append((s + p.begin[q] - start[k])[some].astype(np.int64))
+                first.append((s + base - start[k])[some].astype(np.int64))
                 size.append((e - s)[some].astype(np.int64))
                 seq.append((w + p.base)[some])
                 offset.append((before + s - mine)[some].astype(np.int64))
@@ -259,14 +332,18 @@ def pack_sequences(
     path = tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
     sizes = rows.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    named = [r["source"] for r in sizes.orderBy(F.desc("bytes"), F.asc_nulls_first("source")).limit(QUEUES - 1).collect()]
-    queues, other = {s: k for k, s in enumerate(named)}, len(named)
-    made = rows.mapInArrow(lambda it: _tokens(it, path, queues, other), "doc_id long, queue int, part int, start long, n long, ids binary")
+    ranked = [r["source"] for r in sizes.orderBy(F.desc("bytes"), F.asc_nulls_first("source")).collect()]
+    named = [x for k, x in enumerate(ranked) if k < QUEUES - 1 or (mixture and x in mixture)]
+    direct, other = set(named), len(named)
+    queues = {x: k for k, x in enumerate([*named, *[x for x in ranked if x not in direct]])}
+    made = rows.mapInArrow(lambda it: _tokens(it, path, queues), "doc_id long, queue int, part int, start long, n long, ids binary")
     made = scratch.materialize(made, "tokens")
     sums = made.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = [0] * (other + 1)
+    each = [0] * len(queues)
     for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r["queue"]] = r["n"]
+        each[r["queue"]] = r["n"]
+    tree = Tree(each[other:]) if len(queues) > other else None
+    totals = [*each[:other], tree.total if tree else 0]
     target = None
     if mixture:
         asked = [mixture.get(s) for s in named] + [None]
@@ -281,7 +358,7 @@ def pack_sequences(
         starts = F.broadcast(starts)
     placed = made.join(starts, ["queue", "part"]).withColumn("start", F.col("start") + F.col("base")).select("doc_id", "queue", "start", "n", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    return placed.mapInArrow(lambda it: _pieces(it, plan, with_ids), schema)
+    return placed.mapInArrow(lambda it: _pieces(it, plan, with_ids, other, tree), schema)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,44 @@ def test_target_mixture_and_dry_queues(spark):
     assert abs(first["a"] / sum(first.values()) - 0.7) < 0.05
 
 
+def test_each_of_many_sources_has_its_queue(spark):
+    from srcweave.llm.packing import pack_sequences
+
+    rows = [(i, "word " * (5 + i % 7), f"s{i % 90:02}") for i in range(1800)]
+    rows.sort(key=lambda x: x[2])  # in partition order a pooled queue would give one source after another
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = [(str(i), x) for (i, _, _), x in zip(rows, _plain_ids([t for _, t, _ in rows]), strict=True)]
+    source, size = {i: s for i, _, s in rows}, {i: len(x) for i, x in ids}
+    total = collections.Counter()
+    for i, _, s in rows:
+        total[s] += size[str(i)]
+    for mixture in (None, {"s89": 0.3, "s07": 0.1}):
+        pieces = pack_sequences(docs, mixture=mixture, length=512).collect()
+        _check(pieces, ids)
+        each = collections.defaultdict(collections.Counter)
+        for p in pieces:
+            each[p.sequence_id][source[p.doc_id]] += p.length
+        if mixture:
+            assert all(abs(each[0][s] / sum(each[0].values()) - x) < 0.05 for s, x in mixture.items())
+        for c in each.values():
+            assert mixture or all(abs(c[s] - n * sum(c.values()) / sum(total.values())) <= 4 for s, n in total.items())
+
+
+def test_tree_splits_every_token_once():
+    from srcweave.llm.packing import Tree
+
+    for totals in ([3], [5, 0, 2], [1] * 37 + [400, 9]):
+        tree = Tree(totals)
+        n = np.arange(tree.total + 1)
+        given = np.array([tree.given(np.full(len(n), k), n) for k in range(len(totals))])
+        assert (given[:, -1] == totals).all() and (np.diff(given, axis=1) >= 0).all() and (given.sum(axis=0) == n).all()
+        for k in range(len(totals)):
+            assert (tree.before(np.full(len(n), k), n * 0, n) == given[:k].sum(axis=0)).all()
+    tree = Tree([7_000_000_001, 5_000_000_003, 1])
+    n = np.array([0, 1, 9_876_543_210, tree.total])
+    assert tree.given(np.zeros(4, np.int64), n).tolist() == [int(x) * 12_000_000_004 // 12_000_000_005 * 7_000_000_001 // 12_000_000_004 for x in n]
+
+
 @pytest.mark.parametrize("totals", [[5], [1, 1], [10_000, 3, 0, 777], [2047, 1], [70, 60, 50, 40, 30, 20, 10, 9, 8, 7]])
 def test_closed_form_deficits(totals):
     from srcweave.llm.packing import phases
