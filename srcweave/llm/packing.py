@@ -17,7 +17,8 @@ driver and the tasks hold a number and a sum for each source. Tokens are made on
 in their queues come from one sum for each task and queue. A hot source is spread over all tasks like any other.
 
 Words are encoded once for each worker process: the tokenizer never joins anything across ASCII white space, nor across
-an ASCII letter and an ASCII digit or sign, so a text's ids are its words' ids end to end.
+an ASCII letter and an ASCII digit or sign, so a text's ids are its words' ids end to end. Only the tokenizer's added
+tokens reach across such cuts; a text that holds one, in any case of letters, is encoded whole.
 
 Cases: a null or empty text is its end token alone; a null source is a source; repeated rows are packed each; an empty
 table gives an empty result. Only the id, text and source columns are read.
@@ -26,10 +27,12 @@ table gives an empty result. Only the id, text and source columns are read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import scratch
@@ -80,7 +83,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(added)
         self.clear()
 
     def clear(self) -> None:
@@ -101,6 +105,20 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by END; number of ids of each)."""
+        if not self.added:
+            return self._by_units(texts)
+        whole = pc.match_substring_regex(texts, self.added, ignore_case=True)
+        at = np.flatnonzero(whole.fill_null(False).to_numpy(zero_copy_only=False))
+        if not len(at):
+            return self._by_units(texts)
+        out, n = self._by_units(pc.if_else(whole, "", texts))
+        lists = [e.ids for e in self.tokenizer.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        out = np.insert(out, np.repeat((np.cumsum(n) - n)[at], size), np.fromiter((x for v in lists for x in v), np.uint32, int(size.sum())))
+        n[at] += size
+        return out, n
+
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = _units(texts)
         distinct, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KNOWN_WORDS:

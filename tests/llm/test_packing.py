@@ -46,6 +46,19 @@ def test_packing_round_trip(docs, rows, empty, spark, sf_dir):
     assert pack_sequences(empty).count() == 0
 
 
+def test_added_tokens_are_those_of_the_plain_call():
+    import pyarrow as pa
+    from srcweave.llm.packing import Encoder, tokenizer_path
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> world", "", "a b", "x<|startoftext|>y <|EndOfText|>", "<|endoftext|>", "end <|endoftext|", "<| endoftext |>", "é <|endoftext|><|endoftext|>\n z"]
+    plain = Tokenizer.from_file(tokenizer_path())
+    ids, n = Encoder(tokenizer_path()).encode(pa.array(texts))
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert want[0] == [3306, 49407, 1002, 1]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_windows_hold_the_proportions(spark, sf_dir):
     from srcweave.llm.packing import pack_sequences
 
