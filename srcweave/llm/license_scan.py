@@ -1,7 +1,8 @@
 """License scans, built of DataFrame functions only: phrases, and an exact set-similarity join with templates.
 
-Method: a text block (a line) and a template are word sets; a block matches a template when it holds at least
-``CONTAINMENT`` of the template's words. Words are ordered by how often the whole corpus has them, rarest first. A
+Method: a text block and a template are word sets; a block matches a template when it holds at least ``CONTAINMENT`` of
+the template's words. Blocks are the lines, and for notices that are wrapped all windows of as many words as the
+template has, across line ends; a window need only begin with a word of the template and hold one of its prefix. Words are ordered by how often the whole corpus has them, rarest first. A
 block that matches must hold a word of the template's prefix, its m - a + 1 rarest words, where a is the least number
 of common words (prefix filter); it must have at least a template words (length filter); and from the first common
 word on both sides must still have enough words (positional filter). What passes is verified exactly.
@@ -60,18 +61,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     return {r["word"]: r["count"] for r in found.groupBy("word").count().collect()}
 
 
-def _index(counts: dict[str, int]) -> tuple[list[str], list[tuple[str, list[int], int]]]:
-    """Words in order, rarest first, and for each template (label, ranks in order, least number of common words)."""
+def _index(counts: dict[str, int]) -> tuple[list[str], list[tuple[str, list[int], int, int]]]:
+    """Words in order, rarest first, and for each template (label, ranks in order, least number of common words, words)."""
     order = sorted({x for _, t in TEMPLATES for x in t.split()}, key=lambda x: (counts.get(x, 0), x))
     rank = {x: i + 1 for i, x in enumerate(order)}
-    return order, [(label, sorted({rank[x] for x in t.split()}), math.ceil(CONTAINMENT * len(set(t.split())))) for label, t in TEMPLATES]
+    return order, [(label, sorted({rank[x] for x in t.split()}), math.ceil(CONTAINMENT * len(set(t.split()))), len(t.split())) for label, t in TEMPLATES]
 
 
-def _matches(text: Column, w: Column, order: list[str], templates: list[tuple[str, list[int], int]]) -> Column:
-    """array<struct(label, share)> of the templates that some line of the text holds."""
+def _matches(text: Column, w: Column, order: list[str], templates: list[tuple[str, list[int], int, int]]) -> Column:
+    """array<struct(label, share)> of the templates that some line or window of the text holds."""
     words = F.array(*map(F.lit, order))
-    index = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, r)).alias("ranks"), F.lit(a).alias("least")) for label, r, a in templates])
-    prefix = sorted({order[k - 1] for _, r, a in templates for k in r[: len(r) - a + 1]})
+    index = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, r)).alias("ranks"), F.lit(a).alias("least"), F.lit(k).alias("size")) for label, r, a, k in templates])
+    prefix = sorted({order[k - 1] for _, r, a, _ in templates for k in r[: len(r) - a + 1]})
 
     def join(block: Column, t: Column) -> Column:
         m, n = F.size(t["ranks"]), F.size(block)
@@ -82,17 +83,43 @@ def _matches(text: Column, w: Column, order: list[str], templates: list[tuple[st
 
         return (n >= t["least"]) & F.exists(F.sequence(F.lit(1), m - t["least"] + 1), passes)
 
+    def ranked(v: Column) -> Column:
+        return F.array_sort(F.array_distinct(v))
+
+    def verified(block: Column, some: Column) -> Column:
+        shares = F.transform(some, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(F.array_intersect(t["ranks"], block)).alias("common"), F.size(t["ranks"]).alias("m")))
+        return F.transform(F.filter(shares, lambda x: x["common"] >= x["least"]), lambda x: F.struct(x["label"].alias("label"), (x["common"] / x["m"]).alias("share")))
+
     def of_line(line: Column) -> Column:
-        ranks = F.array_sort(F.array_distinct(F.transform(F.filter(alnum_words(line), lambda x: x.isin(order)), lambda x: F.array_position(words, x).cast("int"))))
+        ranks = ranked(F.transform(F.filter(alnum_words(line), lambda x: x.isin(order)), lambda x: F.array_position(words, x).cast("int")))
+        return let(ranks, lambda block: verified(block, F.filter(index, lambda t: join(block, t))))
+
+    def of_windows(places: Column) -> Column:
+        """places: (i, r), place and rank of each of the text's words that some template has."""
+
+        def of_template(t: Column) -> Column:
+            own = F.filter(places, lambda x: F.array_contains(t["ranks"], x["r"]))
+
+            def windows(own: Column) -> Column:
+                rare = F.transform(F.filter(own, lambda x: F.array_position(t["ranks"], x["r"]) <= F.size(t["ranks"]) - t["least"] + 1), lambda x: x["i"])
+
+                def near(rare: Column) -> Column:
+                    starts = F.filter(F.transform(own, lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))), lambda x: F.exists(rare, lambda i: (i >= x["i"]) & (i < x["i"] + t["size"])))
+
+                    def of(x: Column) -> Column:
+                        seen = F.filter(F.slice(own, x["k"] + 1, t["size"]), lambda y: y["i"] < x["i"] + t["size"])
+                        return let(ranked(F.transform(seen, lambda y: y["r"])), lambda block: F.when(join(block, t), verified(block, F.array(t))).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+
+                    return F.flatten(F.transform(starts, of))
+
+                return let(rare, near)
 
-        def verified(block: Column) -> Column:
-            some = F.filter(index, lambda t: join(block, t))
-            shares = F.transform(some, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(F.array_intersect(t["ranks"], block)).alias("common"), F.size(t["ranks"]).alias("m")))
-            return F.transform(F.filter(shares, lambda x: x["common"] >= x["least"]), lambda x: F.struct(x["label"].alias("label"), (x["common"] / x["m"]).alias("share")))
+            return let(own, windows)
 
-        return let(ranks, verified)
+        return F.flatten(F.transform(index, of_template))
 
-    found = F.flatten(F.transform(F.split(text, "\n"), of_line))
+    places = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), F.array_position(words, x).cast("int").alias("r"))), lambda x: x["r"] > 0)
+    found = F.concat(F.flatten(F.transform(F.split(text, "\n"), of_line)), let(places, of_windows))
     return F.when(F.exists(w, lambda x: x.isin(prefix)), found).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
 
 

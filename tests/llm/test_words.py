@@ -100,6 +100,29 @@ def test_license_templates_against_all_pairs(spark):
         assert set(r.license.labels) - set(r.license.base_labels) == want - set(r.license.base_labels)
 
 
+def test_license_templates_that_are_wrapped(spark):
+    import textwrap
+
+    from srcweave.llm import license_scan as L
+
+    texts = ["\n".join(f" * {x}" for x in textwrap.wrap(t, width)) for _, t in L.TEMPLATES for width in (24, 40, 72)]
+    texts += [f"Some text\nthat goes on before {x}\nand after it" for x in texts]
+    texts += ["redistribution and use in source\n" + "one two three four five six\n" * 9 + "and binary forms with or without modification are permitted provided that the following conditions are met", "the license\n" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.license_scan(docs).collect():
+        w = ALNUM.findall(r.text.translate(FOLD))
+        want = {}
+        for label, t in L.TEMPLATES:
+            own, k = set(t.split()), len(t.split())
+            blocks = [set(w[i : i + k]) for i in range(len(w))] + [set(ALNUM.findall(x.translate(FOLD))) for x in r.text.split("\n")]
+            share = max(len(own & b) / len(own) for b in blocks)
+            if share >= L.CONTAINMENT:
+                want[label] = max(share, want.get(label, 0))
+        assert set(r.license.labels) == set(want) | set(r.license.base_labels), r.text
+        assert r.license.score == (1 if r.license.n_base else max(want.values(), default=0))
+        assert r.doc_id >= 2 * 3 * len(L.TEMPLATES) or L.TEMPLATES[r.doc_id // 3 % len(L.TEMPLATES)][0] in r.license.labels
+
+
 def test_sharding(docs, rows, empty, spark):
     from srcweave.llm.sharding import SHARDS, permute, shard
 
