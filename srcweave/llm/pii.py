@@ -8,8 +8,11 @@ an anchor a parser of its kind looks left and right only as far as its boundary
 * ``card``: digits with single blanks or hyphens between, 13 to 19 of them, passing Luhn;
 * ``phone``: a plus, then digits, blanks, dots, brackets and hyphens up to the last digit, 9 to 15 digits;
 * ``url``: a scheme, the rest up to white space, closing punctuation left off;
-* ``account``: an identifier of four or more characters with a digit, after a cue and separators;
-* ``address``: a house number and up to four capitalised words before a street cue.
+* ``account``: after a cue and separators, an IBAN in one piece or in groups if its remainder by 97 is 1, or else an
+  identifier of four or more characters (letters, digits, ``-``, ``_``, inner dots) with a digit, digits also in groups
+  divided by single blanks; what has an IBAN's form after the cue ``iban`` but fails its check is dropped;
+* ``address``: a house number and up to four capitalised words before a street cue; a German street with its number
+  after it; a number, a French street cue and a name; a Spanish street cue, a name and a number.
 
 The first four follow the base patterns exactly: matches are leftmost and don't overlap within a kind, and a match
 that fails its check is dropped without another try. Offsets are code points, ends exclusive.
@@ -27,9 +30,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "address")
-#: Cues before an identifier, and after a street name.
+#: Cues before an identifier, and after or before a street name.
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "username", "user id", "token", "api key", "password")
-STREET_CUES = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "straße", "strasse")
+STREET_CUES = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive", "straße", "strasse", "Straße", "Strasse")
+FRENCH_CUES = ("rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai")
+SPANISH_CUES = ("calle", "avenida", "plaza", "paseo", "carrera", "camino")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -37,8 +42,18 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _DIAL = re.compile(r"\+[0-9][\x20().0-9-]+")
-_IDENTIFIER = re.compile(r"(?:[\x20]?(?:no|number|id))?[.:=#\x20\"']{1,4}([A-Za-z0-9][A-Za-z0-9-]{3,63})")
+_SEPARATOR = re.compile(r"(?:[\x20]?(?:no|number|id))?[.:=#\x20\"']{1,4}(?=[A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){11,30}")
+_IBAN_FORM = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}")
+_GROUPED = re.compile(r"[0-9]+(?:\x20[0-9]{2,})+(?![^\W_]|[_-])")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_-]|\.(?=[A-Za-z0-9_-]))*")
 _HOUSE = re.compile(r"[0-9]{1,5}[a-z]?(?:\x20[A-Z][^\s\x20,;:]*){1,4}\x20?$")
+_NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
+_GERMAN = re.compile(rf"(?:{_NAME}\x20){{0,3}}{_NAME}$|(?:{_NAME}\x20){{1,3}}$|(?:{_NAME}-)+$")
+_NUMBER = re.compile(r",?\x20(?:n[.º°o]{1,2}\x20?)?[0-9]{1,5}(?:\x20?[A-Za-z])?(?!\w)")
+_BEFORE = re.compile(r"(?<!\w)[0-9]{1,5}(?:\x20?(?:bis|ter|quater|[A-Za-z]))?,?\x20$")
+_LINK = r"(?:(?:de|du|des|del|la|las|le|les|los|el|et|y|à|aux|au|en)\x20|[dlDL]['’])"
+_STREET = re.compile(rf"\x20{_LINK}*{_NAME}(?:\x20{_LINK}*{_NAME}){{0,4}}")
 
 
 def _automaton():
@@ -51,8 +66,13 @@ def _automaton():
     for cue in ACCOUNT_CUES:
         for x in {cue, cue.capitalize(), cue.upper()}:
             a.add_word(x, ("account", len(x)))
-    for cue in STREET_CUES:
-        a.add_word(cue, ("address", len(cue)))
+    found = {}
+    for kind, cues in (("s", STREET_CUES), ("fr", FRENCH_CUES), ("es", SPANISH_CUES)):
+        for cue in cues:
+            for x in {cue} if kind == "s" else {cue, cue.capitalize()}:
+                found[x] = found.get(x, ()) + (kind,)
+    for cue, kinds in found.items():
+        a.add_word(cue, (kinds, len(cue)))
     a.make_automaton()
     return a
 
@@ -67,6 +87,56 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _valid_iban(x: str) -> bool:
+    return 15 <= len(x) <= 34 and x.isascii() and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def _account(text: str, at: int, iban: bool) -> tuple[int, int] | None:
+    """Span of the identifier after a cue that ends at this place; iban: the cue says so."""
+    m = _SEPARATOR.match(text, at)
+    if not m:
+        return None
+    start = m.end()
+    x = _IBAN.match(text, start)
+    if x:
+        run = x[0]
+        for size in range(len(run), 14, -1):
+            after = text[start + size : start + size + 1]
+            if run[size - 1] not in " -" and not (after and (after.isalnum() or after == "_")) and _valid_iban(run[:size].replace(" ", "").replace("-", "")):
+                return start, start + size
+        if iban and _IBAN_FORM.match(text, start):
+            return None
+    m = _GROUPED.match(text, start) or _IDENTIFIER.match(text, start)
+    end = m.end()
+    return (start, end) if end - start >= 4 and any(c in _DIGITS for c in m[0]) else None
+
+
+def _address(text: str, at: int, end: int, kinds: tuple[str, ...], least: int) -> tuple[int, int] | None:
+    """Span of the address around a street cue at ``at`` .. ``end``; it begins at ``least`` or later."""
+    low = max(least, at - 80)
+    if "s" in kinds:
+        m = _HOUSE.search(text, low, at)
+        if m and not (m.start() and text[m.start() - 1].isalnum()):
+            return m.start(), end
+        number = _NUMBER.match(text, end) if text[at:end].lower() in ("straße", "strasse") else None
+        if number:
+            m = next((m for m in (_GERMAN.match(text, k, at) for k in range(low, at) if not (k and (text[k - 1].isalnum() or text[k - 1] in "-_"))) if m), None)
+            if m:
+                return m.start(), number.end()
+    if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        return None
+    if {"fr", "es"}.intersection(kinds):
+        name = _STREET.match(text, end)
+        if name:
+            before = _BEFORE.search(text, low, at) if "fr" in kinds else None
+            if before:
+                return before.start(), name.end()
+            number = _NUMBER.match(text, name.end()) if "es" in kinds else None
+            if number:
+                return at, number.end()
+    return None
+
+
 def find(text: str, automaton) -> list[tuple[int, int, int]]:
     """(number of the kind, start, end) of all spans, in the order of KINDS and then of the starts."""
     out = []
@@ -121,15 +191,15 @@ def find(text: str, automaton) -> list[tuple[int, int, int]]:
                 url = end
                 out.append((4, start, end))
         elif kind == "account":
-            m = _IDENTIFIER.match(text, last + 1) if at >= account and not (at and text[at - 1].isalnum()) else None
-            if m and any(x in _DIGITS for x in m[1]):
-                account = m.end(1)
-                out.append((5, m.start(1), m.end(1)))
+            span = _account(text, last + 1, text[at : last + 1].lower() == "iban") if at >= account and not (at and text[at - 1].isalnum()) else None
+            if span:
+                account = span[1]
+                out.append((5, *span))
         elif at >= address:
-            m = _HOUSE.search(text, max(address, at - 80), at)
-            if m and not (m.start() and text[m.start() - 1].isalnum()):
-                address = last + 1
-                out.append((6, m.start(), address))
+            span = _address(text, at, last + 1, kind, address)
+            if span:
+                address = span[1]
+                out.append((6, *span))
     out.sort()
     return out
 

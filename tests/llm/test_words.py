@@ -216,3 +216,25 @@ def test_pii_of_its_own_kinds():
 
     t = 'See https://x.org/a?b=1. Account no: 12345678, token = "04dbeb" at 12 Old Mill Road; no cue 5 here'
     assert [(KINDS[k], t[s:e]) for k, s, e in find(t, _automaton())] == [("url", "https://x.org/a?b=1"), ("account", "12345678"), ("account", "04dbeb"), ("address", "12 Old Mill Road")]
+
+
+def test_pii_runs_to_the_real_boundary():
+    from srcweave.llm.pii import KINDS, _automaton, find
+
+    automaton = _automaton()
+    own = lambda t: [(KINDS[k], t[s:e]) for k, s, e in find(t, automaton) if KINDS[k] in ("account", "address")]
+    key = "a1" * 60
+    for cue, want in [
+        ("IBAN: ", "DE89 3704 0044 0532 0130 00"), ("iban ", "DE89370400440532013000"), ("Iban: ", "FR14 2004 1010 0505 0001 3M02 606"), ("IBAN: ", "GB82-WEST-1234-5698-7654-32"),
+        ("account number: ", "1234 5678 9012"), ("account: ", "ES91 2100 0418 4502 0005 1332"), ("token: ", key), ("api key: ", "sk_live_51HabcDEF"), ("token=", "v1.ab_c.d-9"),
+    ]:
+        for after in ("", " and more 5 words", ".", ", then", ") x"):
+            assert own(cue + want + after) == [("account", want)], (cue, want, after)
+    assert own("IBAN: DE88 3704 0044 0532 0130 00") == [] and own("account: none, token none") == []
+    for want in [
+        "Hauptstraße 12", "Berliner Straße 7a", "Karl-Marx-Straße 101", "Bahnhofstrasse 3", "12 rue de la Paix", "5 bis boulevard Voltaire", "12, avenue des Champs-Élysées", "3 place d'Italie", "8 Avenue Foch",
+        "Calle Mayor 12", "calle de Alcalá, 45", "Avenida de la Constitución 3", "Plaza de España, nº 1", "12 Old Mill Road", "221b Baker Street", "7 Park Avenue",
+    ]:
+        for before, after in (("", ""), ("at ", ", and"), ("in der ", ". Next"), ("x (", ") 9")):
+            assert own(before + want + after) == [("address", want)], (before, want, after)
+    assert own("the main Straße is long, in place of 12 things, rue Foch, calle Mayor, la calle de noche 5, 12 replace Foch") == []
