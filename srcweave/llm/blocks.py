@@ -57,16 +57,21 @@ def _pack(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
 
 def pack(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(blocks table (block, ids, texts, and each column of keep as an array), bucketed by block; bytes of all texts)."""
-    spark = docs.sparkSession
     more = [F.col(c).alias(f"x{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *more)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(math.ceil(size / (2 * block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"blocks_{uuid.uuid4().hex[:12]}"
     schema = "block long, " + ", ".join(f"{c} array<{t}>" for c, t in rows.dtypes)
     packed = rows.mapInArrow(lambda it: _pack(it, block_bytes), schema)
-    packed.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(spark, name)).bucketBy(n, "block").saveAsTable(name)
-    return spark.table(name), size
+    return store(packed, size, block_bytes), size
+
+
+def store(rows: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows with a column block, written bucketed by it: the number of buckets depends on the corpus's bytes alone."""
+    spark = rows.sparkSession
+    n = max(math.ceil(size / (2 * block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"blocks_{uuid.uuid4().hex[:12]}"
+    rows.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(spark, name)).bucketBy(n, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:
@@ -104,9 +109,10 @@ def row(one: pa.RecordBatch) -> dict:
 
 
 def merge(asked: DataFrame, kind: int, fn: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Replies: ``fn`` gets what the blocks sent to a slice and returns a reply for each."""
+    """Replies: ``fn`` gets what the blocks sent to a slice, in the order of the blocks, and returns a reply for each."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
         data = fn(table.column("data").to_pylist())
         n = table.num_rows
         return pa.table([table.column("block"), pa.array([kind] * n, pa.int32()), table.column("slice"), pa.array(data, pa.binary())], ["block", "kind", "slice", "data"])

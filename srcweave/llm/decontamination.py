@@ -59,11 +59,11 @@ def _windows(texts: pa.Array) -> dict[str, np.ndarray]:
     doc, left, n = w.doc(), w.left(), w.counts
     length = np.minimum(WIDTH, n)[doc] if len(w) else np.empty(0, np.int64)
     at = np.flatnonzero(left >= length)
-    h = w.hashes()
+    h, other = w.hashes(), w.hashes(1)
     out = {"item": doc[at], "start": at, "length": length[at], "h1": np.zeros(len(at), U), "h2": np.zeros(len(at), U)}
     for size in np.unique(out["length"]):
         k = out["length"] == size
-        out["h1"][k], out["h2"][k] = grams(h, int(size))[at[k]], grams(h, int(size), 1)[at[k]]
+        out["h1"][k], out["h2"][k] = grams(h, int(size))[at[k]], grams(other, int(size), 1)[at[k]]
     order = np.lexsort((out["h2"], out["h1"], out["item"]))
     out = {k: v[order] for k, v in out.items()}
     if len(at):
@@ -138,6 +138,7 @@ def _hits(w: Words, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = []
     h, left, first = w.hashes(), w.left(), w.first[w.doc()] if len(w) else np.empty(0, np.int64)
     by_length: dict[int, tuple] = {}
+    other = None
     for k, (table, begin, win) in index.items():
         at, v = table.find(grams(h, k), left >= k)
         n = begin[v + 1] - begin[v]
@@ -147,7 +148,8 @@ def _hits(w: Words, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, each = start[ok], each[ok]
         for size in np.unique(win["length"][each]):
             if size not in by_length:
-                by_length[size] = grams(h, int(size)), grams(h, int(size), 1)
+                other = w.hashes(1) if other is None else other
+                by_length[size] = grams(h, int(size)), grams(other, int(size), 1)
             g1, g2 = by_length[size]
             s, e = start[win["length"][each] == size], each[win["length"][each] == size]
             same = (g1[s] == win["h1"][e]) & (g2[s] == win["h2"][e])

@@ -21,7 +21,8 @@ distance 0.2 share one of the first n/5 + 1 shingles of either. A document is re
 Documents with equal sets count as one from the start (the one with the least id stands for them), and documents
 whose window has no shingle in common with any other document leave at once. Frequencies come from an exchange of
 blocks (see ``blocks``) and only order the shingles: they may overestimate, and the result doesn't depend on them.
-Sets hold 48-bit hashes of the shingles that other documents have; sizes are those of the whole sets.
+Sets hold 48-bit hashes of the shingles that other documents have; sizes are those of the whole sets. Equal sets are
+known by 128 bits and looked up once for each block, so copies of one text don't meet in one task.
 
 Cases: documents without words have an empty set and no links; those with fewer than five words have their whole
 sequence as the one shingle; repeated rows are equal sets; among equal ids each row keeps its own set; null ids never
@@ -126,7 +127,7 @@ def _merge(sent: list[bytes]) -> list[bytes]:
     return [B.bits(x) for x in np.split(first, np.cumsum(sizes)[:-1])]
 
 
-_ROWS = "block long, place int, doc_id long, n long, print long, key long, ids binary, counts array<smallint>, tokens array<long>, places array<int>"
+_ROWS = "block long, place int, doc_id long, n long, print binary, key long, ids binary, counts array<smallint>, tokens array<long>, places array<int>"
 
 
 def _rows(block: dict, slices: int) -> pa.RecordBatch:
@@ -160,7 +161,7 @@ def _rows(block: dict, slices: int) -> pa.RecordBatch:
     part, seq = divmod(block["block"], 1 << 32)
     place = np.arange(len(s.sizes))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block["block"]] * len(place), pa.int64()), pa.array(place, pa.int32()), block["ids"], pa.array(s.sizes), pa.array(s.f1.view(np.int64)), pa.array((part << 40 | seq << 24) + place), pa.array(sets, pa.binary()), pa.array(counts, pa.list_(pa.int16())), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+        [pa.array([block["block"]] * len(place), pa.int64()), pa.array(place, pa.int32()), block["ids"], pa.array(s.sizes), pa.array([x.tobytes() for x in np.stack([s.f1, s.f2], 1)] if len(place) else [], pa.binary()), pa.array((part << 40 | seq << 24) + place), pa.array(sets, pa.binary()), pa.array(counts, pa.list_(pa.int16())), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
         [c.split()[0] for c in _ROWS.split(", ")],
     )
 
@@ -286,8 +287,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = ids.join(ids.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("print", "component_id")
     alone = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
     groups = alone.join(least, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("print")).alias("print"))
-    return out.join(groups, "print", "left").select("doc_id", "n_shingles", F.col("print").alias("key"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a set is looked up once for each block that has it, and its rows are found by block: copies of one text meet in no task
+    answers = rows.where("n > 0").select("block", "print").distinct().join(groups, "print")
+    out = rows.select("block", "doc_id", F.col("n").alias("n_shingles"), "print").join(answers, ["block", "print"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("key"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -296,7 +299,8 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, labels = _components(table, size)
     own = F.struct(F.coalesce("doc_id", F.lit(int(MAX_ID))).alias("i"), "block", "place")
     placed = rows.where("n > 0").groupBy("print").agg(F.min(own).alias("own"), F.max(F.when(F.col("ids").isNotNull(), F.col("key"))).alias("key"))
-    firsts = placed.join(labels, "key", "left").groupBy(F.coalesce("c", "key", "print").alias("c"), F.coalesce("c", "key").isNull().alias("alone")).agg(F.min("own").alias("own")).select("own.block", "own.place")
+    joined = placed.where("key is not null").join(labels, "key", "left").groupBy(F.coalesce("c", "key").alias("c")).agg(F.min("own").alias("own"))
+    firsts = joined.select("own.block", "own.place").unionAll(placed.where("key is null").select("own.block", "own.place"))
     stay = firsts.unionAll(rows.where("n = 0").select("block", "place")).groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("stay"))
     kinds = dict(docs.dtypes)
     schema = "doc_id long, text string" + "".join(f", x{i} {kinds[c]}" for i, c in enumerate(keep))

@@ -24,11 +24,12 @@ n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id"""
 
-OP2 = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+OP2 = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l WHERE line <> ''),
 w AS (SELECT doc_id, k, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS pair FROM s),
 d AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY pair ORDER BY doc_id, k) AS o FROM w WHERE pair IS NOT NULL) WHERE o > 1),
-g AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, k FROM d UNION ALL SELECT doc_id, k + 1 FROM d)),
+o AS (SELECT doc_id, k, line FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS o FROM s) WHERE o > 1),
+g AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, k FROM d UNION ALL SELECT doc_id, k + 1 FROM d UNION ALL SELECT doc_id, k FROM o WHERE len(regexp_extract_all(line, '{BLANK_WORDS}')) >= 50)),
 a AS (SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (b.k IS NULL) AS n_runs FROM g LEFT JOIN g b ON b.doc_id = g.doc_id AND b.k = g.k - 1 GROUP BY 1),
 t AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.n) AS kept, max(length(l.line)) AS longest FROM l LEFT JOIN s ON s.doc_id = l.doc_id AND s.n = l.n LEFT JOIN g ON g.doc_id = s.doc_id AND g.k = s.k WHERE g.k IS NULL GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY 1)

@@ -16,7 +16,7 @@ come from one walk from root to leaf, and windows hold these sources' proportion
 driver and the tasks hold a number and a sum for each source. Tokens are made once and written; the places of documents
 in their queues come from one sum for each task and queue. A hot source is spread over all tasks like any other.
 
-Words are encoded once for each worker process: the tokenizer never joins anything across ASCII white space, nor across
+Words are encoded once for each worker process and compared with the encoded ones whole: the tokenizer never joins anything across ASCII white space, nor across
 an ASCII letter and an ASCII digit or sign, so a text's ids are its words' ids end to end. Only the tokenizer's added
 tokens reach across such cuts; a text that holds one, in any case of letters, is encoded whole.
 
@@ -42,6 +42,8 @@ LENGTH = 2048
 END = 1
 QUEUES = 32
 KNOWN_WORDS = 1_000_000
+ENCODED_AT_ONCE = 4096
+TEMPERATURE = 0.7
 BROADCAST_ROWS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,7 +78,11 @@ def _units(texts: pa.Array) -> Words:
 
 
 class Encoder:
-    """Ids of texts by way of the ids of their words; holds up to KNOWN_WORDS words, sorted by hash."""
+    """Ids of texts by way of the ids of their words; holds up to KNOWN_WORDS words, sorted by hash.
+
+    A word's hash only finds its place: the word itself is compared, lane by lane, with the one that is known there, and
+    a text with any that differs is encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,40 +91,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = "|".join(added)
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known = np.empty(0, np.uint64)
+        self.at, self.size, self.bytes, self.lane_at = (np.empty(0, np.int64) for _ in range(4))
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + total))
-        self.flat[self.used : self.used + total] = np.fromiter((x for v in lists for x in v), np.uint32, total)
+        self.lanes, self.lanes_used = np.empty(1 << 14, np.uint64), 0
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        ids, sizes = [], []
+        for lo in range(0, len(texts), ENCODED_AT_ONCE):
+            lists = [e.ids for e in self.batch(texts[lo : lo + ENCODED_AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter((x for v in lists for x in v), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, hashes: np.ndarray, w: Words) -> None:
+        raw = w.buf.tobytes()
+        ids, size = self._ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)])
+        lanes, n = w.lanes()
+        self.flat, self.lanes = _room(self.flat, self.used + len(ids)), _room(self.lanes, self.lanes_used + len(lanes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lanes[self.lanes_used : self.lanes_used + len(lanes)] = lanes
         place = np.searchsorted(self.known, hashes)
-        at = self.used + np.cumsum(size) - size
-        self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
-        self.used += total
+        new = {"known": hashes, "at": self.used + np.cumsum(size) - size, "size": size, "bytes": w.ends - w.starts, "lane_at": self.lanes_used + np.cumsum(n) - n}
+        for k, v in new.items():
+            setattr(self, k, np.insert(getattr(self, k), place, v))
+        self.used += len(ids)
+        self.lanes_used += len(lanes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by END; number of ids of each)."""
-        if not self.added:
-            return self._by_units(texts)
-        whole = pc.match_substring_regex(texts, self.added, ignore_case=True)
-        at = np.flatnonzero(whole.fill_null(False).to_numpy(zero_copy_only=False))
-        if not len(at):
-            return self._by_units(texts)
-        out, n = self._by_units(pc.if_else(whole, "", texts))
-        lists = [e.ids for e in self.tokenizer.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        out = np.insert(out, np.repeat((np.cumsum(n) - n)[at], size), np.fromiter((x for v in lists for x in v), np.uint32, int(size.sum())))
-        n[at] += size
+        whole = np.zeros(len(texts), bool)
+        if self.added:
+            whole = pc.match_substring_regex(texts, self.added, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        out, n, strange = self._by_units(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        if len(strange):
+            whole = whole | np.isin(np.arange(len(texts)), strange)
+            out, n, _ = self._by_units(pc.if_else(pa.array(whole), "", texts))
+        at = np.flatnonzero(whole)
+        if len(at):
+            ids, size = self._ids(texts.take(pa.array(at)).to_pylist())
+            out = np.insert(out, np.repeat((np.cumsum(n) - n)[at], size), ids)
+            n[at] += size
         return out, n
 
-    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each, texts with a word that isn't the known one of its hash)."""
         w = _units(texts)
         distinct, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KNOWN_WORDS:
@@ -126,21 +148,36 @@ class Encoder:
         slot = np.searchsorted(self.known, distinct)
         new = np.flatnonzero((slot == len(self.known)) | (np.append(self.known, np.uint64(0))[slot] != distinct))
         if len(new):
-            raw, s, e = w.buf.tobytes(), w.starts[first[new]].tolist(), w.ends[first[new]].tolist()
-            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e, strict=True)])
+            self._learn(distinct[new], Words(w.buf, w.starts[first[new]], w.ends[first[new]], np.array([0, len(new)])))
             slot = np.searchsorted(self.known, distinct)
+        slot = slot[which]
+        strange = np.unique(w.doc()[self._differ(w, slot)])
         # the end token takes part as one more word after each text's words
         place = np.arange(len(w)) + w.doc()
         n = np.ones(len(w) + len(texts), np.int64)
-        n[place] = self.size[slot][which]
+        n[place] = self.size[slot]
         out = np.full(int(n.sum()), END, np.uint32)
         begin = np.cumsum(n) - n
         each = n[place]
-        src = np.repeat(self.at[slot][which] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        src = np.repeat(self.at[slot] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         dst = np.repeat(begin[place] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
         out[dst] = self.flat[src]
         ends = np.cumsum(n)[w.first[1:] + np.arange(len(texts))]
-        return out, np.diff(ends, prepend=0)
+        return out, np.diff(ends, prepend=0), strange
+
+    def _differ(self, w: Words, slot: np.ndarray) -> np.ndarray:
+        """Which words are not the known ones at these places."""
+        other = self.bytes[slot] != w.ends - w.starts
+        lanes, n = w.lanes()
+        at = np.repeat(np.where(other, 0, self.lane_at[slot]) - (np.cumsum(n) - n), n) + np.arange(len(lanes))
+        wrong = lanes != self.lanes[np.minimum(at, len(self.lanes) - 1)]
+        if wrong.any():
+            other[np.repeat(np.arange(len(w)), n)[wrong]] = True
+        return other
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.resize(a, 2 * n)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -286,8 +323,11 @@ def _pieces(it, plan: list[Phase], with_ids: bool, other: int, tree: Tree | None
         queue, start, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("queue", "start", "n"))
         ids, doc_id = b.column("ids"), b.column("doc_id")
         row, first, size, seq, offset = [], [], [], [], []
+        here = np.unique(np.minimum(queue, other)).tolist()
         for p in plan:
-            for q in np.unique(np.minimum(queue, other)):
+            for q in here:
+                if not p.total[q]:
+                    continue
                 mine = np.flatnonzero(np.minimum(queue, other) == q)
                 leaf = queue[mine] - other
                 pool = _Pooled(p, q, tree) if q == other else None
@@ -340,18 +380,19 @@ def _pieces(it, plan: list[Phase], with_ids: bool, other: int, tree: Tree | None
 
 
 def pack_sequences(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mixture: dict | None = None, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mixture: dict | float | None = None, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids).
 
-    mixture: target shares by source; the sources that it doesn't name share what is left as the corpus has them. Without
-    it each source's target is its share of the corpus.
+    mixture: target shares by source; the sources that it doesn't name share what is left as the corpus has them. A number
+    is a temperature: each source's target is in proportion to its tokens raised to this power. Without a mixture each
+    source's target is its share of the corpus.
     """
     path = tokenizer or tokenizer_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
     sizes = rows.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"))
     ranked = [r["source"] for r in sizes.orderBy(F.desc("bytes"), F.asc_nulls_first("source")).collect()]
-    named = [x for k, x in enumerate(ranked) if k < QUEUES - 1 or (mixture and x in mixture)]
+    named = [x for k, x in enumerate(ranked) if k < QUEUES - 1 or (isinstance(mixture, dict) and x in mixture)]
     direct, other = set(named), len(named)
     queues = {x: k for k, x in enumerate([*named, *[x for x in ranked if x not in direct]])}
     made = rows.mapInArrow(lambda it: _tokens(it, path, queues), "doc_id long, queue int, part int, start long, n long, ids binary")
@@ -363,7 +404,9 @@ def pack_sequences(
     tree = Tree(each[other:]) if len(queues) > other else None
     totals = [*each[:other], tree.total if tree else 0]
     target = None
-    if mixture:
+    if isinstance(mixture, (int, float)):
+        target = [float(t) ** mixture for t in totals[:other]] + [float(np.sum(np.array(each[other:], float) ** mixture))]
+    elif mixture:
         asked = [mixture.get(s) for s in named] + [None]
         left = max(0.0, 1.0 - sum(x or 0.0 for x in asked))
         rest = sum(t for t, x in zip(totals, asked, strict=True) if x is None) or 1
@@ -380,4 +423,5 @@ def pack_sequences(
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    """Targets: the sources' tokens to the power TEMPERATURE, so small sources weigh more than their share."""
+    return pack_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"), mixture=TEMPERATURE, with_ids=False)

@@ -83,7 +83,7 @@ def _candidates(block: dict, width: int, slices: int):
             hit[a:b] = B.flags(block["replies"][(0, s)], b - a)
         keep[order] &= hit[np.cumsum(new) - 1]
     at = at[keep]
-    h1, h2 = h[at], mix(grams(w.hashes(), width, 1)[at], 9) >> U(32)
+    h1, h2 = h[at], mix(grams(w.hashes(1), width, 1)[at], 9) >> U(32)
     order = np.lexsort((h2, h1))
     return w, at, order, h1[order], h2[order].astype(np.uint32)
 

@@ -38,15 +38,8 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BYTE = mix(np.arange(256, dtype=U), 7) | U(1)
-_POW = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, U))
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if n > len(_POW):
-        _POW = np.cumprod(np.full(2 * n, 0xD6E8FEB86659FD93, U))
-    return _POW
+#: Masks of the first k bytes of an eight-byte lane.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +74,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray  # exclusive
     first: np.ndarray  # index of each text's first word, and the number of words
+    _wide: np.ndarray | None = None  # the eight bytes from each place on
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -96,26 +90,41 @@ class Words:
         """For each word the words from it to its text's end, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
 
-    def hashes(self) -> np.ndarray:
+    def lanes(self, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(words lo .. hi-1 as eight-byte lanes end to end, the last of each filled up with zeros; lanes of each word)."""
+        starts, ends = self.starts[lo:hi], self.ends[lo:hi]
+        if self._wide is None:
+            self._wide = np.ndarray((len(self.buf),), "<u8", np.append(self.buf, np.zeros(8, np.uint8)), strides=(1,))
+        size = ends - starts
+        n = (size + 7) >> 3
+        if n.max(initial=0) <= 1:
+            return self._wide[starts] & _MASK[size], n
+        at = np.cumsum(n) - n
+        place = 8 * (np.arange(int(n.sum())) - np.repeat(at, n))
+        return self._wide[np.repeat(starts, n) + place] & _MASK[np.minimum(np.repeat(size, n) - place, 8)], n
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64 bits for each word; hashes of different seeds have nothing in common.
+
+        Each lane goes through a mixer keyed by its place and the seed before lanes are summed, so no arrangement of
+        bytes cancels out whatever the rest of the word is.
+        """
         out = np.empty(len(self), U)
         size = np.cumsum(self.ends - self.starts)
         lo = 0
-        while lo < len(out):  # in pieces, so that the bytes' places and values stay in the cache
+        while lo < len(out):  # in pieces, so that the lanes stay in the cache
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE, "right")))
-            out[lo:hi] = self._hashes(self.starts[lo:hi], self.ends[lo:hi])
+            v, n = self.lanes(lo, hi)
+            if len(v) == len(n):
+                v = mix(mix(v, 4 * seed + 1), 4 * seed + 2)
+            else:
+                at = np.cumsum(n) - n
+                place = (np.arange(len(v)) - np.repeat(at, n)).astype(U)
+                v = np.add.reduceat(mix(mix(v, 4 * seed + 1) + place * _GOLD, 4 * seed + 2), at)
+            out[lo:hi] = mix(v + (self.ends[lo:hi] - self.starts[lo:hi]).astype(U) * _GOLD, 4 * seed + 3)
             lo = hi
         return out
 
-    def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        lens = (ends - starts).astype(np.int32)
-        at = np.cumsum(lens, dtype=np.int32) - lens
-        every = np.arange(int(lens.sum()), dtype=np.int32)
-        base = int(starts[0])
-        pos = every - np.repeat(at, lens)
-        inside = np.repeat((starts - base).astype(np.int32), lens) + pos
-        v = _BYTE[self.buf[base : int(ends[-1])][inside]] * _powers(int(lens.max()))[pos]
-        return mix(np.add.reduceat(v, at) + lens.astype(U) * _GOLD)
-
     def text_of(self, keep: np.ndarray) -> pa.Array:
         """Each text's kept words joined by one blank."""
         s, e = self.starts[keep], self.ends[keep]
