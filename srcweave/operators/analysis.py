@@ -149,6 +149,50 @@ def symbol_history(modified: DataFrame, now: str) -> DataFrame:
     return out.withColumn("per_month", F.when(F.col("age_days") > 0, F.round(F.col("commits") / F.col("age_days") * 30, 1)).otherwise(F.col("commits").cast("double")))
 
 
+#: The rules on payments.
+PAYMENT_RULES = ("unvalidated_payment_amount", "pci_data_logging", "hardcoded_payment_key", "missing_idempotency_key")
+
+
+def payment_summary(findings: DataFrame) -> DataFrame:
+    return findings.agg(*[F.count_if(F.col("type") == k).alias(k) for k in PAYMENT_RULES])
+
+
+def index_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files, functions, classes, interfaces, components, edges."""
+    n = nodes.agg(*[F.count_if((F.col("label") == x) & ~F.coalesce("is_external", F.lit(False))).alias(y) for x, y in INDEXED.items()])
+    return n.withColumn("edges", edges.agg(F.count("*")).scalar())
+
+
+INDEXED = {"File": "files", "Function": "functions", "Class": "classes", "Interface": "interfaces", "Component": "components"}
+
+
+def index_line(nodes: DataFrame) -> DataFrame:
+    counts = [F.count_if(F.col("label") == x) for x in INDEXED]
+    return nodes.agg(F.format_string("%d files, %d functions, %d classes, %d interfaces, %d components", *counts).alias("line"))
+
+
+def parse_totals(contains: DataFrame) -> DataFrame:
+    """(files, entities, edges) of CONTAINS: files that hold something, and what they hold."""
+    per = contains.groupBy("src").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+
+
+def flow_summary(flows: DataFrame) -> DataFrame:
+    """(file_path, flows, tainted, open: tainted and not sanitised) of rows (file_path, tainted, sanitized)."""
+    return flows.groupBy("file_path").agg(F.count("*").alias("flows"), F.count_if("tainted").alias("tainted"), F.count_if(F.col("tainted") & ~F.col("sanitized")).alias("open"))
+
+
+def distinct_names(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, names in order, each once, joined by commas)."""
+    return rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(name)), ",").alias("names"))
+
+
+def contained(entities: DataFrame, shown: int = 8) -> DataFrame:
+    """(file_path, position, name): the first entities of each file by line and then name."""
+    w = Window.partitionBy("file_path").orderBy("start_line", "name")
+    return entities.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= shown).select("file_path", "position", "name")
+
+
 def severity_summary(findings: DataFrame) -> DataFrame:
     names = [k for k in SEVERITIES if k != "info"]
     return findings.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == k).alias(k) for k in names])

@@ -140,6 +140,14 @@ def place() -> Column:
     return F.when(F.col("label") == "File", F.col("path")).otherwise(F.col("file_path"))
 
 
+def in_projects(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with every project (project, root) whose root folder they lie below: an equi-join on a path's folders, of
+    which there are as many as the path is deep, so any number of projects will do."""
+    folders = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda k: F.array_join(F.slice("_p", 1, k), "/"))
+    below = nodes.withColumn("_p", F.split(place(), "/")).where(F.size("_p") > 1).withColumn("root", F.explode(folders)).drop("_p")
+    return below.join(roots.select("project", F.regexp_replace("root", "/$", "").alias("root")), "root")
+
+
 def sort_key() -> Column:
     return F.when(F.col("label") == "File", F.col("path")).otherwise(F.col("name"))
 

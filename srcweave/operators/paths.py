@@ -1,8 +1,8 @@
 """Variable-length traversals.
 
 ``reach`` is breadth-first: each level joins the frontier with the edges, drops vertices seen already and goes on until
-the frontier is empty or the bound is reached; every few levels the state is written to the shared checkpoint folder
-to cut lineage. ``trails`` lists paths with no edge twice (the semantics of a variable-length pattern), growing arrays.
+the frontier is empty or the bound is reached; each level is written to the shared checkpoint folder, which cuts
+lineage and counts it. ``trails`` lists paths with no edge twice (the semantics of a variable-length pattern), growing arrays.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from ..plans import scratch
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """(src, dst) of the hops. Parallel edges stay: what is reached is made distinct, which is smaller than all edges."""
     out = edges.select("src", "dst")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return (out if direction == "out" else back if direction == "in" else out.unionAll(back)).distinct()
+    return out if direction == "out" else back if direction == "in" else out.unionAll(back)
 
 
 def reach(edges: DataFrame, start: DataFrame, direction: str = "out", depth: int | None = None, by_root: bool = False) -> DataFrame:
     """(root, id, depth): least number of hops from each root to each vertex; the roots have depth 0.
 
-    Without by_root all of ``start`` is one root (null) and the state holds each vertex once.
+    Without by_root all of ``start`` is one root (null) and the state holds each vertex once. ``edges`` is read once for
+    each level, two columns of it: it should be a stored table rather than a plan that computes it.
     """
     hops = directed(edges, direction)
     root = F.col("id") if by_root else F.lit(None).cast(start.schema["id"].dataType)
@@ -32,8 +34,8 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "out", depth: int
         step = frontier.join(hops, frontier["id"] == hops["src"]).select("root", F.col("dst").alias("id")).distinct()
         known = seen.select(F.col("root").alias("_r"), F.col("id").alias("_i"))
         new = step.join(known, step["root"].eqNullSafe(known["_r"]) & (step["id"] == known["_i"]), "left_anti")
-        frontier = scratch.materialize(new.withColumn("depth", F.lit(level)), "reach")
-        if frontier.isEmpty():
+        frontier, found = scratch.counted(new.withColumn("depth", F.lit(level)), "reach")
+        if not found:
             break
         seen = seen.unionAll(frontier)
         if level % 8 == 0:
@@ -47,11 +49,10 @@ def walks(edges: DataFrame, start: DataFrame, direction: str = "in", depth: int
     level = start.select(F.col("id").alias("root"), "id").distinct()
     out = None
     for k in range(1, depth + 1):
-        level = level.join(hops, level["id"] == hops["src"]).select("root", F.col("dst").alias("id")).distinct()
+        step = level.join(hops, level["id"] == hops["src"]).select("root", F.col("dst").alias("id")).distinct()
+        level = scratch.materialize(step, "walks")
         rows = level.withColumn("depth", F.lit(k))
         out = rows if out is None else out.unionAll(rows)
-        if k % 4 == 0:
-            level = scratch.materialize(level, "walks")
     return out
 
 
@@ -59,20 +60,24 @@ def trails(edges: DataFrame, start: DataFrame, depth: int, direction: str = "out
     """(root, id, length, nodes, edge flags) for every path of 1..depth edges with no edge twice.
 
     flags: boolean edge columns; each becomes an array with the path's values in order, so that ``any`` and ``none``
-    are exists() over it.
+    are exists() over it. Edges between the same nodes that differ in label or line are different ones. Each level is
+    written once and the next one starts from there.
     """
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    e = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.struct("src", "dst").alias("_e"), *flags)
+    e = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.struct("src", "dst", *[x for x in ("label", "line") if x in edges.columns]).alias("_e"), *flags)
     now = start.select(F.col("id").alias("root"), "id", F.array("id").alias("nodes"), F.array().cast(f"array<{dict(e.dtypes)['_e']}>").alias("used"), *[F.array().cast("array<boolean>").alias(f"all_{x}") for x in flags])
     out = None
     for k in range(1, depth + 1):
         step = now.join(e, (now["id"] == e["_a"]) & ~F.array_contains(now["used"], e["_e"]))
-        now = step.select(
+        step = step.select(
             "root", F.col("_b").alias("id"), F.concat("nodes", F.array("_b")).alias("nodes"), F.concat("used", F.array("_e")).alias("used"),
             *[F.concat(f"all_{x}", F.array(F.coalesce(x, F.lit(False)))).alias(f"all_{x}") for x in flags],
         )
+        now, found = scratch.counted(step, "trails")
         rows = now.withColumn("length", F.lit(k))
         out = rows if out is None else out.unionAll(rows)
+        if not found:
+            break
     return out.drop("used")
 
 

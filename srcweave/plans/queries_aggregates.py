@@ -37,13 +37,13 @@ def most_connected(t: Tables):
     return A.most_connected(t.functions().withColumn("label", F.lit("Function")), t.calls()).select("id", "name", "label", "degree")
 
 
-CALLERS = "+RECURSIVE s AS (SELECT DISTINCT dst AS root FROM cs WHERE dk % 40 = 0), r AS (SELECT root, root AS id, 0 AS depth FROM s UNION SELECT root, src, depth + 1 FROM r JOIN cs ON dst = r.id WHERE depth < 3), m AS (SELECT root, id, min(depth) AS depth FROM r WHERE id <> root GROUP BY 1, 2)"
+CALLERS = "+RECURSIVE s AS (SELECT DISTINCT dst AS root FROM cs), r AS (SELECT root, root AS id, 0 AS depth FROM s UNION SELECT root, src, depth + 1 FROM r JOIN cs ON dst = r.id WHERE depth < 3), m AS (SELECT root, id, min(depth) AS depth FROM r WHERE id <> root GROUP BY 1, 2)"
 
 
 def _callers(t: Tables):
     from ..operators.paths import reach
 
-    start = t.calls().where("dk % 40 = 0").select(F.col("dst").alias("id")).distinct()
+    start = t.calls().select(F.col("dst").alias("id")).distinct()
     return reach(t.calls(), start, "in", 3, by_root=True).where("id <> root"), start.withColumnRenamed("id", "root")
 
 
@@ -83,22 +83,22 @@ def affected_files(t: Tables):
 
 
 COUPLING = """+s AS (SELECT cs.src, count(DISTINCT cs.dst) AS n FROM cs JOIN fn a ON a.id = src JOIN fn b ON b.id = dst WHERE a.file_path = b.file_path GROUP BY 1), v AS (SELECT src, count(DISTINCT dst) AS m FROM edges WHERE label = 'READS' GROUP BY 1),
-z AS (SELECT fn.id, coalesce(n, 0) AS internal_calls, coalesce(m, 0) AS state_reads, coalesce(n, 0) + coalesce(m, 0) AS score, coalesce(n, 0) + coalesce(m, 0) < 3 AS candidate FROM fn LEFT JOIN s ON s.src = fn.id LEFT JOIN v ON v.src = fn.id)"""
+z AS (SELECT fn.id, coalesce(n, 0) AS internal_calls, coalesce(m, 0) AS state_reads, coalesce(n, 0) + coalesce(m, 0) AS score, coalesce(n, 0) + coalesce(m, 0) < 10 AS candidate FROM fn LEFT JOIN s ON s.src = fn.id LEFT JOIN v ON v.src = fn.id)"""
 
 
 @query(f"{COUPLING} SELECT * FROM z", "edges")
 def coupling(t: Tables):
-    return A.coupling(t.functions(), t.calls(), t.accesses("READS"))
+    return A.coupling(t.functions(), t.calls(), t.accesses("READS"), 10)
 
 
 @query(f"{COUPLING} SELECT round(avg(score), 1) AS avg_score, max(score) AS max_score, count(*) FILTER (candidate) AS candidates, CASE WHEN avg(score) <= 3 THEN 'low' WHEN avg(score) <= 6 THEN 'medium' ELSE 'high' END AS level FROM z", "edges")
 def coupling_summary(t: Tables):
-    return A.coupling_summary(A.coupling(t.functions(), t.calls(), t.accesses("READS")))
+    return A.coupling_summary(A.coupling(t.functions(), t.calls(), t.accesses("READS"), 10))
 
 
 @query(f"{COUPLING} SELECT id, score FROM z WHERE candidate ORDER BY score, id LIMIT 30", "edges")
 def extraction_candidates(t: Tables):
-    return A.coupling(t.functions(), t.calls(), t.accesses("READS")).where("candidate").orderBy("score", "id").limit(30).select("id", "score")
+    return A.coupling(t.functions(), t.calls(), t.accesses("READS"), 10).where("candidate").orderBy("score", "id").limit(30).select("id", "score")
 
 
 @query(
@@ -133,16 +133,14 @@ def severity_summary(t: Tables):
 
 @query("SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM fn) AS functions, (SELECT count(*) FROM nation) AS classes, (SELECT count(*) FROM edges) AS edges, (SELECT CAST(max(o_orderdate) AS VARCHAR) FROM orders) AS last_parsed", "edges")
 def index_status(t: Tables):
-    n = t.nodes().agg(*[F.count_if(F.col("label") == x).alias(y) for x, y in (("File", "files"), ("Function", "functions"), ("Class", "classes"))])
-    edges = t.edges().agg(F.count("*").alias("edges")).scalar()
+    n = A.index_counts(t.nodes(), t.edges())
     last = t.table("orders").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("x")).scalar()
-    return n.select("*", edges.alias("edges"), last.alias("last_parsed"))
+    return n.select("files", "functions", "classes", "edges", last.alias("last_parsed"))
 
 
 @query("SELECT (SELECT count(*) FROM f) || ' files, ' || (SELECT count(*) FROM fn) || ' functions, ' || (SELECT count(*) FROM nation) || ' classes, 0 interfaces, 0 components' AS line", "fn")
 def index_summary_line(t: Tables):
-    counts = [F.count_if(F.col("label") == x) for x in ("File", "Function", "Class", "Interface", "Component")]
-    return t.nodes().agg(F.format_string("%d files, %d functions, %d classes, %d interfaces, %d components", *counts).alias("line"))
+    return A.index_line(t.nodes())
 
 
 @query("+p AS (SELECT string_split(substr(path, 2), '/') AS x FROM f), d AS (SELECT x[1] AS dir, 1 AS depth FROM p UNION ALL SELECT x[1] || '/' || x[2], 2 FROM p) SELECT dir, depth, count(*) AS files FROM d GROUP BY 1, 2", "f")
@@ -181,21 +179,20 @@ def cache_stats(t: Tables):
 
 @query("+y AS (SELECT file_path, count(*) AS n FROM fn GROUP BY 1) SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS entities, (SELECT count(*) FROM edges WHERE label = 'CONTAINS') AS edges FROM y", "edges")
 def parse_totals(t: Tables):
-    per = t.contains().groupBy("src").agg(F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("files"), F.sum("n").alias("entities"), F.sum("n").alias("edges"))
+    return A.parse_totals(t.contains())
 
 
 @query("+y AS (SELECT s.file_path, tainted, sanitized FROM cs JOIN fn s ON s.id = src) SELECT file_path, count(*) AS flows, count(*) FILTER (tainted) AS tainted, count(*) FILTER (tainted AND NOT sanitized) AS open FROM y GROUP BY 1", "cs")
 def dataflow_summary(t: Tables):
     c = t.calls().join(t.functions().select(F.col("id").alias("src"), "file_path"), "src")
-    return c.groupBy("file_path").agg(F.count("*").alias("flows"), F.count_if("tainted").alias("tainted"), F.count_if(F.col("tainted") & ~F.col("sanitized")).alias("open"))
+    return A.flow_summary(c)
 
 
 @query("+s AS (SELECT DISTINCT d.p_brand AS brand, a.file_path FROM cs JOIN fn a ON a.id = src JOIN fn d ON d.id = dst WHERE sanitized) SELECT file_path, string_agg(brand, ',' ORDER BY brand) AS sanitizers FROM s GROUP BY 1", "cs")
 def sanitizer_names(t: Tables):
     fn = t.functions()
     c = t.calls().where("sanitized").join(fn.select(F.col("id").alias("src"), "file_path"), "src").join(fn.select(F.col("id").alias("dst"), "p_brand"), "dst")
-    return c.groupBy("file_path").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("sanitizers"))
+    return A.distinct_names(c, "file_path", "p_brand").withColumnRenamed("names", "sanitizers")
 
 
 @query("+y AS (SELECT src AS id, 'out' AS direction, label AS type, dst AS other FROM edges WHERE label <> 'CONTAINS' UNION SELECT dst, 'in', label, src FROM edges WHERE label <> 'CONTAINS'), r AS (SELECT *, row_number() OVER (PARTITION BY id, type, direction ORDER BY other) AS n FROM y) SELECT id, type, direction, count(*) AS total, string_agg(other, ',' ORDER BY other) FILTER (n <= 5) AS shown FROM r GROUP BY 1, 2, 3", "edges")
@@ -208,7 +205,4 @@ def relation_groups(t: Tables):
 
 @query("+r AS (SELECT file_path, name, start_line, row_number() OVER (PARTITION BY file_path ORDER BY start_line, name) AS n FROM fn) SELECT file_path, n AS position, name FROM r WHERE n <= 8", "fn")
 def contained_groups(t: Tables):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file_path").orderBy("start_line", "name")
-    return t.functions().withColumn("position", F.row_number().over(w).cast("long")).where("position <= 8").select("file_path", "position", "name")
+    return A.contained(t.functions())

@@ -98,7 +98,7 @@ def variable_access(t: Tables):
 
 
 # resolution: references are calls by name; files import the files that they call
-IMPORTS = """+d AS (SELECT file_path, name FROM fn GROUP BY 1, 2), im AS (SELECT a.file_path AS fp, b.name AS local, min(b.file_path) AS tf FROM cs JOIN fn a ON a.id = src JOIN fn b ON b.id = dst WHERE a.file_path <> b.file_path AND b.k % 2 = 0 GROUP BY 1, 2),
+IMPORTS = """+d AS (SELECT file_path, name FROM fn GROUP BY 1, 2), im AS (SELECT a.file_path AS fp, b.name AS local, min(b.file_path) AS tf FROM cs JOIN fn a ON a.id = src JOIN fn b ON b.id = dst WHERE a.file_path <> b.file_path GROUP BY 1, 2),
 refs AS (SELECT a.id AS caller, a.file_path AS fp, b.name AS name FROM cs JOIN fn a ON a.id = src JOIN fn b ON b.id = dst)"""
 
 
@@ -107,7 +107,7 @@ def _refs(t: Tables):
     c = t.calls().select("src", "dst")
     a, b = fn.select(F.col("id").alias("src"), "file_path"), fn.select(F.col("id").alias("dst"), "name", F.col("file_path").alias("to"), "k")
     both = c.join(a, "src").join(b, "dst")
-    imports = both.where("file_path <> to and k % 2 = 0").select("file_path", F.col("name").alias("local"), F.col("name").alias("source_name"), F.col("to").alias("resolved_path"))
+    imports = both.where("file_path <> to").select("file_path", F.col("name").alias("local"), F.col("name").alias("source_name"), F.col("to").alias("resolved_path"))
     return both.select(F.col("src").alias("caller"), "file_path", "name"), imports, fn
 
 
@@ -131,11 +131,11 @@ def inheritance_resolution(t: Tables):
     return out.select("child", F.col("to_name").alias("parent"), "kind")
 
 
-@query("+d AS (SELECT DISTINCT name FROM fn WHERE k % 5 <> 0), r AS (SELECT b.name FROM cs JOIN fn b ON b.id = dst) SELECT count(*) AS \"references\", count(d.name) AS resolved, count(*) - count(d.name) AS unresolved, (SELECT count(*) FROM fn WHERE k % 5 <> 0) AS symbols FROM r LEFT JOIN d ON d.name = r.name", "cs")
+@query("+d AS (SELECT DISTINCT name FROM fn), r AS (SELECT b.name || CASE WHEN b.k % 5 = 0 THEN '?' ELSE '' END AS name FROM cs JOIN fn b ON b.id = dst) SELECT count(*) AS \"references\", count(d.name) AS resolved, count(*) - count(d.name) AS unresolved, (SELECT count(*) FROM fn) AS symbols FROM r LEFT JOIN d ON d.name = r.name", "cs")
 def symbol_resolve_counts(t: Tables):
     fn = t.functions().select("id", "name", "k")
     refs = t.calls().select(F.col("dst").alias("id")).join(fn, "id")
-    return R.count_resolved(refs, fn.where("k % 5 <> 0"))
+    return R.count_resolved(refs.withColumn("name", F.concat("name", F.when(F.col("k") % 5 == 0, "?").otherwise(""))), fn)
 
 
 ENDINGS = "'.ts', '.tsx', '.js', '.jsx', '.mts', '.cts', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mts', '/index.cts', '/index.mjs', '/index.cjs'"
@@ -159,8 +159,8 @@ def import_candidates(t: Tables):
     return R.resolve_imports(i, t.files()).select("file_path", "source", "resolved_path")
 
 
-LISTS = """WITH a AS (SELECT 'd/' || doc_id AS path, substr(sha256(text), 1, 16) AS hash FROM documents WHERE doc_id % 3 <> 0),
-b AS (SELECT 'd/' || (doc_id + CASE WHEN doc_id % 7 = 0 THEN 1000000 ELSE 0 END) AS path, substr(sha256(text || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END), 1, 16) AS hash FROM documents WHERE doc_id % 11 <> 0),
+LISTS = """WITH a AS (SELECT 'd/' || (doc_id + CASE WHEN doc_id % 3 = 0 THEN 2000000 ELSE 0 END) AS path, substr(sha256(text), 1, 16) AS hash FROM documents),
+b AS (SELECT 'd/' || (doc_id + CASE WHEN doc_id % 7 = 0 THEN 1000000 ELSE 0 END) AS path, substr(sha256(text || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END), 1, 16) AS hash FROM documents),
 ch AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'modified' ELSE 'unchanged' END AS type, b.hash AS hash, a.hash AS previous_hash FROM a FULL JOIN b ON a.path = b.path)"""
 RENAMES = """, g AS (SELECT path, previous_hash AS h, row_number() OVER (PARTITION BY previous_hash ORDER BY path) AS n FROM ch WHERE type = 'deleted'),
 w AS (SELECT path, hash AS h, row_number() OVER (PARTITION BY hash ORDER BY path) AS n FROM ch WHERE type = 'added'),
@@ -171,9 +171,9 @@ r AS (SELECT path, type, hash, previous_hash, NULL AS old_path FROM ch WHERE NOT
 def listings(t: Tables):
     d, i = t.table("documents").select("doc_id", "text"), F.col("doc_id")
     name = lambda c: F.concat(F.lit("d/"), c.cast("string")).alias("path")
-    stored = d.where("doc_id % 3 <> 0").select(name(i), C.content_hash(F.col("text")).alias("hash"))
+    stored = d.select(name(i + F.when(i % 3 == 0, 2000000).otherwise(0)), C.content_hash(F.col("text")).alias("hash"))
     moved = i + F.when(i % 7 == 0, 1000000).otherwise(0)
-    return stored, d.where("doc_id % 11 <> 0").select(name(moved), C.content_hash(F.concat("text", F.when(i % 5 == 0, "x").otherwise(""))).alias("hash"))
+    return stored, d.select(name(moved), C.content_hash(F.concat("text", F.when(i % 5 == 0, "x").otherwise(""))).alias("hash"))
 
 
 @query(f"{LISTS} SELECT * FROM ch")
@@ -192,16 +192,16 @@ def change_summary(t: Tables):
 
 
 @query(
-    """WITH s AS (SELECT user_id AS file, event_id AS source, event_type AS variable FROM events WHERE event_type IN ('view', 'click', 'error') AND event_id % 3 = 0),
-    k AS (SELECT user_id AS file, event_id AS sink, event_type || '(' || CASE event_id % 5 WHEN 0 THEN 'escape(click)' WHEN 1 THEN 'view + x' WHEN 2 THEN 'error' ELSE 'none' END || ')' AS argument FROM events WHERE event_id % 4 = 1)
+    """WITH s AS (SELECT user_id AS file, event_id AS source, event_type AS variable FROM events WHERE event_type IN ('view', 'click', 'error')),
+    k AS (SELECT user_id AS file, event_id AS sink, event_type || '(' || CASE event_id % 5 WHEN 0 THEN 'escape(click)' WHEN 1 THEN 'view + x' WHEN 2 THEN 'error' ELSE 'none' END || ')' AS argument FROM events)
     SELECT s.file, source, sink FROM s JOIN k ON s.file = k.file WHERE contains(argument, variable) AND NOT contains(argument, 'escape')"""
 )
 def taint_theta_join(t: Tables):
     e = t.table("events")
-    s = e.where("event_type in ('view', 'click', 'error') and event_id % 3 = 0").select(F.col("user_id").alias("file"), F.col("event_id").alias("source"), F.col("event_type").alias("variable"))
+    s = e.where("event_type in ('view', 'click', 'error')").select(F.col("user_id").alias("file"), F.col("event_id").alias("source"), F.col("event_type").alias("variable"))
     m = F.col("event_id") % 5
     arg = F.when(m == 0, "escape(click)").when(m == 1, "view + x").when(m == 2, "error").otherwise("none")
-    k = e.where("event_id % 4 = 1").select(F.col("user_id").alias("file"), F.col("event_id").alias("sink"), F.concat("event_type", F.lit("("), arg, F.lit(")")).alias("argument"))
+    k = e.select(F.col("user_id").alias("file"), F.col("event_id").alias("sink"), F.concat("event_type", F.lit("("), arg, F.lit(")")).alias("argument"))
     return R.taint_matches(s, k, ("escape", "sanitize")).select("file", "source", "sink")
 
 
@@ -217,15 +217,14 @@ def link_resolution(t: Tables):
     return R.resolve_links(links).select("page_id", "target", "is_internal", "resolved")
 
 
-@query("SELECT r.r_name AS project, n.id FROM region r JOIN nodes n ON coalesce(n.path, n.file_path) LIKE '/' || r.r_name || '/%' WHERE r.r_regionkey % 2 = 0", "nodes")
+@query("SELECT r.r_name AS project, n.id FROM region r JOIN nodes n ON coalesce(n.path, n.file_path) LIKE '/' || r.r_name || '/%'", "nodes")
 def project_scope(t: Tables):
-    roots = t.table("region").where("r_regionkey % 2 = 0").select(F.col("r_name").alias("project"), F.concat(F.lit("/"), "r_name", F.lit("/")).alias("root"))
-    n = t.nodes().select("id", G.place().alias("at"))
-    return n.join(F.broadcast(roots.limit(10_000)), F.col("at").startswith(F.col("root"))).select("project", "id")
+    roots = t.table("region").select(F.col("r_name").alias("project"), F.concat(F.lit("/"), "r_name").alias("root"))
+    return G.in_projects(t.nodes(), roots).select("project", "id")
 
 
 @query(
-    """WITH e AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations WHERE turn < 2), u AS (SELECT conv_id, word, min(turn) AS first_turn, count(*) AS n FROM e GROUP BY 1, 2),
+    """WITH e AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations), u AS (SELECT conv_id, word, min(turn) AS first_turn, count(*) AS n FROM e GROUP BY 1, 2),
     r AS (SELECT conv_id, string_split(text, ' ')[1] AS head, string_split(text, ' ')[2] AS tail FROM conversations)
     SELECT r.conv_id, head, tail, h.first_turn AS head_turn, t.first_turn AS tail_turn FROM r JOIN u h ON h.conv_id = r.conv_id AND h.word = head JOIN u t ON t.conv_id = r.conv_id AND t.word = tail"""
 )
@@ -233,7 +232,7 @@ def annotations_resolve(t: Tables):
     from ..functions.nlp import resolve_relations
 
     c = t.table("conversations")
-    e = c.where("turn < 2").select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("id"), F.explode(F.split("text", " ")).alias("text"))
+    e = c.select(F.col("conv_id").alias("sample_id"), F.col("turn").alias("id"), F.explode(F.split("text", " ")).alias("text"))
     words = F.split("text", " ")
     r = c.select(F.col("conv_id").alias("sample_id"), words[0].alias("head"), F.try_element_at(words, F.lit(2)).alias("tail"))
     return resolve_relations(r, e).select(F.col("sample_id").alias("conv_id"), "head", "tail", F.col("head_id").alias("head_turn"), F.col("tail_id").alias("tail_turn"))

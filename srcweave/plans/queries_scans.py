@@ -127,9 +127,8 @@ def commits_recent(t: Tables):
     return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"))
 
 
-@query("SELECT id, split_part(id, ':', 1) AS label, split_part(id, ':', 3) AS name, CAST(split_part(id, ':', 4) AS BIGINT) AS line FROM fn WHERE k % 10 = 0", "fn")
+@query("SELECT id, split_part(id, ':', 1) AS label, split_part(id, ':', 3) AS name, CAST(split_part(id, ':', 4) AS BIGINT) AS line FROM fn", "fn")
 def id_parse(t: Tables):
     parts = F.split("id", ":")
-    fn = t.functions().where("k % 10 = 0")
-    fn = fn.withColumn("id", node_id("Function", F.col("file_path"), F.col("name"), F.col("start_line")))
+    fn = t.functions().withColumn("id", node_id("Function", F.col("file_path"), F.col("name"), F.col("start_line")))
     return fn.select("id", parts[0].alias("label"), parts[2].alias("name"), parts[3].cast("long").alias("line"))

@@ -11,14 +11,14 @@ from .testgraph import Tables
 
 
 @query(
-    """WITH cur AS (SELECT s_suppkey AS k, s_name AS name, CAST(s_acctbal AS DOUBLE) AS v FROM supplier), b AS (SELECT l_suppkey AS k, l_shipmode_ AS name, v, seq FROM (SELECT l_suppkey, l_returnflag AS l_shipmode_, CASE WHEN l_linestatus = 'F' THEN NULL ELSE l_quantity END AS v, l_orderkey * 100000000 + l_partkey * 100 + l_linenumber AS seq FROM lineitem WHERE l_suppkey % 2 = 0)),
+    """WITH cur AS (SELECT s_suppkey AS k, s_name AS name, CAST(s_acctbal AS DOUBLE) AS v FROM supplier), b AS (SELECT 2 * l_suppkey AS k, l_returnflag AS name, CASE WHEN l_linestatus = 'F' THEN NULL ELSE l_quantity END AS v, l_orderkey * 100000000 + l_partkey * 100 + l_linenumber AS seq FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC, name, v) AS n FROM b) SELECT k, name, v FROM r WHERE n = 1 AND k IN (SELECT k FROM b) UNION ALL SELECT k, name, v FROM cur WHERE k NOT IN (SELECT k FROM b)"""
 )
 def upsert_last_wins(t: Tables):
     cur = t.table("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("v"))
-    li = t.table("lineitem").where("l_suppkey % 2 = 0")
+    li = t.table("lineitem")  # keys are doubled: odd ones stay as they are, those beyond the suppliers are new
     seq = (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("seq")
-    batch = li.select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("name"), F.when(F.col("l_linestatus") != "F", F.col("l_quantity")).alias("v"), seq)
+    batch = li.select((2 * F.col("l_suppkey")).alias("k"), F.col("l_returnflag").alias("name"), F.when(F.col("l_linestatus") != "F", F.col("l_quantity")).alias("v"), seq)
     return U.upsert(cur, batch, ["k"]).select("k", "name", "v")
 
 
@@ -46,11 +46,11 @@ def inherit_stubs(t: Tables):
     return U.inherit_stubs(k, k.select(F.col("id").alias("src"), name, file))[0].select("name", "file_path")
 
 
-@query("SELECT 'S' || l_suppkey AS src_id, 'O' || l_orderkey AS dst_id, CAST(sum(l_quantity) AS BIGINT) AS lines_added FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 2 = 0 AND o_orderkey % 5 = 0 GROUP BY 1, 2")
+@query("SELECT 'S' || l_suppkey AS src_id, 'O' || l_orderkey AS dst_id, CAST(sum(l_quantity) AS BIGINT) AS lines_added FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2")
 def modified_in_upsert(t: Tables):
     refs = t.table("lineitem").groupBy(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("commit")).agg(F.sum("l_quantity").cast("long").alias("lines_added"))
-    files = t.table("supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("key"))
-    commits = t.table("orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderkey").alias("key"))
+    files = t.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").alias("key"))
+    commits = t.table("orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderkey").alias("key"))
     return U.match_ends(refs, files, commits, ["file"], ["commit"], ["key"]).select("src_id", "dst_id", "lines_added")
 
 
@@ -61,7 +61,7 @@ def flows_by_name_and_file(t: Tables):
     return U.match_ends(c, fn, fn, ["sn", "sf"], ["dn", "df"], ["name", "file_path"]).select("src_id", "dst_id")
 
 
-@query("+w AS (SELECT 'File:' || path AS id FROM f WHERE s_suppkey % 2 = 0), g AS (SELECT id FROM w UNION SELECT dst FROM edges WHERE label = 'CONTAINS' AND src IN (SELECT id FROM w)) SELECT src, dst, label FROM edges WHERE src NOT IN (SELECT id FROM g) AND dst NOT IN (SELECT id FROM g)", "edges")
+@query("+a AS MATERIALIZED (SELECT * FROM edges), w AS (SELECT 'File:' || path AS id FROM f WHERE s_suppkey % 2 = 0), g AS MATERIALIZED (SELECT id FROM w UNION SELECT dst FROM a WHERE label = 'CONTAINS' AND src IN (SELECT id FROM w)) SELECT src, dst, label FROM a ANTI JOIN g ON a.src = g.id ANTI JOIN g AS h ON a.dst = h.id", "edges")
 def delete_file_cascade(t: Tables):
     paths = t.files().where("s_suppkey % 2 = 0").select("path")
     return U.delete_files(t.graph(), paths).edges.select("src", "dst", "label")
@@ -84,11 +84,10 @@ def link_project_files(t: Tables):
     return U.link_files(links, "p", f.select("path"))
 
 
-@query("SELECT DISTINCT src.id AS src, d.id AS dst FROM cs JOIN fn src ON src.id = cs.src JOIN fn t ON t.id = cs.dst JOIN fn d ON d.name = t.name WHERE cs.sk % 50 = 0", "cs")
+@query("SELECT DISTINCT src.id AS src, d.id AS dst FROM cs JOIN fn src ON src.id = cs.src JOIN fn t ON t.id = cs.dst JOIN fn d ON d.name = t.name", "cs")
 def renders_by_name(t: Tables):
     fn = t.functions().select("id", "name")
-    c = t.calls().where("sk % 50 = 0")
-    refs = c.join(fn.select(F.col("id").alias("dst"), F.col("name").alias("child")), "dst").select("src", "child", "line")
+    refs = t.calls().join(fn.select(F.col("id").alias("dst"), F.col("name").alias("child")), "dst").select("src", "child", "line")
     return U.renders(refs, fn).select("src", "dst")
 
 

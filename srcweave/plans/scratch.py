@@ -1,20 +1,27 @@
-"""Tables that cut lineage: written to the shared folder named by ``spark.checkpoint.dir`` and read back."""
+"""Tables that cut lineage: written to the shared folder named by ``spark.checkpoint.dir`` and read back.
+
+They stay for the session, as results are lazy and read them; ``clean`` deletes what the session has written.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests, local mode)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode where the session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="srcweave-")
@@ -22,12 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete every table that this session has written here; results that still read them can't be used any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file through the session's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+
+def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back: what follows doesn't recompute it, and a lost executor loses nothing."""
+    return counted(df, name, by, False)[0]
+
+
+def counted(df: DataFrame, name: str, by: tuple[str, ...] = (), count: bool = True) -> tuple[DataFrame, int]:
+    """The same, partitioned by some columns; and the number of rows, counted while they are written."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = new_path(spark, name), Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if count else df
+    rows.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns), seen.get["n"] if count else -1

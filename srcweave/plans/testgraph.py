@@ -1,18 +1,20 @@
 """A property graph over the driver's tables, and the same graph as SQL for the oracle.
 
-Projects are regions, files suppliers, functions parts, commits orders; calls join consecutive line items of an order.
-Both sides derive every piece from the tables, so each operator can be held against plain SQL.
+Projects are regions, files suppliers, functions parts, commits orders; calls join consecutive line items of an order,
+open line items read the variable of their supplier's nation and closed ones write it. Both sides derive every piece
+from all rows of the tables, so each operator can be held against plain SQL. As an index is built once and asked many
+times, the pieces are written once for a session and folder, edges and nodes partitioned by label, and read from there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import node_id
 from ..operators.graph import PropertyGraph
-
-#: Least quantity on both line items of a call.
-T = 40
+from . import scratch
 
 FILES = """f AS (SELECT s_suppkey, '/' || r_name || '/' || n_name || '/' || s_name || '.ts' AS path, s_name || '.ts' AS name,
   r_name AS project, '/' || r_name AS root, r_regionkey AS pid, s_nationkey AS nk
@@ -20,8 +22,8 @@ FILES = """f AS (SELECT s_suppkey, '/' || r_name || '/' || n_name || '/' || s_na
 FUNCTIONS = """fn AS (SELECT p_partkey AS k, p_name AS name, f.path AS file_path, p_partkey AS start_line,
   p_partkey + p_size AS end_line, p_size AS complexity, 'Function:' || f.path || ':' || p_name || ':' || p_partkey AS id, p_type, p_brand
   FROM part JOIN f ON f.s_suppkey = p_partkey % (SELECT count(*) FROM supplier))"""
-CALLS = f"""li AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS k, l_returnflag = 'R' AS t, l_linestatus = 'F' AS z
-  FROM lineitem WHERE l_quantity >= {T}),
+CALLS = """li AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS k, l_returnflag = 'R' AS t, l_linestatus = 'F' AS z
+  FROM lineitem),
 c AS (SELECT a.k AS sk, b.k AS dk, min(a.n) AS line, count(*) AS cnt, bool_or(a.t) AS tainted, bool_or(a.z) AS sanitized
   FROM li a JOIN li b ON a.o = b.o AND b.n = a.n + 1 GROUP BY 1, 2)"""
 CALLS_IDS = "cs AS (SELECT s.id AS src, d.id AS dst, sk, dk, line, cnt, tainted, sanitized FROM c JOIN fn s ON s.k = sk JOIN fn d ON d.k = dk)"
@@ -32,8 +34,8 @@ NODES = """nodes AS (SELECT 'File:' || path AS id, 'File' AS label, name, path,
 EDGES = """edges AS (SELECT 'File:' || file_path AS src, id AS dst, 'CONTAINS' AS label FROM fn
   UNION ALL SELECT src, dst, 'CALLS' FROM cs
   UNION ALL SELECT DISTINCT 'File:' || a.file_path, 'File:' || b.file_path, 'IMPORTS' FROM cs JOIN fn a ON a.id = src JOIN fn b ON b.id = dst WHERE a.file_path <> b.file_path
-  UNION ALL SELECT DISTINCT fn.id, 'Variable:/' || n_name || '.ts:v_' || n_name || ':1', 'READS' FROM lineitem JOIN fn ON fn.k = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_quantity >= 49
-  UNION ALL SELECT DISTINCT fn.id, 'Variable:/' || n_name || '.ts:v_' || n_name || ':1', 'WRITES' FROM lineitem JOIN fn ON fn.k = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_quantity <= 1)"""
+  UNION ALL SELECT DISTINCT fn.id, 'Variable:/' || n_name || '.ts:v_' || n_name || ':1', 'READS' FROM lineitem JOIN fn ON fn.k = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linestatus = 'O'
+  UNION ALL SELECT DISTINCT fn.id, 'Variable:/' || n_name || '.ts:v_' || n_name || ':1', 'WRITES' FROM lineitem JOIN fn ON fn.k = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_linestatus = 'F')"""
 
 
 def sql(body: str, *parts: str) -> str:
@@ -47,6 +49,9 @@ def sql(body: str, *parts: str) -> str:
     return f"WITH {recursive}{head}" + (",\n" if body.lstrip().startswith("+") else "\n") + body.lstrip().removeprefix("+")
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """The graph's pieces as DataFrames."""
 
@@ -56,6 +61,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` makes, written at the first use; by label where it has one."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            _STORED[key] = scratch.materialize(build(), name, ("label",) if name in ("nodes", "edges") else ())
+        return _STORED[key]
+
     def files(self) -> DataFrame:
         s, n, r = self.table("supplier"), self.table("nation"), self.table("region")
         out = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
@@ -66,6 +78,9 @@ class Tables:
         )
 
     def functions(self) -> DataFrame:
+        return self.stored("functions", self._functions)
+
+    def _functions(self) -> DataFrame:
         f, p = self.files(), self.table("part")
         n = self.table("supplier").agg(F.count("*").alias("n")).scalar()
         p = p.withColumn("fk", F.col("p_partkey") % n)
@@ -76,18 +91,21 @@ class Tables:
             F.col("p_size").alias("complexity"), node_id("Function", f["path"], F.col("p_name"), line).alias("id"), "p_type", "p_brand",
         )
 
-    def calls_by_key(self, least: int = T) -> DataFrame:
-        li = self.table("lineitem").where(F.col("l_quantity") >= least)
+    def calls_by_key(self) -> DataFrame:
+        li = self.table("lineitem")
         flags = [(F.col("l_returnflag") == "R").alias("t"), (F.col("l_linestatus") == "F").alias("z")]
         a = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("sk"), *flags)
         b = li.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dk"))
         out = a.join(b, ["o", "n"]).groupBy("sk", "dk")
         return out.agg(F.min("n").alias("line"), F.count("*").alias("count"), F.bool_or("t").alias("tainted"), F.bool_or("z").alias("sanitized"))
 
-    def calls(self, least: int = T) -> DataFrame:
+    def calls(self) -> DataFrame:
         """CALLS with ids of both ends."""
+        return self.stored("calls", self._calls)
+
+    def _calls(self) -> DataFrame:
         ids = self.functions().select("k", "id")
-        c = self.calls_by_key(least)
+        c = self.calls_by_key()
         c = c.join(ids.toDF("sk", "src"), "sk").join(ids.toDF("dk", "dst"), "dk")
         return c.select("src", "dst", "sk", "dk", F.lit("CALLS").alias("label"), "line", "count", "tainted", "sanitized")
 
@@ -102,22 +120,36 @@ class Tables:
 
     def accesses(self, label: str) -> DataFrame:
         """READS or WRITES from functions to variables."""
-        want = F.col("l_quantity") >= 49 if label == "READS" else F.col("l_quantity") <= 1
-        li = self.table("lineitem").where(want).select("l_partkey", "l_suppkey").distinct()
+        return self._of(label)
+
+    def _of(self, label: str) -> DataFrame:
+        return self.edges().where(F.col("label") == label).select("src", "dst", "label")
+
+    def _accesses(self, label: str) -> DataFrame:
+        li = self.table("lineitem").where(F.col("l_linestatus") == ("O" if label == "READS" else "F")).select("l_partkey", "l_suppkey").distinct()
         s = self.table("supplier").select("s_suppkey", "s_nationkey")
         pairs = li.join(s, li.l_suppkey == s.s_suppkey).select("l_partkey", "s_nationkey").distinct()
         fn, v = self.functions().select("k", F.col("id").alias("src")), self.variables().select("n_nationkey", F.col("id").alias("dst"))
         return pairs.join(fn, pairs.l_partkey == fn.k).join(v, pairs.s_nationkey == v.n_nationkey).select("src", "dst", F.lit(label).alias("label"))
 
     def contains(self) -> DataFrame:
+        return self._of("CONTAINS")
+
+    def _contains(self) -> DataFrame:
         return self.functions().select(F.concat(F.lit("File:"), "file_path").alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("label"))
 
     def imports(self) -> DataFrame:
-        fn, c = self.functions().select("k", "file_path"), self.calls_by_key()
+        return self._of("IMPORTS")
+
+    def _imports(self) -> DataFrame:
+        fn, c = self.functions().select("k", "file_path"), self.calls()
         c = c.join(fn.toDF("sk", "a"), "sk").join(fn.toDF("dk", "b"), "dk").where("a <> b").select("a", "b").distinct()
         return c.select(F.concat(F.lit("File:"), "a").alias("src"), F.concat(F.lit("File:"), "b").alias("dst"), F.lit("IMPORTS").alias("label"))
 
     def nodes(self) -> DataFrame:
+        return self.stored("nodes", self._nodes)
+
+    def _nodes(self) -> DataFrame:
         line = F.col("start_line").cast("long").alias("start_line")
         f = self.files().select(F.concat(F.lit("File:"), "path").alias("id"), F.lit("File").alias("label"), "name", "path", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("long").alias("start_line"))
         for label, df in (("Function", self.functions()), ("Class", self.classes()), ("Variable", self.variables())):
@@ -125,9 +157,12 @@ class Tables:
         return f.withColumn("is_external", F.lit(False))
 
     def edges(self) -> DataFrame:
+        return self.stored("edges", self._edges)
+
+    def _edges(self) -> DataFrame:
         none = [F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("count")]
         out = self.calls().select("src", "dst", "label", F.col("line").cast("int").alias("line"), "count")
-        for e in (self.contains(), self.imports(), self.accesses("READS"), self.accesses("WRITES")):
+        for e in (self._contains(), self._imports(), self._accesses("READS"), self._accesses("WRITES")):
             out = out.unionAll(e.select("src", "dst", "label", *none))
         return out
 
