@@ -1,7 +1,9 @@
 """A subset of Cypher, compiled to DataFrames.
 
-Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT, $parameters. Patterns have
-labels, property maps, directed and undirected relationships, type lists and lengths (``*``, ``*1..3``). Grouping is
+Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT, $parameters, and CALL of the
+full-text index with YIELD. Patterns have labels, property maps, directed and undirected relationships, type lists and
+lengths (``*``, ``*1..3``). A length without an end has none: paths grow until no edge is left that they don't hold, and
+where the query returns distinct rows without the paths themselves, only their ends are sought. Grouping is
 by the items that don't aggregate; within a MATCH no relationship is used twice; nulls sort as the largest values.
 Parameters become literals of the plan, never text. Writing is refused: snapshots change through ``operators.upsert``.
 
@@ -17,8 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.graph import PropertyGraph
+from . import scratch
 
-MAX_DEPTH = 10
 _TOKEN = re.compile(r"\s+|//[^\n]*|(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+\.\d+|\d+)|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<par>\$\w+)|(?P<op><=|>=|<>|=~|->|<-|\.\.|[-+*/%=<>()\[\]{},.:|])")
 _WRITES = {"CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "FOREACH", "LOAD"}
 _AGGREGATES: dict[str, Callable] = {
@@ -59,7 +61,7 @@ def _tokens(text: str) -> list[tuple[str, str]]:
 
 
 class _Query:
-    def __init__(self, graph: PropertyGraph, text: str, params: dict, max_depth: int):
+    def __init__(self, graph: PropertyGraph, text: str, params: dict, max_depth: int | None):
         self.g, self.params, self.max_depth = graph, params, max_depth
         self.t, self.k = _tokens(text), 0
         self.rows: DataFrame | None = None
@@ -68,6 +70,7 @@ class _Query:
         self.aggregated = False
         self.fresh = 0
         self.node_columns, self.edge_columns = set(graph.nodes.columns), set(graph.edges.columns)
+        self.ends_only = self._distinct_ends()
 
     # tokens -----------------------------------------------------------------------------------------------------
     def peek(self, n: int = 0) -> str:
@@ -93,6 +96,14 @@ class _Query:
         self.k += 1
         return x.strip("`")
 
+    def _distinct_ends(self) -> bool:
+        """Whether rows are made distinct at once, so that how many paths lead to an end makes no difference."""
+        words = [x.upper() if k == "name" else x for k, x in self.t]
+        clauses = [k for k, x in enumerate(words) if x in ("WITH", "RETURN") and not (k and words[k - 1] in ("STARTS", "ENDS"))]
+        if len(clauses) != 1 or words[clauses[0] : clauses[0] + 2] != ["RETURN", "DISTINCT"]:
+            return False
+        return not any(x.lower() in _AGGREGATES and words[k + 1 : k + 2] == ["("] for k, x in enumerate(words))
+
     # clauses ----------------------------------------------------------------------------------------------------
     def run(self) -> DataFrame:
         while self.k < len(self.t):
@@ -100,6 +111,8 @@ class _Query:
                 self.match(True)
             elif self.take("MATCH"):
                 self.match(False)
+            elif self.take("CALL"):
+                self.call()
             elif self.take("WITH"):
                 self.project(False)
                 if self.take("WHERE"):
@@ -113,6 +126,40 @@ class _Query:
                 raise CypherError(f"can't read {self.peek()!r}")
         raise CypherError("no RETURN")
 
+    def call(self) -> None:
+        """CALL db.index.fulltext.queryNodes(index, term) YIELD node, score: hits among the words of names."""
+        name = self.name()
+        while self.take("."):
+            name += "." + self.name()
+        if name.lower() != "db.index.fulltext.querynodes" or self.rows is not None:
+            raise CypherError(f"can't call {name} here")
+        self.need("(")
+        self._text()
+        self.need(",")
+        hits = self.g.fulltext(self._text()).select("id", F.col("score").alias("_score"))
+        self.need(")")
+        self.need("YIELD")
+        alias = {}
+        while not alias or self.take(","):
+            of = self.name()
+            alias[of] = self.name() if self.take("AS") else of
+        if not set(alias) <= {"node", "score"}:
+            raise CypherError("node and score can be yielded")
+        found = self.g.nodes.join(hits, "id")
+        self.rows = found.select(*[(F.struct(*[F.col(c) for c in self.g.nodes.columns]) if of == "node" else F.col("_score")).alias(a) for of, a in alias.items()])
+        self.kinds = {a: "node" if of == "node" else "value" for of, a in alias.items()}
+        if self.take("WHERE"):
+            self.rows = self.rows.where(self.expr())
+
+    def _text(self) -> str:
+        kind, x = self.t[self.k] if self.k < len(self.t) else ("", "")
+        self.k += 1
+        if kind == "par" and x[1:] in self.params:
+            return str(self.params[x[1:]])
+        if kind != "str":
+            raise CypherError(f"expected a text at {x!r}")
+        return re.sub(r"\\(.)", r"\1", x[1:-1])
+
     def match(self, optional: bool) -> None:
         at, before = self.k, self.rows
         bound = dict(self.kinds)
@@ -178,7 +225,7 @@ class _Query:
             back = self.take("<-") or (self.take("<") and self.take("-"))
             if not back:
                 self.need("-")
-            var, types, props, low, high = None, [], {}, None, None
+            var, types, props, low, high, many = None, [], {}, None, None, False
             if self.take("["):
                 if self.t[self.k][0] == "name":
                     var = self.name()
@@ -197,7 +244,8 @@ class _Query:
                         if self.t[self.k][0] == "num":
                             high = int(self.peek())
                             self.k += 1
-                    low, high = low or 1, min(high or self.max_depth, self.max_depth)
+                    low = low or 1
+                    many = True
                 if self.peek() == "{":
                     props = self.map()
                 self.need("]")
@@ -208,7 +256,7 @@ class _Query:
             direction = "in" if back else "out" if forward else "both"
             self.fresh += 1
             rel = var or f"_r{self.fresh}"
-            left = self.hop(left, rel, types, props, direction, low, high, used, bool(var) or bool(path))
+            left = self.hop(left, rel, types, props, direction, low if many else None, high, used, bool(var) or bool(path))
             steps.append((rel, left))
         if path:
             self._path(path, steps)
@@ -278,7 +326,8 @@ class _Query:
             self.kinds[rel] = "rel"
             used.append(rel)
         else:
-            rows = self._lengths(left, rel, hops, low, high)
+            ends = self.ends_only and not keep and direction != "both" and low == 1 and high is None
+            rows = self._ends(left, rel, hops) if ends else self._lengths(left, rel, hops, low, high)
             self.kinds[rel] = "rels"
         if right in self.kinds and right in rows.columns:
             rows = self._only(rows.where(F.col(right)["id"] == F.col("_b")), var, labels, node_props).drop("_b")
@@ -288,16 +337,36 @@ class _Query:
         self.rows = rows
         return right
 
-    def _lengths(self, left: str, rel: str, hops: DataFrame, low: int, high: int) -> DataFrame:
-        """Paths of low..high relationships without repeats, as _b and a struct (nodes, rels)."""
+    def _ends(self, left: str, rel: str, hops: DataFrame) -> DataFrame:
+        """All that one relationship or more lead to, as _b, each once for a start; a start only by way of a cycle."""
+        from ..operators.paths import reach
+
+        edges = scratch.materialize(hops.select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct(), "hops")
+        start = self.rows.select(F.col(left)["id"].alias("id")).distinct()
+        seen = reach(edges, start, by_root=True).select("root", "id")
+        ends = seen.join(edges, seen["id"] == edges["src"]).select(F.col("root").alias("_root"), F.col("dst").alias("_b")).distinct()
+        return self.rows.join(ends.withColumn(rel, F.lit(None)), F.col(left)["id"] == F.col("_root")).drop("_root")
+
+    def _lengths(self, left: str, rel: str, hops: DataFrame, low: int, high: int | None) -> DataFrame:
+        """Paths of low..high relationships without repeats, as _b and a struct (nodes, rels); each level is written once.
+
+        Without ``high`` levels go on until no path can grow. A query's own limit on depth is an error where longer
+        paths exist, never a cut.
+        """
         start = self.rows.select(F.col(left)["id"].alias("_root")).distinct()
         now = start.select("_root", F.col("_root").alias("_at"), F.array("_root").alias("_n"), F.array().cast(f"array<{dict(hops.dtypes)['_s']}>").alias("_l"))
-        found = None
-        for k in range(1, high + 1):
+        found, k = None, 0
+        while high is None or k < high:
+            k += 1
             step = now.join(hops, (F.col("_at") == F.col("_a")) & ~F.exists("_l", lambda x: x["_e"] == F.col("_s")["_e"]))
-            now = step.select("_root", F.col("_b").alias("_at"), F.concat("_n", F.array("_b")).alias("_n"), F.concat("_l", F.array("_s")).alias("_l"))
-            if k >= low:
+            step = step.select("_root", F.col("_b").alias("_at"), F.concat("_n", F.array("_b")).alias("_n"), F.concat("_l", F.array("_s")).alias("_l"))
+            now, n = scratch.counted(step, "paths")
+            if n and self.max_depth is not None and k > self.max_depth:
+                raise CypherError(f"there are paths of more than {self.max_depth} relationships")
+            if k >= low or not n:
                 found = now if found is None else found.unionAll(now)
+            if not n:
+                break
         found = found.select("_root", F.col("_at").alias("_b"), F.struct(F.col("_n").alias("nodes"), F.col("_l").alias("rels")).alias(rel))
         return self.rows.join(found, F.col(left)["id"] == F.col("_root")).drop("_root")
 
@@ -618,7 +687,7 @@ class _Query:
         return self._after(_SCALARS[fn](*args), "value")
 
 
-def cypher(graph: PropertyGraph, text: str, params: dict | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The rows that a read-only query returns."""
+def cypher(graph: PropertyGraph, text: str, params: dict | None = None, max_depth: int | None = None) -> DataFrame:
+    """The rows that a read-only query returns. max_depth: refuse patterns that have longer paths than this."""
     guard(text)
     return _Query(graph, text, params or {}, max_depth).run()

@@ -63,3 +63,29 @@ def test_guards(graph):
     for bad in ("MATCH (n) DELETE n", "CREATE (n)", "MATCH (n) SET n.x = 1 RETURN n", "MATCH (a), (b) RETURN a", "MATCH (n) RETURN m", "MATCH (n) RETURN $p", "MATCH (n)"):
         with pytest.raises(CypherError):
             cypher(graph, bad)
+
+
+def test_lengths_without_an_end(spark):
+    """A chain longer than any fixed bound, with a cycle at its end."""
+    from pyspark.sql import functions as F
+
+    n = 14
+    nodes = spark.createDataFrame([(f"n{k}", "Function", f"n{k}") for k in range(n + 1)], "id string, label string, name string")
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "CALLS") for k in range(n)] + [(f"n{n}", f"n{n - 2}", "CALLS")], "src string, dst string, label string")
+    g = PropertyGraph(nodes.withColumn("is_external", F.lit(False)), edges)
+    ends = cypher(g, "MATCH (a {name: 'n0'})-[:CALLS*]->(b) RETURN DISTINCT b.name AS b")
+    assert sorted(r.b for r in ends.collect()) == sorted(f"n{k}" for k in range(1, n + 1))
+    paths = cypher(g, "MATCH p = (a {name: 'n0'})-[:CALLS*]->(b) RETURN b.name AS b, length(p) AS d")
+    assert sorted((r.d, r.b) for r in paths.collect()) == [*[(k, f"n{k}") for k in range(1, n + 1)], (n + 1, f"n{n - 2}")]
+    assert cypher(g, "MATCH (a {name: 'n0'})-[:CALLS*1..12]->(b) RETURN count(b)").first()[0] == 12
+    assert cypher(g, "MATCH (a {name: 'n12'})-[:CALLS*]->(b) RETURN DISTINCT b.name AS b").count() == 3
+    with pytest.raises(CypherError):
+        cypher(g, "MATCH (a {name: 'n0'})-[:CALLS*]->(b) RETURN count(b)", max_depth=10)
+
+
+def test_fulltext_call(graph):
+    got = cypher(graph, "CALL db.index.fulltext.queryNodes('names', $q) YIELD node, score RETURN node.name AS n, score ORDER BY n", {"q": "p ts"})
+    assert [tuple(r) for r in got.collect()] == [("a.ts", 1), ("b.ts", 1), ("p", 1)]
+    for bad in ("CALL db.labels() YIELD label RETURN label", "CALL db.index.fulltext.queryNodes('x', 'y') YIELD other RETURN other"):
+        with pytest.raises(CypherError):
+            cypher(graph, bad)
