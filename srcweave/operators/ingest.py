@@ -2,6 +2,10 @@
 
 Extraction is a per-file function in Python workers: a file's text is parsed once and gives rows of every kind, packed
 as JSON; a file that doesn't parse gives one row with its error and the job goes on. What follows are DataFrame joins.
+
+A snapshot keeps what was extracted, so when some files change only these are parsed again (``reindex``). Names are then
+resolved over all that is kept, as a new symbol or file may answer to references in files that didn't change: the
+result is that of a full index. Where a name stands for several components, all of them are rendered.
 """
 
 from __future__ import annotations
@@ -101,7 +105,7 @@ def default_registry() -> Registry:
 
 
 def extract(files: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """(path, kind, row: JSON, error) of all files, written once."""
+    """(path, kind, row: JSON, error) of all files, written once by kind."""
     registry = registry or default_registry()
 
     def run(it):
@@ -120,7 +124,7 @@ def extract(files: DataFrame, registry: Registry | None = None) -> DataFrame:
                     out.append((path, "Error", None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "kind", "row", "error"])
 
-    return scratch.materialize(files.select("path", "content").mapInPandas(run, "path string, kind string, row string, error string"), "extracted")
+    return scratch.materialize(files.select("path", "content").mapInPandas(run, "path string, kind string, row string, error string"), "extracted", ("kind",))
 
 
 def rows_of(extracted: DataFrame, kind: str) -> DataFrame:
@@ -134,6 +138,18 @@ class Snapshot:
     files: DataFrame
     extracted: DataFrame
     graph: PropertyGraph
+    root: str = ""
+    project: str | None = None
+
+    def save(self, path: str) -> None:
+        self.files.write.mode("overwrite").parquet(f"{path}/files")
+        self.extracted.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/extracted")
+        self.graph.save(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, root: str = "", project: str | None = None) -> Snapshot:
+        x = spark.read.schema("path string, row string, error string, kind string").parquet(f"{path}/extracted").select("path", "kind", "row", "error")
+        return Snapshot(spark.read.parquet(f"{path}/files"), x, PropertyGraph.load(spark, path), root, project)
 
     def table(self, kind: str) -> DataFrame:
         return self.files if kind == "File" else rows_of(self.extracted, kind)
@@ -157,9 +173,29 @@ def imported_names(imports: DataFrame) -> DataFrame:
 
 def index(files: DataFrame, root: str = "", registry: Registry | None = None, project: str | None = None) -> Snapshot:
     """Index files (path, content, modified): all entities and edges."""
-    spark: SparkSession = files.sparkSession
-    fr = scratch.materialize(file_rows(files), "files")
-    x = extract(files, registry)
+    return link(scratch.materialize(file_rows(files), "files"), extract(files, registry), root, project)
+
+
+def reindex(old: Snapshot, files: DataFrame, removed: DataFrame, registry: Registry | None = None) -> Snapshot:
+    """The snapshot after some files (path, content, modified) came or changed and others (path) were removed."""
+    fr, x = scratch.materialize(file_rows(files), "files"), extract(files, registry)
+    gone = scratch.materialize(removed.select("path").unionAll(fr.select("path")).distinct(), "gone")
+    fr = scratch.materialize(old.files.join(gone, "path", "left_anti").unionByName(fr), "files")
+    x = scratch.materialize(old.extracted.join(gone, "path", "left_anti").unionByName(x), "extracted", ("kind",))
+    return link(fr, x, old.root, old.project)
+
+
+def parse_file(path: str, content: str, registry: Registry | None = None) -> dict[str, list[dict]]:
+    """One file's rows by kind, parsed here and now; an ending without an extractor is an error."""
+    fn = (registry or default_registry()).for_path(path)
+    if fn is None:
+        raise ValueError(f"no extractor for {path}")
+    return fn(path, content)
+
+
+def link(fr: DataFrame, x: DataFrame, root: str = "", project: str | None = None) -> Snapshot:
+    """The graph of files and what was extracted from them."""
+    spark: SparkSession = fr.sparkSession
     t = {k: rows_of(x, k) for k in ("Function", "Class", "Interface", "Variable", "Type", "Component", "Import", "Call", "Render")}
     paths = fr.select("path")
     imports = t["Import"].drop("resolved_path")
@@ -216,20 +252,8 @@ def index(files: DataFrame, root: str = "", registry: Registry | None = None, pr
         nodes = nodes.unionByName(spark.createDataFrame([(f"Project:{project}", "Project", project)], "id string, label string, name string"), allowMissingColumns=True)
         edges = edges.unionByName(fr.select(F.lit(f"Project:{project}").alias("src"), fid(F.col("path")).alias("dst"), F.lit("HAS_FILE").alias("label"), *none))
     edges = edges.select(*[c.split()[0] for c in EDGE_SCHEMA.split(", ")])
-    return Snapshot(fr, x, PropertyGraph(scratch.materialize(nodes, "graph_nodes"), scratch.materialize(edges, "graph_edges")))
-
-
-def replace_files(old: PropertyGraph, changed: PropertyGraph, removed: DataFrame) -> PropertyGraph:
-    """The graph after some files were indexed anew: what they and the removed files (path) held goes, then the new
-    rows come; edges from other files to entities that are gone go with them."""
-    from .upsert import delete_files
-
-    paths = removed.select("path").unionAll(changed.nodes.where("label = 'File' and not is_external").select("path")).distinct()
-    kept = delete_files(old, paths)
-    nodes = kept.nodes.unionByName(changed.nodes.join(kept.nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
-    again = old.edges.join(changed.nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(kept.nodes.select(F.col("id").alias("src")), "src", "left_semi")
-    edges = kept.edges.unionByName(changed.edges).unionByName(again).dropDuplicates(["src", "dst", "label"])
-    return PropertyGraph(scratch.materialize(nodes, "nodes"), scratch.materialize(edges, "graph_edges"))
+    graph = PropertyGraph(scratch.materialize(nodes, "graph_nodes", ("label",)), scratch.materialize(edges, "graph_edges", ("label",)))
+    return Snapshot(fr, x, graph, root, project)
 
 
-__all__ = ["PARAMS", "PROPS", "SPECIFIERS", "Registry", "Snapshot", "default_registry", "extract", "index", "replace_files", "rows_of"]
+__all__ = ["PARAMS", "PROPS", "SPECIFIERS", "Registry", "Snapshot", "default_registry", "extract", "index", "link", "parse_file", "reindex", "rows_of"]

@@ -26,6 +26,14 @@ def resolve_names(refs: DataFrame, known: DataFrame, imports: DataFrame) -> Data
     }).drop("_here", "_as", "_from")
 
 
+def lookup(symbols: DataFrame, name: str | None = None, file: str | None = None, exported: bool | None = None) -> DataFrame:
+    """Symbols by name, by file, by whether they are exported, or by several of these."""
+    for column, want in (("name", name), ("file_path", file), ("is_exported", exported)):
+        if want is not None:
+            symbols = symbols.where(F.col(column) == want)
+    return symbols
+
+
 def count_resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(references, resolved, unresolved, symbols) of references by name."""
     names = symbols.select("name").distinct().withColumn("_ok", F.lit(True))

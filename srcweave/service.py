@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import rules, values as V
-from .operators import analysis as A, graph as G, paths as P, resolve as R, upsert as U
-from .operators.ingest import Snapshot, index
+from .operators import analysis as A, changes as C, graph as G, paths as P, resolve as R, upsert as U
+from .operators.ingest import Snapshot, index, reindex
+from .plans import scratch
 from .plans.cypher import cypher
 from .sources import files as S
 from .streaming.debounce import ANALYSIS_MS
@@ -103,8 +104,29 @@ class Service:
     def query(self, text: str, params: dict | None = None) -> DataFrame:
         return cypher(self.graph, text, params)
 
+    def parse_file(self, path: str, content: str) -> None:
+        """Index one file anew, or for the first time."""
+        self._changed([(path, content, None)], [])
+
     def delete_file(self, path: str) -> None:
-        self.graph = U.delete_file(self.graph, path)
+        self._changed([], [path])
+
+    def _changed(self, rows: list[tuple], removed: list[str]) -> None:
+        files = self.spark.createDataFrame(rows, "path string, content string, modified timestamp")
+        self.snapshot = reindex(self.snapshot, files, self.spark.createDataFrame([(p,) for p in removed], "path string"))
+        self.graph = self.snapshot.graph
+        if self.contents is not None:
+            gone = [p for p, *_ in rows] + removed
+            self.contents = self.contents.where(~F.col("path").isin(*gone)).unionByName(files)
+
+    def trigger_reindex(self) -> DataFrame:
+        """Parse what has changed since the index was made (by its contents' hashes); returns the changes."""
+        now = S.file_rows(self.contents).select("path", "hash")
+        changes = scratch.materialize(C.detect_changes(self.snapshot.files.select("path", "hash"), now).where("type <> 'unchanged'"), "changes")
+        came = changes.where("type <> 'deleted'").select("path")
+        self.snapshot = reindex(self.snapshot, self.contents.join(came, "path", "left_semi"), changes.where("type = 'deleted'").select("path"))
+        self.graph = self.snapshot.graph
+        return changes
 
     def delete_project(self, name: str) -> None:
         self.graph = U.delete_project(self.graph, f"Project:{name}")
@@ -130,8 +152,7 @@ class Service:
         return A.severity_summary(self.snapshot.table("Finding"))
 
     def payment_summary(self) -> DataFrame:
-        kinds = ("unvalidated_payment_amount", "pci_data_logging", "hardcoded_payment_key", "missing_idempotency_key")
-        return self.snapshot.table("Finding").agg(*[F.count_if(F.col("type") == k).alias(k) for k in kinds])
+        return A.payment_summary(self.snapshot.table("Finding"))
 
     def complexity(self, threshold: int = 10, by: str = "complexity", scope: str | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
         f = self.functions()
@@ -189,8 +210,7 @@ class Service:
         return self.snapshot.stats()
 
     def index_line(self) -> DataFrame:
-        counts = [F.count_if(F.col("label") == x) for x in ("File", "Function", "Class", "Interface", "Component")]
-        return self.graph.nodes.agg(F.format_string("%d files, %d functions, %d classes, %d interfaces, %d components", *counts).alias("line"))
+        return A.index_line(self.graph.nodes)
 
     def find_symbol(self, name: str, kind: str | None = None, file: str | None = None, limit: int = 10) -> DataFrame:
         return G.find_symbol(self.graph, name, kind, file, limit)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import values as V
 from ..operators.changes import content_hash
@@ -26,7 +27,8 @@ def scan(spark: SparkSession, root: str, endings: Sequence[str] = TYPESCRIPT + P
     A pattern ``**/x/**`` leaves out paths with the directory x, ``**/*y`` those that end in y. limit takes the
     first by path.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    globs = "{" + ",".join(f"*{e}" for e in endings) + "}"  # by name, so that nothing else is listed as input or read
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", globs).load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = raw.select(path.alias("path"), F.col("modificationTime").alias("modified"), F.col("content").alias("_bytes"))
     ok = F.lit(False)
@@ -80,6 +82,29 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").json(path)
 
 
+def extract_rows(files: DataFrame, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """(path relative to root, hash: md5, kind, name) of files (path, content) and of the functions, classes and interfaces in them.
+
+    include and exclude are patterns with ``*`` on the relative path; without any, all are taken.
+    """
+    from ..operators.ingest import extract
+
+    rel = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
+    fits = lambda patterns: reduce(Column.__or__, [F.col("_rel").like(g.replace("_", "\\_").replace("*", "%")) for g in patterns], F.lit(False))
+    some = files.withColumn("_rel", rel).where((fits(include) if include else F.lit(True)) & ~fits(exclude))
+    found = extract(some).where("kind in ('Function', 'Class', 'Interface')").select("path", "kind", F.get_json_object("row", "$.name").alias("name"))
+    own = some.select("path", F.lit("File").alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name")).unionAll(found)
+    return own.join(some.select("path", F.col("_rel"), F.md5("content").alias("hash")), "path").select(F.col("_rel").alias("path"), "hash", "kind", "name")
+
+
+def as_table(rows: DataFrame, limit: int = 1000) -> str:
+    """The first rows as text in columns, under the columns' names."""
+    got = [[str(x) for x in rows.columns], *[["" if v is None else str(v) for v in r] for r in rows.limit(limit).collect()]]
+    width = [max(len(r[k]) for r in got) for k in range(len(rows.columns))]
+    show = lambda r: " | ".join(x.ljust(w) for x, w in zip(r, width, strict=True)).rstrip()
+    return "\n".join([show(got[0]), " | ".join("-" * w for w in width), *map(show, got[1:])])
+
+
 def write_result(rows: DataFrame, path: str, kind: str = "json") -> None:
     """A query's result as json or csv (with a header, every value quoted)."""
     w = rows.write.mode("overwrite")

@@ -1,9 +1,10 @@
 """File events applied to a graph as a stream, and fan-out of what changed.
 
 A stream can't see deletions in a folder, so events come as a log (path, type add|change|unlink, ts). After the
-debounce each micro-batch indexes the files that came or changed and removes those that went, and writes the next
-snapshot beside the last one; a pointer moves once it is complete, so readers see whole snapshots and a batch that is
-run again gives the same one.
+debounce each micro-batch parses the files that came or changed, drops those that went, resolves names over the whole
+snapshot, and writes the next one beside the last. A version counts once its number has been added to the list of
+complete ones, a single file that appears at once; nothing is overwritten, so readers see whole snapshots, and a batch
+that is run again finds its version there and leaves it. Parsing costs what changed, resolution what the project has.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.graph import PropertyGraph
-from ..operators.ingest import index, replace_files
+from ..operators.ingest import Snapshot, reindex
 from ..sources.files import IGNORED
 from ..functions.values import matches_any
-from .debounce import debounce_stream
+from .debounce import ANALYSIS_MS, debounce_stream
 
 EVENT = "path string, type string, ts timestamp"
 Sink = Callable[[DataFrame, int], None]
@@ -31,43 +31,42 @@ def relevant(events: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame
     return events.where(~matches_any(F.col("path"), ignored))
 
 
-class GraphStore:
-    """Snapshots of a graph below a folder, numbered; ``current`` names the one to read."""
+class SnapshotStore:
+    """Snapshots below a folder, numbered; ``complete`` lists those that can be read."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, root: str = "", project: str | None = None):
+        self.spark, self.folder, self.root, self.project = spark, folder.rstrip("/"), root, project
 
-    def write(self, graph: PropertyGraph, version: int) -> None:
-        graph.save(f"{self.folder}/v{version}")
-        pointer = self.spark.createDataFrame([(version,)], "version long")
-        pointer.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/current")
+    def write(self, snapshot: Snapshot, version: int) -> None:
+        snapshot.save(f"{self.folder}/v{version}")
+        done = self.spark.createDataFrame([(version,)], "version long")
+        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/complete")
 
     def version(self) -> int:
-        return self.spark.read.parquet(f"{self.folder}/current").first()["version"]
+        return self.spark.read.schema("version long").parquet(f"{self.folder}/complete").agg(F.max("version")).first()[0]
 
-    def read(self) -> PropertyGraph:
-        return PropertyGraph.load(self.spark, f"{self.folder}/v{self.version()}")
+    def read(self) -> Snapshot:
+        return Snapshot.load(self.spark, f"{self.folder}/v{self.version()}", self.root, self.project)
 
 
-def apply_events(store: GraphStore, events: DataFrame, contents: DataFrame, version: int, root: str = "") -> DataFrame:
+def apply_events(store: SnapshotStore, events: DataFrame, contents: DataFrame, version: int) -> DataFrame:
     """Apply debounced events (path, type) with files' contents (path, content, modified); returns the change messages."""
-    old = store.read()
-    came = events.where("type <> 'unlink'").select("path").distinct()
-    gone = events.where("type = 'unlink'").select("path").distinct()
-    new = index(contents.join(came, "path", "left_semi"), root)
-    store.write(replace_files(old, new.graph, gone), version)
+    if store.version() < version:
+        came = events.where("type <> 'unlink'").select("path").distinct()
+        gone = events.where("type = 'unlink'").select("path").distinct()
+        store.write(reindex(store.read(), contents.join(came, "path", "left_semi"), gone), version)
     kind = F.when(F.col("type") == "add", "file-added").when(F.col("type") == "change", "file-changed").otherwise("file-removed")
     return events.select(kind.alias("type"), "path").unionByName(events.sparkSession.createDataFrame([("graph-updated", None)], "type string, path string"))
 
 
-def run(events: DataFrame, store: GraphStore, contents: Callable[[DataFrame], DataFrame], checkpoint: str, sinks: tuple[Sink, ...] = (), root: str = "", gap: str = "500 milliseconds", available_now: bool = False):
+def run(events: DataFrame, store: SnapshotStore, contents: Callable[[DataFrame], DataFrame], checkpoint: str, sinks: tuple[Sink, ...] = (), gap: str = "500 milliseconds", available_now: bool = False):
     """Start the stream: debounce, apply, hand the messages to every sink. contents: paths to rows of files."""
 
     def batch(df: DataFrame, number: int) -> None:
         ready = df.select("path", "type").persist()
         try:
             if not ready.isEmpty():
-                messages = apply_events(store, ready, contents(ready.select("path")), number + 1, root)
+                messages = apply_events(store, ready, contents(ready.select("path")), number + 1)
                 for sink in sinks:
                     sink(messages, number)
         finally:
@@ -75,3 +74,15 @@ def run(events: DataFrame, store: GraphStore, contents: Callable[[DataFrame], Da
 
     out = debounce_stream(relevant(events), gap).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append")
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="1 second")).start()
+
+
+def run_analyses(events: DataFrame, job: Callable[[int], None], checkpoint: str, gap: str = f"{ANALYSIS_MS} milliseconds", available_now: bool = False):
+    """Start the stream that calls ``job`` once changes have been quiet for the gap: what follows an ingestion."""
+    out = debounce_stream(relevant(events), gap).writeStream.foreachBatch(lambda df, n: None if df.isEmpty() else job(n)).option("checkpointLocation", checkpoint).outputMode("append")
+    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="1 second")).start()
+
+
+def run_schedule(spark: SparkSession, job: Callable[[int], None], milliseconds: int, checkpoint: str):
+    """Start a stream that calls ``job`` at every interval (see ``service.interval_of`` for schedules)."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: job(n)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{milliseconds} milliseconds").start()

@@ -125,23 +125,106 @@ def test_service(service, root, spark):
     assert e.count() == 1 and service.neighbors(f).count() > 3 and service.full_graph(10).nodes.count() >= 10
 
 
-def test_replace_and_delete(service, root, spark):
+def test_reindex_and_delete(root, spark):
     from srcweave.operators import upsert as U
-    from srcweave.operators.ingest import index, replace_files
+    from srcweave.service import Service
 
+    service = Service.parse_project(spark, root, "demo")
+    whole = service.graph
     people = f"{root}/src/people.ts"
-    files = spark.createDataFrame([(people, "export function makePerson() { return 1; }\nexport function other() {}\n", None)], "path string, content string, modified timestamp")
-    new = index(files, root)
-    g = replace_files(service.graph, new.graph, spark.createDataFrame([(f"{root}/py/util.py",)], "path string"))
-    found = {r["name"] for r in g.nodes.where("label = 'Function'").collect()}
+    service.parse_file(people, "export function makePerson() { return 1; }\nexport function other() {}\n")
+    service.delete_file(f"{root}/py/util.py")
+    found = {r["name"] for r in service.graph.nodes.where("label = 'Function'").collect()}
     assert "other" in found and "nextId" not in found
-    assert g.edges.where("src like '%util.py%' or dst like '%util.py:%'").count() == 0
-    again = replace_files(g, new.graph, spark.createDataFrame([], "path string"))
-    assert again.nodes.exceptAll(g.nodes.select(again.nodes.columns)).isEmpty() and again.edges.select("src", "dst", "label").exceptAll(g.edges.select("src", "dst", "label")).isEmpty()
-    gone = U.delete_file(service.graph, people)
+    assert service.graph.edges.where("src like '%util.py%' or dst like '%util.py:%'").count() == 0
+    assert ("add", "makePerson") in [(a.split(":")[2], b.split(":")[2]) for a, b in edges(service, root, "CALLS")]
+    assert "other" in "".join(r.line for r in service.source(people).collect())
+    gone = U.delete_file(whole, people)
     assert gone.nodes.where("path like '%people.ts' or file_path like '%people.ts'").count() == 0
-    assert U.clear(service.graph).nodes.isEmpty()
-    assert U.delete_project(service.graph, "Project:demo").nodes.where("not is_external and label = 'Function'").isEmpty()
+    assert U.clear(whole).nodes.isEmpty()
+    assert U.delete_project(whole, "Project:demo").nodes.where("not is_external and label = 'Function'").isEmpty()
+
+
+def _rows(graph):
+    n = sorted(map(str, graph.nodes.select("id", "label", "name", "path", "file_path", "start_line", "is_external").collect()))
+    return n, sorted(map(str, graph.edges.select("src", "dst", "label", "line", "count").collect()))
+
+
+def test_events_give_what_a_full_index_gives(spark, tmp_path):
+    """Random edits over a few files that import, call, render and extend each other; edge by edge, node by node."""
+    import random
+
+    from srcweave.operators.ingest import index
+    from srcweave.streaming.apply import SnapshotStore, apply_events
+
+    rng = random.Random(11)
+    names = ["a", "b", "c", "d"]
+
+    def text():
+        x, y = rng.sample(names, 2)
+        return rng.choice([
+            f"import {{ f{x} }} from './{x}';\nexport function f{y}() {{ f{x}(); }}\n", f"export class C{x} extends C{y} {{ m() {{ this.m(); }} }}\nexport function f{x}() {{}}\n",
+            f"import C{y} from './{y}';\nexport default class C{x} extends C{y} implements I{x} {{}}\n", f"export function f{x}() {{ return f{y}(); }}\nfunction f{y}() {{}}\nexport interface I{x} {{}}\n",
+        ])
+
+    table = lambda d: spark.createDataFrame([(f"/p/{k}.ts", v, None) for k, v in d.items()], "path string, content string, modified timestamp")
+    now = {k: text() for k in names[:3]}
+    store = SnapshotStore(spark, str(tmp_path / "s"), "/p")
+    store.write(index(table(now), "/p"), 0)
+    for step in range(1, 5):
+        k = rng.choice(names)
+        gone = [x for x in now if x != k and rng.random() < 0.2]
+        event = "change" if k in now else "add"
+        now = {x: v for x, v in now.items() if x not in gone} | {k: text()}
+        events = spark.createDataFrame([(f"/p/{k}.ts", event), *[(f"/p/{x}.ts", "unlink") for x in gone]], "path string, type string")
+        apply_events(store, events, table(now), step)
+        apply_events(store, events, table(now), step)  # a batch that runs again changes nothing
+        assert _rows(store.read().graph) == _rows(index(table(now), "/p").graph), step
+        assert store.version() == step
+
+
+def test_trigger_reindex(spark, tmp_path):
+    from srcweave.service import Service
+
+    (tmp_path / "a.ts").write_text("export function one() {}\n")
+    (tmp_path / "b.ts").write_text("import { one } from './a';\nexport function two() { one(); }\n")
+    s = Service.parse_project(spark, str(tmp_path))
+    (tmp_path / "a.ts").write_text("export function one() { three(); }\nfunction three() {}\n")
+    (tmp_path / "c.ts").write_text("export const x = 1;\n")
+    from srcweave.sources.files import scan
+
+    s.contents = scan(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/", 1)[1], r.type) for r in s.trigger_reindex().collect()) == [("a.ts", "modified"), ("c.ts", "added")]
+    assert [(a.split(":")[2], b.split(":")[2]) for a, b in edges(s, str(tmp_path), "CALLS")] == [("one", "three"), ("two", "one")]
+
+
+def test_commands(spark, root, tmp_path, capsys):
+    from srcweave.__main__ import main
+
+    box = str(tmp_path / "index")
+    for args, want in (
+        (["extract", root, "--include", "src/people*"], "makePerson"), (["--index", box, "status", root], "errors"), (["--index", box, "--format", "json", "analyze", root, "callers", "nextId"], "makePerson"),
+        (["--index", box, "--format", "csv", "query", root, "MATCH (a)-[:CALLS]->(b {name: 'nextId'}) RETURN a.name AS n"], '"makePerson"'), (["--index", box, "search", root, "store"], "store.ts"), (["--index", box, "map", root], "src"),
+    ):
+        main(args)
+        assert want in capsys.readouterr().out
+
+
+def test_jobs_after_quiet_and_by_schedule(spark, tmp_path):
+    from srcweave.service import interval_of
+    from srcweave.streaming.apply import read_events, run_analyses, run_schedule
+
+    box = tmp_path / "events"
+    box.mkdir()
+    seen, ticks = [], []
+    for k, at in enumerate(("00:00:00.000", "00:00:03.000", "00:09:00.000")):
+        (box / f"{k}.json").write_text(json.dumps({"path": "/p/a.ts", "type": "change", "ts": f"2024-01-01T{at}Z"}))
+        run_analyses(read_events(spark, str(box)), seen.append, str(tmp_path / "ck"), available_now=True).awaitTermination(60)
+    assert len(seen) == 1 and interval_of("*/5 * * * *") == 300_000
+    q = run_schedule(spark, ticks.append, 200, str(tmp_path / "ck2"))
+    q.awaitTermination(8)
+    q.stop()
+    assert len(ticks) >= 2
 
 
 def _metrics(code):
@@ -211,10 +294,10 @@ def test_markdown(spark):
 
 def test_stream(spark, service, root, tmp_path):
     from srcweave.sources.files import scan
-    from srcweave.streaming.apply import GraphStore, read_events, run
+    from srcweave.streaming.apply import SnapshotStore, read_events, run
 
-    store = GraphStore(spark, str(tmp_path / "graph"))
-    store.write(service.graph, 0)
+    store = SnapshotStore(spark, str(tmp_path / "graph"), root, "demo")
+    store.write(service.snapshot, 0)
     box = tmp_path / "events"
     box.mkdir()
     log = [("a", "add", 0.0), ("a", "change", 0.2), ("b", "unlink", 0.1), ("node_modules/x", "add", 0.1), ("z", "add", 100.0)]
@@ -222,15 +305,17 @@ def test_stream(spark, service, root, tmp_path):
     (box / "1.json").write_text("\n".join(json.dumps({"path": paths[p], "type": t, "ts": f"2024-01-01T00:0{int(s // 60)}:{s % 60:06.3f}Z"}) for p, t, s in log))
     seen = []
     contents = lambda p: scan(spark, root)
-    q = run(read_events(spark, str(box)), store, contents, str(tmp_path / "ck"), (lambda df, n: seen.extend((r.type, (r.path or "").replace(root, "")) for r in df.collect()),), root, available_now=True)
+    q = run(read_events(spark, str(box)), store, contents, str(tmp_path / "ck"), (lambda df, n: seen.extend((r.type, (r.path or "").replace(root, "")) for r in df.collect()),), available_now=True)
     q.awaitTermination(120)
     assert q.exception() is None
     (box / "2.json").write_text(json.dumps({"path": f"{root}/later.ts", "type": "add", "ts": "2024-01-01T00:09:00.000Z"}))
-    q = run(read_events(spark, str(box)), store, contents, str(tmp_path / "ck"), (lambda df, n: seen.extend((r.type, (r.path or "").replace(root, "")) for r in df.collect()),), root, available_now=True)
+    q = run(read_events(spark, str(box)), store, contents, str(tmp_path / "ck"), (lambda df, n: seen.extend((r.type, (r.path or "").replace(root, "")) for r in df.collect()),), available_now=True)
     q.awaitTermination(120)
     assert q.exception() is None
     assert sorted(x for x in seen if x[0] != "graph-updated" and "late" not in x[1]) == [("file-changed", "/src/people.ts"), ("file-removed", "/py/util.py")]
-    g = store.read()
+    g = store.read().graph
+    kept = [(a.split(":")[2], b.split(":")[2]) for a, b in ((r.src, r.dst) for r in g.edges.where("label = 'CALLS'").collect())]
+    assert ("add", "makePerson") in kept and g.edges.where("label = 'IMPORTS' and src like '%store.ts' and dst like '%people.ts'").count() == 1
     assert g.nodes.where("file_path like '%util.py' or path like '%util.py'").isEmpty() and not g.nodes.where("file_path like '%people.ts'").isEmpty()
 
 
