@@ -11,17 +11,19 @@ be there, so the necessary prefix is one shingle: the rarest. Method:
    bound); start and end must lie within the document (length bound); the window's words are then compared by two
    independent 64-bit hashes.
 
-Items come in blocks of up to ``BLOCK_WORDS`` words, so what is broadcast has that bound whatever the benchmark's
-size; each further block is one more pass in the same job. Documents are not shuffled, and each document's result
+Items come in blocks of up to ``BLOCK_WORDS`` words, a longer item in overlapping parts with the same windows, so what
+is broadcast has that bound whatever the benchmark's size; each further block is one more pass in the same job. Documents are not shuffled, and each document's result
 depends on it alone, so no key or group can make a task uneven.
 
 Cases: null or empty texts have no words and no hits; null or empty items have no windows; ids of items are counted
-once; repeated documents get a result each; empty tables give no hits or an empty result. Only the id and text
-columns of either table are read.
+once, and so are all items without an id together, which hit like others and are a null in ``items``; repeated documents
+get a result each; empty tables give no hits or an empty result. Only the id and text columns of either table are read,
+and columns in ``keep`` are handed on whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,21 +174,32 @@ def _search(it, shared):
             doc = w.doc()
             for d in np.unique(doc[hit]).tolist():
                 hits[d] = sorted({*hits[d], *(hit[doc[hit] == d] - w.first[d]).tolist()})
-                items[d] = sorted({*items[d], *(names[i] for i in np.unique(item[doc[start] == d]).tolist())})
+                items[d] = sorted({*items[d], *(names[i] for i in np.unique(item[doc[start] == d]).tolist())}, key=lambda x: (x is None, x))
             found = [part.column("doc_id"), part.column("text"), pa.array(w.counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*found, *part.columns[5:]], part.schema.names)
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text of up to BLOCK_WORDS words itself; a longer one in parts that share WIDTH - 1 words."""
+    if len(text) < 2 * BLOCK_WORDS:
+        yield text
+        return
+    found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+    for lo in range(0, max(len(found) - WIDTH + 1, 1), BLOCK_WORDS):
+        yield " ".join(found[lo : lo + BLOCK_WORDS + WIDTH - 1])
+
+
 def _blocks(items: DataFrame) -> Iterator[tuple[list[str], pa.Array]]:
     """Items a block at a time."""
     names, texts, size = [], [], 0
     for r in items.toLocalIterator():
-        names.append(r[0])
-        texts.append(r[1])
-        size += len(r[1]) // 2 + 1
-        if size >= BLOCK_WORDS:
-            yield names, pa.array(texts, pa.string())
-            names, texts, size = [], [], 0
+        for text in _parts(r[1]):
+            names.append(r[0])
+            texts.append(text)
+            size += len(text) // 2 + 1
+            if size >= BLOCK_WORDS:
+                yield names, pa.array(texts, pa.string())
+                names, texts, size = [], [], 0
     yield names, pa.array(texts, pa.string())
 
 
@@ -197,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     out = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), *[F.col(f"x{i}") for i in range(len(keep))])
     schema = ", ".join(f"{c} {t}" for c, t in out.dtypes)
-    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull())
     for names, texts in _blocks(items):
         shared = spark.sparkContext.broadcast((_index(rows.select("text"), texts), names))
         out = out.mapInArrow(lambda it, shared=shared: _search(it, shared), schema)

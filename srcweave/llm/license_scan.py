@@ -2,25 +2,28 @@
 
 Method: a text block and a template are word sets; a block matches a template when it holds at least ``CONTAINMENT`` of
 the template's words. Blocks are the lines, and for notices that are wrapped all windows of as many words as the
-template has, across line ends; a window need only begin with a word of the template and hold one of its prefix. Words are ordered by how often the whole corpus has them, rarest first. A
-block that matches must hold a word of the template's prefix, its m - a + 1 rarest words, where a is the least number
+template has, across line ends; a window need only begin with a word of the template and hold one of its prefix. Words
+are ordered by how often the whole corpus has them, rarest first. A block that matches must hold a word of the template's prefix, its m - a + 1 rarest words, where a is the least number
 of common words (prefix filter); it must have at least a template words (length filter); and from the first common
 word on both sides must still have enough words (positional filter). What passes is verified exactly.
 
-The templates are a stated set in this file, so they ride along as literals and the join runs inside each document's
+Templates and phrases are parameters, by default the sets stated in this file, so they ride along as literals and the join runs inside each document's
 row: nothing is shuffled but the counts of the templates' few words. Documents without any prefix word leave early.
 
 Cases: a null or empty text has no words, places or labels and score 0; repeated rows get a result each; an empty
-table gives an empty result. Only the id and text columns are read, every other column is passed on untouched.
+table gives an empty result. Only the text column is read and all columns are handed on; one that is called ``license``
+already is called ``license_`` afterwards (``license__`` if that is there too). Phrases may have any number of words.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .native import alnum_words, let, span
+from .native import alnum_words, let, set_aside, span
 
 #: Phrases and their labels.
 PHRASES = {
@@ -43,29 +46,29 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
 )
 CONTAINMENT = 0.9
+Templates = Sequence[tuple[str, str]]
 
 
 def _places(w: Column, phrase: str) -> Column:
     """0-based starts of the phrase's words."""
-    first, *rest = phrase.split()
-    at = lambda i, k: F.element_at(w, i + k) == F.lit(rest[k - 1])
-    same = lambda i: (F.element_at(w, i) == F.lit(first)) & at(i, 1) & at(i, 2) & (at(i, 3) if len(rest) > 2 else F.lit(True))
-    found = F.filter(span(F.lit(1), F.size(w) - len(rest)), same)
-    return F.when(F.array_contains(w, first) & F.array_contains(w, rest[-1]), F.transform(found, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    words = phrase.split()
+    same = lambda i: reduce(Column.__and__, [F.element_at(w, i + k) == F.lit(x) for k, x in enumerate(words)])
+    found = F.filter(span(F.lit(1), F.size(w) - len(words) + 1), same)
+    return F.when(F.array_contains(w, words[0]) & F.array_contains(w, words[-1]), F.transform(found, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+def word_counts(docs: DataFrame, text_col: str = "text", templates: Templates = TEMPLATES) -> dict[str, int]:
     """How often the corpus has each word of the templates (a bounded set)."""
-    vocabulary = sorted({x for _, t in TEMPLATES for x in t.split()})
+    vocabulary = sorted({x for _, t in templates for x in t.split()})
     found = docs.select(F.explode(F.filter(alnum_words(F.col(text_col)), lambda x: x.isin(vocabulary))).alias("word"))
     return {r["word"]: r["count"] for r in found.groupBy("word").count().collect()}
 
 
-def _index(counts: dict[str, int]) -> tuple[list[str], list[tuple[str, list[int], int, int]]]:
+def _index(counts: dict[str, int], texts: Templates) -> tuple[list[str], list[tuple[str, list[int], int, int]]]:
     """Words in order, rarest first, and for each template (label, ranks in order, least number of common words, words)."""
-    order = sorted({x for _, t in TEMPLATES for x in t.split()}, key=lambda x: (counts.get(x, 0), x))
+    order = sorted({x for _, t in texts for x in t.split()}, key=lambda x: (counts.get(x, 0), x))
     rank = {x: i + 1 for i, x in enumerate(order)}
-    return order, [(label, sorted({rank[x] for x in t.split()}), math.ceil(CONTAINMENT * len(set(t.split()))), len(t.split())) for label, t in TEMPLATES]
+    return order, [(label, sorted({rank[x] for x in t.split()}), math.ceil(CONTAINMENT * len(set(t.split()))), len(t.split())) for label, t in texts]
 
 
 def _matches(text: Column, w: Column, order: list[str], templates: list[tuple[str, list[int], int, int]]) -> Column:
@@ -123,17 +126,22 @@ def _matches(text: Column, w: Column, order: list[str], templates: list[tuple[st
     return F.when(F.exists(w, lambda x: x.isin(prefix)), found).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
 
 
-def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct ``license``: n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
-    order, templates = _index(word_counts(docs, text_col))
+def license_scan(docs: DataFrame, text_col: str = "text", phrases: Mapping[str, str] = PHRASES, texts: Templates = TEMPLATES) -> DataFrame:
+    """All columns of ``docs`` and a struct ``license``: n_words, n_base, first_word, last_word, base_labels, labels (arrays), score.
+
+    phrases: labels by phrase; texts: (label, template). Both in words of lower-case letters and digits.
+    """
+    order, templates = _index(word_counts(docs, text_col, texts), texts)
+    found = set_aside(docs, "license")
+    text_col = found.columns[[c.lower() for c in docs.columns].index(text_col.lower())]
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def of(w: Column) -> Column:
-        places = F.struct(*[_places(w, p).alias(f"p{i}") for i, p in enumerate(PHRASES)], _matches(text, w, order, templates).alias("found"), F.size(w).alias("n"))
+        places = F.struct(*[_places(w, p).alias(f"p{i}") for i, p in enumerate(phrases)], _matches(text, w, order, templates).alias("found"), F.size(w).alias("n"))
 
         def collect(x: Column) -> Column:
-            starts = F.concat(*[x[f"p{i}"] for i in range(len(PHRASES))])
-            base = F.array_compact(F.array(*[F.when(F.size(x[f"p{i}"]) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
+            starts = F.concat(*[x[f"p{i}"] for i in range(len(phrases))])
+            base = F.array_compact(F.array(*[F.when(F.size(x[f"p{i}"]) > 0, F.lit(label)) for i, label in enumerate(phrases.values())]))
             share = F.array_max(F.transform(x["found"], lambda y: y["share"]))
             return F.struct(
                 x["n"].cast("long").alias("n_words"),
@@ -147,7 +155,7 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return let(places, collect)
 
-    return docs.withColumn("license", let(alnum_words(F.col(text_col)), of))
+    return found.withColumn("license", let(alnum_words(F.col(text_col)), of))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -6,13 +6,17 @@ and a logistic loss l, the linear model g minimises the non-negative unbiased ri
     pi * E_p[l(g, +1)] + max(0, E_u[l(g, -1)] - pi * E_p[l(g, -1)])
 
 and while the second part is negative its gradient is followed upwards. The prior is estimated first: a classifier of
-positives against unlabelled rows ranks a held part of both, and pi is the ratio of the shares of unlabelled
-and of positive rows above the threshold for which that ratio's upper confidence bound is least.
+positives against unlabelled rows of one half ranks held-back positives and all rows of the other half, and pi is the ratio of
+the shares of unlabelled and of positive rows above the threshold for which that ratio's upper confidence bound is least.
 
 Features of a whole text: shares of character classes, word statistics, repeated words and lines, and hashed word
-endings. Labels, language, source and id are no features. Fitting uses at most ``POSITIVES`` and ``UNLABELLED`` rows,
-those with the smallest hashes of their ids; their features, not texts, come to the driver. Every row is scored, with
-a model of some KB that rides along; scoring needs no shuffle.
+endings. Labels, language, source and id are no features. They are made once and written. At most ``POSITIVES`` labelled
+rows are learnt from, those with the smallest hashes of their ids; all else is taken over every row. The scale of the
+features and the unlabelled side of the prior are sums over all rows. For the risk all rows are dealt by hash into
+groups of about ``GROUP`` rows; each group's risk, of its rows and the positives, is minimised in a task of its own, and
+the model is the mean of their weights by numbers of rows: up to ``GROUP`` rows it is the minimum over all of them, and
+beyond that every row has the same part in it. One sum for each weight comes to the driver. Every row is scored, with a
+model of some KB that rides along; scoring needs no shuffle.
 
 Cases: a null or empty text has zero features and a score like any; repeated rows are scored each; without positives
 or rows to fit on, every score is 0.5; an empty table gives an empty result. Only the id and text columns are read.
@@ -20,16 +24,20 @@ or rows to fit on, every score is 0.5; an empty table gives an empty result. Onl
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans import scratch
 from .textkit import LINES, SPACED, buffers, chunks, mix, words
 
 POSITIVES = 6_000
-UNLABELLED = 12_000
+GROUP = 12_000
+BINS = 4096  # of outputs of the first classifier, for the prior
 ENDINGS = 512
 DENSE = 14
 THRESHOLD = 0.7
@@ -116,58 +124,123 @@ def _descend(x: np.ndarray, slope, steps: int = 300, rate: float = 0.03) -> tupl
     return w, b
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled rows (both standardised)."""
-    p, u = np.arange(len(positive)) % 4 == 0, np.arange(len(unlabelled)) % 4 == 0
-    x = np.concatenate([positive[~p], unlabelled[~u]])
+def ranking(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias) that tell positives from unlabelled rows, both standardised, and outputs of a quarter of the
+    positives that was held back from it."""
+    p = np.arange(len(positive)) % 4 == 0
+    x = np.concatenate([positive[~p], unlabelled])
     y = np.arange(len(x)) < int((~p).sum())
     weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
     w, b = _descend(x, lambda g: weight * (_sigmoid(g) - y), steps=150)
-    a, c = np.sort(positive[p] @ w + b), np.sort(unlabelled[u] @ w + b)
-    at = np.quantile(a, np.linspace(0, 0.8, 81))
-    above = lambda z: 1 - np.searchsorted(z, at) / max(len(z), 1)
-    kept, ratio = np.maximum(above(a), 1e-9), above(c) / np.maximum(above(a), 1e-9)
-    doubt = sum(np.sqrt(np.log(40) / (2 * max(len(z), 1))) for z in (a, c)) / kept
+    return w, b, positive[p] @ w + b
+
+
+def bin_of(outputs: np.ndarray) -> np.ndarray:
+    return np.clip((_sigmoid(outputs) * BINS).astype(np.int64), 0, BINS - 1)
+
+
+def prior_from(positive: np.ndarray, counts: np.ndarray) -> float:
+    """Share of positives among unlabelled rows, from outputs of held-back positives and all others' counts by bin."""
+    at = np.unique(np.quantile(bin_of(positive), np.linspace(0, 0.8, 81)).astype(np.int64))
+    own = np.bincount(bin_of(positive), minlength=BINS)
+    above = lambda c: (np.cumsum(c[::-1])[::-1] / max(c.sum(), 1))[at]
+    kept = np.maximum(above(own), 1e-9)
+    ratio = above(counts) / kept
+    doubt = sum(np.sqrt(np.log(40) / (2 * max(n, 1))) for n in (len(positive), counts.sum())) / kept
     return float(np.clip(ratio[np.argmin(ratio + doubt)], 0.02, 0.98))
 
 
+def risk(outputs_p: np.ndarray, outputs_u: np.ndarray, pi: float) -> tuple[float, np.ndarray]:
+    """(the non-negative risk without its ridge, its slope in the outputs); where the second part is negative, the slope
+    of what is followed instead."""
+    p, u = len(outputs_p), len(outputs_u)
+    lose = lambda g, y: np.logaddexp(0, -y * g).mean()
+    q, r = _sigmoid(outputs_p), _sigmoid(outputs_u)
+    rest = lose(outputs_u, -1) - pi * lose(outputs_p, -1)
+    total = pi * lose(outputs_p, 1) + max(0.0, rest)
+    if rest >= 0:
+        return total, np.concatenate([pi * (q - 1) / p - pi * q / p, r / u])
+    return total, np.concatenate([pi * q / p, -r / u])  # the estimate fell below zero: climb out of it
+
+
+def minimum(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the least risk over the rows given, standardised."""
+    n = len(positive)
+    return _descend(np.concatenate([positive, unlabelled]), lambda g: risk(g[:n], g[n:], prior)[1])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
+    """The model of rows that are all at hand."""
+    both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-2
-    x = (both - mean) / scale
-    n = len(positive)
-    pi = estimate_prior(x[:n], x[n:]) if prior is None else prior
-    p, u = n, len(unlabelled)
-
-    def slope(g: np.ndarray) -> np.ndarray:
-        q = _sigmoid(g)
-        s = np.zeros(len(g))
-        loss_minus = np.logaddexp(0, g)
-        rest = loss_minus[n:].mean() - pi * loss_minus[:n].mean()
-        if rest >= 0:
-            s[:n] = pi * (q[:n] - 1) / p - pi * q[:n] / p
-            s[n:] = q[n:] / u
-        else:  # the estimate fell below zero: climb out of it
-            s[:n], s[n:] = pi * q[:n] / p, -q[n:] / u
-        return s
-
-    w, b = _descend(x, slope)
-    return Model(mean, scale, w, b, pi)
-
-
-def _sample(rows: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Features of the rows with the given ids (at most ``most`` ids, and rows)."""
-    few = ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    found = rows.join(F.broadcast(few), "doc_id", "left_semi").withColumn("o", F.xxhash64("doc_id", "text"))
+    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    if prior is None:
+        told = [ranking(p, u[h::2]) for h in (0, 1)]
+        outputs = np.concatenate([u[1 - h :: 2] @ w + b for h, (w, b, _) in enumerate(told)])
+        prior = prior_from(np.concatenate([x for *_, x in told]), np.bincount(bin_of(outputs), minlength=BINS))
+    return Model(mean, scale, *minimum(p, u, prior), prior)
+
+
+_WIDE = DENSE + ENDINGS
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    raw, _ = buffers(column.cast(pa.large_binary()).view(pa.large_string()))
+    return raw.view(np.float32).reshape(len(column), _WIDE)
+
+
+def _made(rows: DataFrame) -> DataFrame:
+    """(doc_id, o: a hash of id and row number, so that copies spread, x: features) of every row, written once."""
 
     def run(it):
         for b in it:
             for lo, hi in chunks(b.column("text")):
                 x = features(b.column("text").slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([b.column("o").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["o", "x"])
+                off = np.arange(0, 4 * _WIDE * (hi - lo) + 1, 4 * _WIDE, dtype=np.int32)
+                data = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(x.tobytes())])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("o").slice(lo, hi - lo), data], ["doc_id", "o", "x"])
+
+    return scratch.materialize(rows.withColumn("o", F.xxhash64("doc_id", F.monotonically_increasing_id())).mapInArrow(run, "doc_id long, o long, x binary"), "features")
+
 
-    got = found.select("o", "text").mapInArrow(run, "o long, x binary").orderBy("o", "x").limit(most).collect()
-    return np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), DENSE + ENDINGS)
+def _sample(made: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
+    """Features of the rows with the given ids (at most ``most`` ids, and rows)."""
+    few = ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    got = made.join(F.broadcast(few), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "x"), "x").limit(most).select("x").collect()
+    return np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), _WIDE)
+
+
+def _sums(made: DataFrame, fn: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``fn`` (features to ``size`` numbers) over all rows."""
+
+    def run(it):
+        total = np.zeros(size)
+        for b in it:
+            for lo in range(0, b.num_rows, 2048):
+                total += fn(_matrix(b.column("x").slice(lo, 2048)))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["i", "v"])
+
+    out = np.zeros(size)
+    for r in made.select("x").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _averaged(made: DataFrame, positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float, rows: int) -> Model:
+    """The mean of the models of all groups of rows."""
+    groups, shared = max(1, math.ceil(rows / GROUP)), made.sparkSession.sparkContext.broadcast(positive)
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("x").combine_chunks())
+        w, b = minimum(shared.value, ((x - mean) / scale).astype(np.float32), prior)
+        return pa.table({"i": pa.array(np.arange(len(w) + 1)), "v": pa.array(np.append(w, b) * len(x))})
+
+    sums = made.select(F.pmod("o", F.lit(groups)).alias("g"), "x").groupBy("g").applyInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(_WIDE + 1)
+    for r in sums.collect():
+        out[r["i"]] = r["v"] / rows
+    return Model(mean, scale, out[:-1], float(out[-1]), prior)
 
 
 def held_out(id_col: str) -> Column:
@@ -177,19 +250,33 @@ def held_out(id_col: str) -> Column:
 def quality_classifier(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document (doc_id, score). positives: one column with the ids of trusted documents."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    trusted, web = _sample(rows, positives.toDF("doc_id"), POSITIVES), _sample(rows, rows.select("doc_id"), UNLABELLED)
-    model = fit(trusted, web) if len(trusted) and len(web) else None
+    made = _made(rows)
+    n, trusted = made.count(), _sample(made, positives.toDF("doc_id"), POSITIVES)
+    model = _model(made, trusted, n) if len(trusted) and n else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
         model = shared.value
         for b in it:
-            for lo, hi in chunks(b.column("text")):
-                part = b.slice(lo, hi - lo)
-                score = model.score(features(part.column("text"))) if model else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, score double")
+            score = model.score(_matrix(b.column("x"))) if model else np.full(b.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+
+    return made.mapInArrow(run, "doc_id long, score double")
+
+
+def _model(made: DataFrame, trusted: np.ndarray, n: int) -> Model:
+    moments = lambda x: np.concatenate([x.sum(axis=0, dtype=float), (x.astype(float) ** 2).sum(axis=0)])
+    sums = (_sums(made, moments, 2 * _WIDE) + moments(trusted)) / (n + len(trusted))
+    mean = sums[:_WIDE]
+    scale = np.sqrt(np.maximum(sums[_WIDE:] - mean**2, 0)) + 1e-2
+    standard = lambda x: ((x - mean) / scale).astype(np.float32)
+    counts, held = np.zeros(BINS), []
+    for half in (0, 1):  # told from a sample of one half of the rows, counted over the whole other half
+        own = F.pmod("o", F.lit(2)) == half
+        w, b, x = ranking(standard(trusted), standard(_sample(made.where(own), made.select("doc_id"), GROUP)))
+        counts += _sums(made.where(~own), lambda x, w=w, b=b: np.bincount(bin_of(standard(x) @ w + b), minlength=BINS).astype(float), BINS)
+        held.append(x)
+    return _averaged(made, standard(trusted), mean, scale, prior_from(np.concatenate(held), counts), n)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -14,14 +14,15 @@ subquery; a score needs no join or shuffle.
 
 Cases: a null or empty text has zero counts and fails the base rules; repeated rows are counted and returned each;
 an empty table gives an empty result; with no trusted documents every weight is 0 and only the base rules decide.
-Only the id and text columns are read.
+Only the id and text columns are read and all columns are handed on; one that is called ``rules`` already is called
+``rules_`` afterwards (``rules__`` if that is there too).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .native import BLANKS, blank_words, let, span
+from .native import BLANKS, blank_words, free, let, set_aside, span
 
 BUCKETS = 1 << 16
 PRIOR = 20_000.0
@@ -110,14 +111,16 @@ def _words_buckets(text: Column) -> Column:
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` and a struct ``rules``: the counts, score, base_failed, kept."""
     weights = ratio_weights(docs, trusted, id_col, text_col).scalar()
+    out, held = set_aside(docs, "rules"), free("_weights", docs.columns)
+    text_col = out.columns[[c.lower() for c in docs.columns].index(text_col.lower())]
 
     def judged(r: Column) -> Column:
         failed = (r["n_words"] < 10) | (100 * r["n_repeat_words"] > 20 * r["n_words"])
         return F.struct(*[r[c].alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & (r["score"] >= F.lit(threshold))).alias("kept"))
 
     # one expression for all of it: a filter on ``kept`` that is pushed below then computes it once
-    rules = let(base_counts(F.col(text_col), F.col("_weights")), judged).alias("rules")
-    return docs.withColumn("_weights", weights).select(*[c for c in docs.columns if c != "rules"], rules)
+    rules = let(base_counts(F.col(text_col), F.col(held)), judged).alias("rules")
+    return out.withColumn(held, weights).select(*out.columns, rules)
 
 
 def trusted_ids(spark, sf_dir: str) -> DataFrame:
