@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .native import BLANKS, blank_words, free, let, set_aside, span
+from .native import blank_words, free, let, set_aside
 
 BUCKETS = 1 << 16
 PRIOR = 20_000.0
@@ -30,14 +30,21 @@ THRESHOLD = -0.2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
 
 
-def _buckets(w: Column) -> Column:
-    ends = F.transform(w, lambda x: F.substring(x, -3, 3))
-    pairs = let(ends, lambda e: F.zip_with(e, F.slice(e, F.lit(2), F.size(e)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int")))
-    return F.concat(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")), pairs)
+def _bucket(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words in five-word windows that are found twice or more."""
+def _end(word: Column) -> Column:
+    return F.substring(word, -3, 3)
+
+
+def _ahead(a: Column, k: int) -> Column:
+    """The array from its k+1st member on."""
+    return F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0)))
+
+
+def _repeat_words(h: Column) -> Column:
+    """Words in five-word windows that are found twice or more, from the words' hashes."""
 
     def covered(sorted_: Column) -> Column:
         n = F.size(sorted_)
@@ -47,34 +54,41 @@ def _repeat_words(w: Column) -> Column:
         start = F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last"))
         return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + F.least(F.lit(5), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    def windows(h: Column) -> Column:
+    def windows(w: Column) -> Column:
         return F.when(
-            F.size(F.array_distinct(h)) < F.size(h),
-            let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered),
+            F.size(F.array_distinct(w)) < F.size(w),
+            let(F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered),
         ).otherwise(F.lit(0))
 
-    return F.when(F.size(w) >= 6, let(F.transform(span(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, F.lit(5)))), windows)).otherwise(F.lit(0))
+    # hashes of two words, of four, of five: each from hashes that are there, so no window's words are gathered
+    two = lambda a: F.zip_with(a, _ahead(a, 1), lambda x, y: F.xxhash64(x, y))
+    four = let(two(h), lambda a: F.zip_with(a, _ahead(a, 2), lambda x, y: F.xxhash64(x, y)))
+    five = F.slice(F.zip_with(four, _ahead(h, 4), lambda x, y: F.xxhash64(x, y)), F.lit(1), F.greatest(F.size(h) - 4, F.lit(0)))
+    return F.when(F.size(h) >= 6, let(five, windows)).otherwise(F.lit(0))
 
 
 def base_counts(text: Column, weights: Column | None = None) -> Column:
     """A struct of the base rules' counts, and with weights the score, of one text."""
     t = F.coalesce(text, F.lit(""))
-    seen = let(F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    seen = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
-    def of(w: Column) -> Column:
+    def of(x: Column) -> Column:
+        w, h = x["w"], x["h"]
         fields = [
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             seen.cast("long").alias("n_dup_lines"),
-            _repeat_words(w).cast("long").alias("n_repeat_words"),
+            _repeat_words(h).cast("long").alias("n_repeat_words"),
         ]
         if weights is not None:
-            total = F.aggregate(_buckets(w), F.lit(0.0), lambda a, b: a + F.element_at(weights, b + 1))
+            one = F.aggregate(h, F.lit(0.0), lambda a, b: a + F.element_at(weights, F.pmod(b, F.lit(BUCKETS)).cast("int") + 1))
+            pairs = let(F.transform(w, _end), lambda e: F.zip_with(e, _ahead(e, 1), lambda a, b: F.element_at(weights, _bucket(a, b) + 1)))
+            total = one + F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
             fields.append(F.when(F.size(w) > 0, total / (2 * F.size(w))).otherwise(F.lit(0.0)).alias("score"))
         return F.struct(*fields)
 
-    return let(blank_words(text), of)
+    return let(let(blank_words(text), lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))), of)
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,10 +97,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     text = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
     text = text.withColumn("_salt", F.when(F.col("_key").isNull(), F.xxhash64("_text")).otherwise(F.lit(0)).cast("long"))
     marked = text.join(ids.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_salt") == F.col("_none")), "left")
-    counts = (
-        marked.select(F.coalesce("_in", F.lit(0)).alias("_in"), F.explode(_words_buckets(F.col("_text"))).alias("b"))
-        .groupBy("b").agg(F.count("*").alias("r"), F.sum("_in").alias("t"))
-    )
+    counts = grams(marked.select(F.coalesce("_in", F.lit(0)).alias("_in"), "_text"), "_text", "_in").groupBy("b").agg(F.count("*").alias("r"), F.sum("_in").alias("t"))
     packed = counts.agg(F.sort_array(F.collect_list(F.struct("b", "r", "t"))).alias("c"))
 
     def weigh(c: Column) -> Column:
@@ -104,8 +115,14 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", F.coalesce("w", F.lit(0.0)).alias("w")))), lambda x: x["w"]).alias("weights"))
 
 
-def _words_buckets(text: Column) -> Column:
-    return let(blank_words(text), _buckets)
+def grams(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, b): the bucket of each n-gram of every text, one row each; the last word makes a pair with nothing.
+
+    Words become rows beside the words after them before anything is hashed, so hashing runs in generated code.
+    """
+    words = docs.select(*keep, blank_words(F.col(text_col)).alias("_w"))
+    both = words.select(*keep, F.inline(F.arrays_zip(F.col("_w").alias("_a"), _ahead(F.col("_w"), 1).alias("_b"))))
+    return both.select(*keep, F.explode(F.array(_bucket(F.col("_a")), _bucket(_end(F.col("_a")), _end(F.col("_b"))))).alias("b"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -46,6 +46,20 @@ def test_quality_rules(docs, rows, empty, spark, sf_dir):
     assert all(r.score == 0 and r.kept != r.base_failed for r in nobody)
 
 
+def test_quality_scores_by_brute_force(docs, rows, spark, sf_dir):
+    import math
+
+    from srcweave.llm.quality_rules import quality_rules, trusted_ids
+    from tests.llm import brute
+
+    got = [(str(r[0]), r.score, r.kept) for r in quality_rules(docs.select("doc_id", "text"), trusted_ids(spark, sf_dir)).select("doc_id", "rules.*").collect()]
+    want = brute.quality(rows, {r.doc_id for r in trusted_ids(spark, sf_dir).collect()})
+    want = [(str(i), *x) for (i, _), x in zip(rows, want, strict=True)]
+    assert len(got) == len(want) and any(not k for *_, k in got) and any(k for *_, k in got)
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], abs_tol=1e-9) and a[2] == b[2]
+
+
 def test_quality_weights_are_the_log_likelihood_ratios(spark):
     import math
 
@@ -53,7 +67,7 @@ def test_quality_weights_are_the_log_likelihood_ratios(spark):
 
     docs = spark.createDataFrame([(1, "good words here now"), (2, "bad ### ### ###"), (3, "good bad")], "doc_id long, text string")
     weights = Q.ratio_weights(docs, spark.createDataFrame([(1,)], "doc_id long")).first().weights
-    pairs = [r for r in docs.select("doc_id", F.explode(Q._words_buckets(F.col("text"))).alias("b")).collect()]
+    pairs = Q.grams(docs, "text", "doc_id").collect()
     raw, target = collections.Counter(r.b for r in pairs), collections.Counter(r.b for r in pairs if r.doc_id == 1)
     for b, n in raw.items():
         p = (n + 1) / (len(pairs) + Q.BUCKETS)
@@ -69,7 +83,7 @@ def test_quality_target_counts_every_trusted_document(spark):
     n = 30_000
     docs = spark.range(2 * n).selectExpr("id as doc_id", f"if(id < {n}, 'good', 'bad') as text").unionByName(spark.createDataFrame([(None, "none")] * 9, "doc_id long, text string"))
     weights = Q.ratio_weights(docs, spark.range(n).union(spark.range(5))).first().weights
-    b = spark.range(1).select(Q._words_buckets(F.lit("good"))[0]).first()[0]
+    b = spark.range(1).select(Q._bucket(F.lit("good"))).first()[0]
     p = (n + 1) / (2 * (2 * n + 9) + Q.BUCKETS)  # two n-grams for each word
     assert math.isclose(weights[b], math.log((n + Q.PRIOR * p) / (2 * n + Q.PRIOR) / p), abs_tol=1e-9)
 
