@@ -116,8 +116,8 @@ def _descend(x: np.ndarray, slope, steps: int = 300, rate: float = 0.03) -> tupl
     w, b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        s = slope(x @ w + b)
-        g = np.append(x.T @ s + decay * w, s.sum())
+        s = slope((x @ w.astype(x.dtype)).astype(float) + b)  # in the rows' own precision: a mixed product copies them at every step
+        g = np.append(x.T @ s.astype(x.dtype) + decay * w, s.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
