@@ -13,8 +13,8 @@ distance 0.2 share one of the first n/5 + 1 shingles of either. A document is re
    few comparisons for each member, not one for each pair.
 2. Then all regions are looked at, and those that hold more than one component go on: a round draws one more pivot in
    each, measures it against the documents outside its component, and regions that became one component drop out.
-3. After ``ROUNDS`` rounds the regions left over join exhaustively, but only pairs of different components, within the
-   length and position bounds, and not set apart by the triangle inequality: by the
+3. After ``ROUNDS`` rounds the regions left over are cut into parts and join, but only pairs of different components,
+   within the length and position bounds, and not set apart by the triangle inequality: by the
    distances to common pivots that differ by more than the radius, or by the numbers of shingles in ``CLASSES`` hash
    classes, which act as pivots too (in all classes together two sets share at most the sum of the smaller numbers).
 
@@ -49,6 +49,7 @@ FIRST = 8
 CLASSES = 32  # hash classes of shingles, by which sets are told apart
 BROADCAST_ROWS = 1_000_000
 PIVOTS = 64
+PART = 256  # documents of a crowded region that one part of it compares with all others
 CELLS = 1 << 26
 U = np.uint64
 MAX_ID = np.iinfo(np.int64).max
@@ -249,10 +250,11 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     for r in range(1, ROUNDS + 1):
         now = regions.join(labels, "key")
-        crowds = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("key", "n", "at", "c"), F.xxhash64("key", F.lit(r))).alias("p")).where("lo <> hi")
-        now = scratch.materialize(now.join(crowds.select("token", "p"), "token"), "open")
-        if now.isEmpty():
+        crowds = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("key", "n", "at", "c"), F.xxhash64("key", F.lit(r))).alias("p")).where("lo <> hi")
+        crowds, many = scratch.counted(crowds.select("token", "p", "m"), "crowds")
+        if not many:
             break
+        now = scratch.materialize(now.join(F.broadcast(crowds) if many <= BROADCAST_ROWS else crowds, "token"), "open")
         if r == ROUNDS:
             pairs = _left_over(now, tested, stands)
         else:
@@ -267,10 +269,14 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _left_over(now: DataFrame, tested: DataFrame, stands: DataFrame) -> DataFrame:
-    """Pairs of different components that share a region and that neither bounds, classes nor pivots rule out."""
-    rows = now.select("token", "key", "n", "at", "c").join(stands.select("key", "counts"), "key")
-    x, y = (rows.select(F.col("token").alias(f"token_{s}"), F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "c", "counts")]) for s in "ab")
-    pairs = x.join(y, F.expr(f"token_a = token_b and a < b and c_a <> c_b and {POSSIBLE} and {CLASSED}")).select("a", "b").distinct()
+    """Pairs of different components that share a region and that neither bounds, classes nor pivots rule out.
+
+    A crowded region is cut into parts of about PART documents, each of which meets all of the region in a task of its own.
+    """
+    rows = now.select("token", "key", "n", "at", "c", F.ceil(F.col("m") / PART).cast("int").alias("parts")).join(stands.select("key", "counts"), "key")
+    own, every = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x, y = (rows.select(F.col("token").alias(f"token_{s}"), part.alias(f"part_{s}"), F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "c", "counts")]) for s, part in (("a", own), ("b", every)))
+    pairs = x.join(y, F.expr(f"token_a = token_b and part_a = part_b and a < b and c_a <> c_b and {POSSIBLE} and {CLASSED}")).select("a", "b").distinct()
     d = (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d")
     far = tested.select(F.col("a").alias("key"), "b", d).unionAll(tested.select(F.col("b").alias("key"), F.col("a").alias("b"), d))
     pivots = far.groupBy("b").agg(F.count("*").alias("m")).orderBy(F.desc("m"), "b").limit(PIVOTS).select("b")

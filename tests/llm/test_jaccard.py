@@ -64,3 +64,35 @@ def test_chains_groups_and_boundaries(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(docs).collect())
     assert got == sorted(_components(rows))
+
+
+def test_crowded_regions_in_parts(spark, monkeypatch):
+    """Regions of many documents that no pivot settles, cut into small parts at once, lose no link."""
+    from srcweave.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "PART", 3)
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for k in range(70):  # all hold one passage, and differ in about a fifth of their shingles
+        own = [f"o{rng.randrange(12)}x{j}" for j in range(rng.randrange(2, 14))]
+        rows.append((k, " ".join(own[: len(own) // 2] + shared + own[len(own) // 2 :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(_components(rows))
+    assert 1 < len({c for *_, c in want}) < 70
+    for rounds in (1, 3):
+        monkeypatch.setattr(J, "ROUNDS", rounds)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.jaccard_components(docs).collect()) == want
+
+
+def test_copies_and_texts_without_words_in_many_blocks(spark, monkeypatch):
+    from srcweave.llm import blocks
+    from srcweave.llm.jaccard_join import jaccard_components, jaccard_dedup
+
+    pack = blocks.pack
+    monkeypatch.setattr(blocks, "pack", lambda d, i, t, keep=(): pack(d, i, t, keep, block_bytes=200))
+    rows = [(k, "one and the same text in every row") for k in range(40)] + [(100 + k, None if k % 2 else " ") for k in range(20)] + [(50, "another text of six words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
+    assert got == sorted([(k, 4, 0) for k in range(40)] + [(100 + k, 0, 100 + k) for k in range(20)] + [(50, 2, 50)])
+    assert sorted(r.doc_id for r in jaccard_dedup(docs).collect()) == [0, 50, *range(100, 120)]
