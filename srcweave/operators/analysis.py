@@ -19,25 +19,42 @@ def severity_rank(c: Column) -> Column:
     return out.otherwise(-1)
 
 
+#: A tier begins above these cyclomatic and cognitive complexities.
+COMPLEXITY_TIERS = (("critical", 50, None), ("high", 20, 30), ("medium", 10, 15))
+#: A risk begins above this number of callers.
+RISK_COUNTS = (("critical", 20), ("high", 10), ("medium", 5))
+#: Weights of the impact score, the complexity above which its last one counts, and where each tier ends.
+DIRECT, TRANSITIVE, UNTESTED, COMPLEX, COMPLEX_ABOVE = 2, 0.5, 10, 5, 20
+IMPACT_TIERS = (("low", 5), ("medium", 15), ("high", 30))
+#: The patterns by which a path is a test's.
+TEST_PATHS = (r"\.test\.[jt]sx?$", r"\.spec\.[jt]sx?$", r"__tests__/", r"/tests?/", r"\.tests?\.[jt]sx?$")
+
+
+def _first_of(cases: list[tuple[Column, str]], other: str) -> Column:
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for test, name in cases:
+        out = out.when(test, name)
+    return out.otherwise(other)
+
+
 def complexity_tier(cyclomatic: Column, cognitive: Column) -> Column:
-    return F.when(cyclomatic > 50, "critical").when((cyclomatic > 20) | (cognitive > 30), "high").when((cyclomatic > 10) | (cognitive > 15), "medium").otherwise("low")
+    return _first_of([((cyclomatic > a) if b is None else (cyclomatic > a) | (cognitive > b), name) for name, a, b in COMPLEXITY_TIERS], "low")
 
 
 def risk_by_count(transitive: Column) -> Column:
-    return F.when(transitive > 20, "critical").when(transitive > 10, "high").when(transitive > 5, "medium").otherwise("low")
+    return _first_of([(transitive > n, name) for name, n in RISK_COUNTS], "low")
 
 
 def impact_score(direct: Column, transitive: Column, has_tests: Column, complexity: Column) -> Column:
-    return 2 * direct + 0.5 * transitive + F.when(has_tests, 0).otherwise(10) + F.when(F.coalesce(complexity, F.lit(0)) > 20, 5).otherwise(0)
+    return DIRECT * direct + TRANSITIVE * transitive + F.when(has_tests, 0).otherwise(UNTESTED) + F.when(F.coalesce(complexity, F.lit(0)) > COMPLEX_ABOVE, COMPLEX).otherwise(0)
 
 
 def impact_tier(score: Column) -> Column:
-    return F.when(score <= 5, "low").when(score <= 15, "medium").when(score <= 30, "high").otherwise("critical")
+    return _first_of([(score <= n, name) for name, n in IMPACT_TIERS], "critical")
 
 
 def is_test_path(path: Column) -> Column:
-    """The five patterns by which a file is a test."""
-    return path.rlike(r"\.test\.[jt]sx?$|\.spec\.[jt]sx?$|__tests__/|/tests?/|\.tests?\.[jt]sx?$")
+    return path.rlike("|".join(TEST_PATHS))
 
 
 def is_test_name(path: Column) -> Column:
@@ -133,11 +150,18 @@ def directory_rollup(files: DataFrame, depth: int = 3) -> DataFrame:
     return level.groupBy("x.dir", "x.depth").agg(F.count("*").alias("files"))
 
 
+def _first_and_all(rows: DataFrame, keys: list[str], name: str, shown: int) -> DataFrame:
+    """(keys, total, x: the first names in order). Ranks are limited before the shuffle and totals counted map-side, so a
+    key with very many rows sends few of them."""
+    total = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(name))).where(F.col("_n") <= shown)
+    return total.join(first.groupBy(*keys).agg(F.sort_array(F.collect_list(name)).alias("x")), keys)
+
+
 def repo_map(files: DataFrame, shown: int = 5) -> DataFrame:
     """(dir, files, listing): up to five names of each directory and how many more there are."""
     d = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.element_at(F.split("path", "/"), -1).alias("name"))
-    ranked = d.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("name")))
-    out = ranked.groupBy("dir").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.when(F.col("n") <= shown, F.col("name")))).alias("x"))
+    out = _first_and_all(d, ["dir"], "name", shown).withColumnRenamed("total", "files")
     more = F.when(F.col("files") > shown, F.concat(F.lit(" ... "), (F.col("files") - shown).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return out.select("dir", "files", F.concat(F.array_join("x", ", "), more).alias("listing"))
 
@@ -200,7 +224,5 @@ def severity_summary(findings: DataFrame) -> DataFrame:
 
 def relation_groups(connections: DataFrame, shown: int = 5) -> DataFrame:
     """Connections of each node by (type, direction): up to five names and the number of all."""
-    w = Window.partitionBy("id", "type", "direction").orderBy("other")
-    ranked = connections.withColumn("n", F.row_number().over(w))
-    out = ranked.groupBy("id", "type", "direction").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(F.when(F.col("n") <= shown, F.col("other")))).alias("x"))
+    out = _first_and_all(connections, ["id", "type", "direction"], "other", shown)
     return out.select("id", "type", "direction", "total", F.array_join("x", ",").alias("shown"))

@@ -11,8 +11,9 @@ result is that of a full index. Where a name stands for several components, all
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -140,6 +141,7 @@ class Snapshot:
     graph: PropertyGraph
     root: str = ""
     project: str | None = None
+    duration_ms: int = 0
 
     def save(self, path: str) -> None:
         self.files.write.mode("overwrite").parquet(f"{path}/files")
@@ -160,7 +162,7 @@ class Snapshot:
     def stats(self) -> DataFrame:
         kinds = ("Function", "Class", "Interface", "Variable", "Type", "Component", "Import")
         e = self.extracted.agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in kinds], F.count_if(F.col("kind").isin(*[k for k in kinds if k != "Import"])).alias("entities"), F.count_if(F.col("kind") == "Error").alias("errors"))
-        return e.select(self.files.agg(F.count("*")).scalar().alias("files"), "*", self.graph.edges.agg(F.count("*")).scalar().alias("edges"))
+        return e.select(self.files.agg(F.count("*")).scalar().alias("files"), "*", self.graph.edges.agg(F.count("*")).scalar().alias("edges"), F.lit(self.duration_ms).cast("long").alias("duration_ms"))
 
 
 def imported_names(imports: DataFrame) -> DataFrame:
@@ -173,16 +175,19 @@ def imported_names(imports: DataFrame) -> DataFrame:
 
 def index(files: DataFrame, root: str = "", registry: Registry | None = None, project: str | None = None) -> Snapshot:
     """Index files (path, content, modified): all entities and edges."""
-    return link(scratch.materialize(file_rows(files), "files"), extract(files, registry), root, project)
+    began = time.monotonic()
+    out = link(scratch.materialize(file_rows(files), "files"), extract(files, registry), root, project)
+    return replace(out, duration_ms=round(1000 * (time.monotonic() - began)))
 
 
 def reindex(old: Snapshot, files: DataFrame, removed: DataFrame, registry: Registry | None = None) -> Snapshot:
     """The snapshot after some files (path, content, modified) came or changed and others (path) were removed."""
+    began = time.monotonic()
     fr, x = scratch.materialize(file_rows(files), "files"), extract(files, registry)
     gone = scratch.materialize(removed.select("path").unionAll(fr.select("path")).distinct(), "gone")
     fr = scratch.materialize(old.files.join(gone, "path", "left_anti").unionByName(fr), "files")
     x = scratch.materialize(old.extracted.join(gone, "path", "left_anti").unionByName(x), "extracted", ("kind",))
-    return link(fr, x, old.root, old.project)
+    return replace(link(fr, x, old.root, old.project), duration_ms=round(1000 * (time.monotonic() - began)))
 
 
 def parse_file(path: str, content: str, registry: Registry | None = None) -> dict[str, list[dict]]:

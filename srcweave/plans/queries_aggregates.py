@@ -43,15 +43,16 @@ CALLERS = "+RECURSIVE s AS (SELECT DISTINCT dst AS root FROM cs), r AS (SELECT r
 def _callers(t: Tables):
     from ..operators.paths import reach
 
-    start = t.calls().select(F.col("dst").alias("id")).distinct()
-    return reach(t.calls(), start, "in", 3, by_root=True).where("id <> root"), start.withColumnRenamed("id", "root")
+    hops = t.calls().select(F.col("sk").alias("src"), F.col("dk").alias("dst"))  # numbers: a row for each root and caller
+    start = hops.select(F.col("dst").alias("id")).distinct()
+    return reach(hops, start, "in", 3, by_root=True).where("id <> root"), start.withColumnRenamed("id", "root")
 
 
 def _impact(t: Tables):
     m, start = _callers(t)
     n = m.groupBy("root").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
     out = start.join(n, "root", "left").fillna(0)
-    return out.join(t.functions().select(F.col("id").alias("root"), "complexity", "k"), "root")
+    return out.join(t.functions().select(F.col("k").alias("root"), F.col("id").alias("name"), "complexity", "k"), "root").drop("root").withColumnRenamed("name", "root")
 
 
 @query(

@@ -54,6 +54,14 @@ def entity_lookup(t: Tables):
     return g.entity(fn["id"]).unionByName(g.entity(path)).select("id", "label")
 
 
+@query("+m AS (SELECT min(name) AS x FROM fn) SELECT 'parts' AS form, id FROM fn WHERE k = 7 UNION ALL SELECT 'file', 'File:' || min(path) FROM f UNION ALL SELECT 'name', id FROM fn, m WHERE name = x", "fn")
+def center_lookup(t: Tables):
+    g, fn = t.graph(), t.functions().where("k = 7").first()
+    name, path = t.functions().agg(F.min("name")).first()[0], t.files().agg(F.min("path")).first()[0]
+    pick = lambda form, ref: g.center(ref).select(F.lit(form).alias("form"), "id")
+    return pick("parts", fn["id"]).unionAll(pick("file", f"File:{path}")).unionAll(pick("name", name))
+
+
 @query("+w AS (SELECT id, name, unnest(regexp_split_to_array(lower(name), '\\W+')) AS word FROM nodes) SELECT id, name, count(*) AS score FROM w WHERE word IN ('red', 'widget', 'blue') GROUP BY 1, 2", "nodes")
 def fulltext_score(t: Tables):
     return t.graph().fulltext("Red blue WIDGET")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import node_id
-from ..operators.graph import PropertyGraph
+from ..operators.graph import PropertyGraph, in_order, word_index
 from . import scratch
 
 FILES = """f AS (SELECT s_suppkey, '/' || r_name || '/' || n_name || '/' || s_name || '.ts' AS path, s_name || '.ts' AS name,
@@ -167,4 +167,4 @@ class Tables:
         return out
 
     def graph(self) -> PropertyGraph:
-        return PropertyGraph(self.nodes(), self.edges())
+        return PropertyGraph(self.nodes(), self.edges(), self.stored("words", lambda: in_order(word_index(self.nodes()))))

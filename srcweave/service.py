@@ -10,6 +10,7 @@ from .operators.ingest import Snapshot, index, reindex
 from .plans import scratch
 from .plans.cypher import cypher
 from .sources import files as S
+from .streaming.cache import ResultCache
 from .streaming.debounce import ANALYSIS_MS
 
 
@@ -54,7 +55,7 @@ class Service:
 
     def __init__(self, spark: SparkSession, snapshot: Snapshot, commits: DataFrame | None = None, modified: DataFrame | None = None):
         self.spark, self.snapshot, self.graph = spark, snapshot, snapshot.graph
-        self.commits, self.modified, self.projects = commits, modified, Projects()
+        self.commits, self.modified, self.projects, self.cache = commits, modified, Projects(), ResultCache(spark)
 
     @staticmethod
     def parse_project(spark: SparkSession, root: str, name: str | None = None) -> Service:
@@ -85,7 +86,7 @@ class Service:
         return e, self.graph.connections(e)
 
     def neighbors(self, ref: str, direction: str = "both", types: tuple[str, ...] = (), depth: int = 1) -> DataFrame:
-        return self.graph.neighbors(self.graph.entity(ref), direction, types, depth, depth * 50)
+        return self.graph.neighbors(self.graph.center(ref), direction, types, depth, depth * 50)
 
     def nodes(self, page: int = 1, limit: int = 50, labels: tuple[str, ...] = (), project: str | None = None, query: str | None = None) -> tuple[DataFrame, DataFrame]:
         root = self.projects.resolve(project) if project else None
@@ -115,6 +116,7 @@ class Service:
         files = self.spark.createDataFrame(rows, "path string, content string, modified timestamp")
         self.snapshot = reindex(self.snapshot, files, self.spark.createDataFrame([(p,) for p in removed], "path string"))
         self.graph = self.snapshot.graph
+        self.cache.invalidate()
         if self.contents is not None:
             gone = [p for p, *_ in rows] + removed
             self.contents = self.contents.where(~F.col("path").isin(*gone)).unionByName(files)
@@ -126,6 +128,7 @@ class Service:
         came = changes.where("type <> 'deleted'").select("path")
         self.snapshot = reindex(self.snapshot, self.contents.join(came, "path", "left_semi"), changes.where("type = 'deleted'").select("path"))
         self.graph = self.snapshot.graph
+        self.cache.invalidate()
         return changes
 
     def delete_project(self, name: str) -> None:
@@ -194,6 +197,10 @@ class Service:
         c = A.coupling(f, self.calls(), reads, threshold)
         return c.orderBy("score", "id"), A.coupling_summary(c), A.responsibilities(f, self.calls()).orderBy(F.desc("size"), "component")
 
+    def run(self, kind: str, **parameters):
+        """An analysis by name (security, complexity, refactoring, dataflow, impact, summary), from the cache while it lives."""
+        return self.cache.of(kind, lambda: getattr(self, kind)(**parameters), **parameters)
+
     def summary(self) -> DataFrame:
         s = A.severity_summary(self.snapshot.table("Finding")).select(F.col("total").alias("findings"), "critical", "high")
         c = A.complexity_summary(self.functions())

@@ -198,6 +198,23 @@ def test_trigger_reindex(spark, tmp_path):
     assert [(a.split(":")[2], b.split(":")[2]) for a, b in edges(s, str(tmp_path), "CALLS")] == [("one", "three"), ("two", "one")]
 
 
+def test_results_live_for_their_time(service):
+    from srcweave.streaming.cache import ResultCache
+
+    now = [1000.0]
+    service.cache = ResultCache(service.spark, lambda: now[0])
+    first = service.run("impact", symbol="nextId")
+    assert service.run("impact", symbol="nextId") is first and service.run("impact", symbol="add") is not first
+    now[0] += 299
+    assert service.run("impact", symbol="nextId") is first
+    service.run("complexity", threshold=2)
+    now[0] += 2
+    assert {r.type: (r.entries, r.live) for r in service.cache.stats().collect()} == {"impact": (2, 0), "complexity": (1, 1)}
+    assert service.run("impact", symbol="nextId") is not first
+    assert service.cache.invalidate("impact") == 2 and service.cache.invalidate() == 1 and service.cache.stats().isEmpty()
+    assert service.snapshot.duration_ms > 0 and service.index_status().first().duration_ms == service.snapshot.duration_ms
+
+
 def test_commands(spark, root, tmp_path, capsys):
     from srcweave.__main__ import main
 
