@@ -12,7 +12,8 @@ an anchor a parser of its kind looks left and right only as far as its boundary
   identifier of four or more characters (letters, digits, ``-``, ``_``, inner dots) with a digit, digits also in groups
   divided by single blanks; what has an IBAN's form after the cue ``iban`` but fails its check is dropped;
 * ``address``: a house number and up to four capitalised words before a street cue; a German street with its number
-  after it; a number, a French street cue and a name; a Spanish street cue, a name and a number.
+  after it; a number, a French street cue and a name; a Spanish street cue, a name and a number. Blanks join them, line
+  ends don't; numbers and words may have any length.
 
 The first four follow the base patterns exactly: matches are leftmost and don't overlap within a kind, and a match
 that fails its check is dropped without another try. Offsets are code points, ends exclusive.
@@ -23,6 +24,7 @@ no spans; repeated rows get a result each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -47,11 +49,14 @@ _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){11,30}")
 _IBAN_FORM = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20-]?[A-Z0-9]){11,30}")
 _GROUPED = re.compile(r"[0-9]+(?:\x20[0-9]{2,})+(?![^\W_]|[_-])")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_-]|\.(?=[A-Za-z0-9_-]))*")
-_HOUSE = re.compile(r"[0-9]{1,5}[a-z]?(?:\x20[A-Z][^\s\x20,;:]*){1,4}\x20?$")
+_HOUSE = {least: re.compile(rf"(?<![0-9])[0-9]++[a-z]?(?:\x20[A-Z][^\s,;:]*){{{least},{least + 3}}}\x20\Z") for least in (0, 1)}
+_BREAK = re.compile(r"[,;:]")
+_SPACE = re.compile(r"\s")
 _NAME = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
-_GERMAN = re.compile(rf"(?:{_NAME}\x20){{0,3}}{_NAME}$|(?:{_NAME}\x20){{1,3}}$|(?:{_NAME}-)+$")
-_NUMBER = re.compile(r",?\x20(?:n[.º°o]{1,2}\x20?)?[0-9]{1,5}(?:\x20?[A-Za-z])?(?!\w)")
-_BEFORE = re.compile(r"(?<!\w)[0-9]{1,5}(?:\x20?(?:bis|ter|quater|[A-Za-z]))?,?\x20$")
+_GERMAN = re.compile(rf"(?:{_NAME}\x20){{0,3}}{_NAME}\Z|(?:{_NAME}\x20){{1,3}}\Z|(?:{_NAME}-)+\Z")
+_CAPITAL = re.compile(r"(?<!\w)(?<!-)[A-ZÀ-ÖØ-Þ]")
+_NUMBER = re.compile(r",?\x20(?:n[.º°o]{1,2}\x20?)?[0-9]++(?:\x20?[A-Za-z])?(?!\w)")
+_BEFORE = re.compile(r"(?<!\w)[0-9]++(?:\x20?(?:bis|ter|quater|[A-Za-z]))?,?\x20\Z")
 _LINK = r"(?:(?:de|du|des|del|la|las|le|les|los|el|et|y|à|aux|au|en)\x20|[dlDL]['’])"
 _STREET = re.compile(rf"\x20{_LINK}*{_NAME}(?:\x20{_LINK}*{_NAME}){{0,4}}")
 
@@ -111,35 +116,66 @@ def _account(text: str, at: int, iban: bool) -> tuple[int, int] | None:
     return (start, end) if end - start >= 4 and any(c in _DIGITS for c in m[0]) else None
 
 
-def _address(text: str, at: int, end: int, kinds: tuple[str, ...], least: int) -> tuple[int, int] | None:
-    """Span of the address around a street cue at ``at`` .. ``end``; it begins at ``least`` or later."""
-    low = max(least, at - 80)
-    if "s" in kinds:
-        m = _HOUSE.search(text, low, at)
-        if m and not (m.start() and text[m.start() - 1].isalnum()):
-            return m.start(), end
-        number = _NUMBER.match(text, end) if text[at:end].lower() in ("straße", "strasse") else None
-        if number:
-            m = next((m for m in (_GERMAN.match(text, k, at) for k in range(low, at) if not (k and (text[k - 1].isalnum() or text[k - 1] in "-_"))) if m), None)
-            if m:
-                return m.start(), number.end()
-    if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
-        return None
-    if {"fr", "es"}.intersection(kinds):
-        name = _STREET.match(text, end)
-        if name:
-            before = _BEFORE.search(text, low, at) if "fr" in kinds else None
-            if before:
-                return before.start(), name.end()
-            number = _NUMBER.match(text, name.end()) if "es" in kinds else None
+class _Streets:
+    """Addresses around the street cues of one text.
+
+    What stands before a cue is a few words, so it is sought from the start of the word that is so many words back; per
+    word it is sought once, however many cues the word has.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.spaces, self.word = text, [m.start() for m in _SPACE.finditer(text)], (-1, None, -1)
+
+    def _back(self, at: int, words: int, least: int) -> int:
+        """Where the word begins that is so many words before the one at this place; not before ``least``."""
+        k = bisect.bisect_left(self.spaces, at) - 1 - words
+        return max(least, self.spaces[k] + 1 if k >= 0 else 0)
+
+    def _house(self, at: int, least: int) -> int | None:
+        """Where a house number begins that up to four capitalised words lead on from to the cue."""
+        start = self._back(at, 0, 0)
+        if start < least:
+            return None
+        if start == at:
+            m = _HOUSE[1].search(self.text, self._back(at, 6, least), at)
+        else:
+            if self.word[0] != start:
+                found = _HOUSE[0].search(self.text, self._back(start, 5, least), start) if "A" <= self.text[start] <= "Z" else None
+                stop = _BREAK.search(self.text, start)
+                self.word = (start, found, stop.start() if stop else len(self.text))
+            m = self.word[1] if at <= self.word[2] else None
+        return m.start() if m and not (m.start() and self.text[m.start() - 1].isalnum()) else None
+
+    def find(self, at: int, end: int, kinds: tuple[str, ...], least: int) -> tuple[int, int] | None:
+        """Span of the address around a street cue at ``at`` .. ``end``; it begins at ``least`` or later."""
+        text = self.text
+        if "s" in kinds:
+            house = self._house(at, least)
+            if house is not None:
+                return house, end
+            number = _NUMBER.match(text, end) if text[at:end].lower() in ("straße", "strasse") else None
             if number:
-                return at, number.end()
-    return None
+                for m in _CAPITAL.finditer(text, self._back(at, 4, least), at):
+                    if _GERMAN.match(text, m.start(), at):
+                        return m.start(), number.end()
+        if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            return None
+        if {"fr", "es"}.intersection(kinds):
+            name = _STREET.match(text, end)
+            if name:
+                before = _BEFORE.search(text, self._back(at, 4, least), at) if "fr" in kinds else None
+                if before:
+                    return before.start(), name.end()
+                number = _NUMBER.match(text, name.end()) if "es" in kinds else None
+                if number:
+                    return at, number.end()
+        return None
 
 
 def find(text: str, automaton) -> list[tuple[int, int, int]]:
     """(number of the kind, start, end) of all spans, in the order of KINDS and then of the starts."""
     out = []
+    streets = None
     mail = dotted = chain = dial = url = account = address = 0  # where each kind's last attempt ended
     for last, (kind, size) in automaton.iter(text):
         at = last - size + 1
@@ -196,7 +232,8 @@ def find(text: str, automaton) -> list[tuple[int, int, int]]:
                 account = span[1]
                 out.append((5, *span))
         elif at >= address:
-            span = _address(text, at, last + 1, kind, address)
+            streets = streets or _Streets(text)
+            span = streets.find(at, last + 1, kind, address)
             if span:
                 address = span[1]
                 out.append((6, *span))

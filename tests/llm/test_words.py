@@ -252,3 +252,22 @@ def test_pii_runs_to_the_real_boundary():
         for before, after in (("", ""), ("at ", ", and"), ("in der ", ". Next"), ("x (", ") 9")):
             assert own(before + want + after) == [("address", want)], (before, want, after)
     assert own("the main Straße is long, in place of 12 things, rue Foch, calle Mayor, la calle de noche 5, 12 replace Foch") == []
+
+
+def test_addresses_of_any_length_in_linear_time():
+    import time
+
+    from srcweave.llm import pii
+
+    a = pii._automaton()
+    found = lambda t: [t[s:e] for k, s, e in pii.find(t, a) if k == 6]
+    name = "X" + "y" * 300
+    assert found(f"at 1234567 {name} {name} Street.") == [f"1234567 {name} {name} Street"]
+    assert found(f"in der Haupt{name.lower()}straße 123456, Ort") == [f"Haupt{name.lower()}straße 123456"]
+    assert found(f"au 1234567 bis, rue de {name} ici") == [f"1234567 bis, rue de {name}"]
+    assert found("calle Mayor 1234567, ya") == ["calle Mayor 1234567"]
+    assert found("12 Main\nStreet") == [] and found("a12 Main Street") == [] and found("12 Main, Street") == []
+    began = time.perf_counter()
+    for t in ("Straße" * 100_000, "A" + "Street" * 100_000, "12 " + "Street " * 100_000, "9" * 500_000 + " Main Street", "Rue " * 100_000, "1," * 200_000 + " Street"):
+        found(t)
+    assert time.perf_counter() - began < 20
