@@ -72,6 +72,16 @@ class PropertyGraph:
         pick = lambda d: self.expand(entity.select("id"), direction=d).select("id", F.lit(d).alias("direction"), F.col("edge_type").alias("type"), "other")
         return pick("out").unionAll(pick("in")).distinct()
 
+    def instantiations(self, name: str) -> DataFrame:
+        """(id, class, line): who makes objects of the classes of this name."""
+        classes = self.scan("Class").where(F.col("name") == name).select("id")
+        return self.expand(classes, ["INSTANTIATES"], "in").select(F.col("other").alias("id"), F.col("id").alias("class"), F.col("edge_line").alias("line"))
+
+    def exports(self, path: str) -> DataFrame:
+        """(id, label, name) of what a file exports."""
+        file = self.nodes.where((F.col("label") == "File") & (F.col("path") == path)).select("id")
+        return self.nodes.join(self.expand(file, ["EXPORTS"]).select(F.col("other").alias("id")), "id").select("id", "label", "name")
+
     def file_subgraph(self, file_id: str) -> PropertyGraph:
         """A file, what it contains and every neighbour of that, with the edges between."""
         center = self.nodes.where(F.col("id") == file_id).select("id")

@@ -19,6 +19,27 @@ def callers_by_name(t: Tables):
     return hits.select(F.col("other").alias("caller"), F.col("id").alias("target"), F.col("edge_line").cast("int").alias("line"))
 
 
+def _with_more(t: Tables) -> G.PropertyGraph:
+    """The graph with EXPORTS of the functions of even complexity, and INSTANTIATES from each function to its folder's class."""
+    fn, line, none = t.functions(), F.lit(1).alias("line"), F.lit(None).cast("long").alias("count")
+    exports = fn.where("complexity % 2 = 0").select(F.concat(F.lit("File:"), "file_path").alias("src"), F.col("id").alias("dst"), F.lit("EXPORTS").alias("label"), line, none)
+    classes = t.classes().select(F.col("id").alias("dst"), F.col("file_path").alias("folder"))
+    made = fn.withColumn("folder", F.regexp_replace("file_path", "/[^/]*$", ".ts")).join(classes, "folder").select(F.col("id").alias("src"), "dst", F.lit("INSTANTIATES").alias("label"), F.col("start_line").cast("int").alias("line"), none)
+    g = t.graph()
+    return G.PropertyGraph(g.nodes, g.edges.unionByName(exports).unionByName(made))
+
+
+@query("SELECT id, name FROM fn WHERE complexity % 2 = 0 AND file_path = (SELECT min(path) FROM f)", "fn")
+def file_exports(t: Tables):
+    return _with_more(t).exports(_first_file(t).removeprefix("File:")).select("id", "name")
+
+
+@query("+n AS (SELECT min(split_part(file_path, '/', 3)) AS x FROM fn) SELECT fn.id, start_line AS line FROM fn, n WHERE split_part(file_path, '/', 3) = x", "fn")
+def class_instantiations(t: Tables):
+    name = t.functions().agg(F.min(F.split("file_path", "/")[2])).first()[0]
+    return _with_more(t).instantiations(name).select("id", F.col("line").cast("long").alias("line"))
+
+
 SUB = """+x AS (SELECT 'File:' || min(path) AS id FROM f), i AS (SELECT dst AS id FROM edges, x WHERE src = x.id AND label = 'CONTAINS'),
 w AS (SELECT id FROM x UNION SELECT id FROM i), a AS (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM i) UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM i))"""
 
