@@ -183,6 +183,16 @@ def test_events_give_what_a_full_index_gives(spark, tmp_path):
         assert store.version() == step
 
 
+def test_renames_of_a_hash_that_many_files_share(spark, monkeypatch):
+    from srcweave.operators import changes as C
+
+    rows = [(f"a/{k:03}", "deleted", None, "e" if k % 4 else f"h{k}") for k in range(60)] + [(f"b/{k * 7 % 60:03}", "added", "e" if k % 4 else f"h{k + 4}", None) for k in range(60)]
+    table = spark.createDataFrame(rows, "path string, type string, hash string, previous_hash string").repartition(5)
+    want = sorted(map(str, C.match_renames(table).collect()))
+    monkeypatch.setattr(C, "HOT", 5)
+    assert sorted(map(str, C.match_renames(table).collect())) == want and sum("renamed" in x for x in want) == 45 + 14
+
+
 def test_trigger_reindex(spark, tmp_path):
     from srcweave.service import Service
 
