@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.components import connected_components
 from ..plans import scratch
 from . import blocks as B
-from .textkit import SPACED, grams, mix, words
+from .textkit import SPACED, distinct, grams, mix, words
 
 SHINGLE = 5
 ROUNDS = 3
@@ -65,7 +65,7 @@ class _Sets:
         sets = []
         for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
             k = min(z - a, SHINGLE)
-            sets.append(np.unique(g[k][a : z - k + 1]) if k else np.empty(0, U))
+            sets.append(distinct(g[k][a : z - k + 1]) if k else np.empty(0, U))
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.all = np.concatenate(sets) if sets else np.empty(0, U)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -134,11 +134,16 @@ _ROWS = "block long, place int, doc_id long, n long, print binary, key long, ids
 def _rows(block: dict, slices: int) -> pa.RecordBatch:
     """Every document's size and set's fingerprint; sets and windows of those that stand for a set and may have partners."""
     s = _Sets(block, slices)
-    cells = np.unique(s.cells)
+    by_cell = np.argsort(s.cells)
+    new = np.diff(s.cells[by_cell], prepend=U(0)) != 0
+    new[:1] = True
+    cells = s.cells[by_cell][new]
     level = np.zeros(len(cells), np.uint8)
     for k, a, b in B.cuts((cells // U(CELLS)).astype(np.int64)):
         level[a:b] = np.frombuffer(zstandard.decompress(block["replies"][(0, k)]), np.uint8)
-    level = level[np.searchsorted(cells, s.cells)]
+    of = np.empty(len(by_cell), np.int64)
+    of[by_cell] = np.cumsum(new) - 1
+    level = level[of]
     order, new = s.prints()
     first = order[new]
     stands = np.zeros(len(first), bool)
@@ -154,7 +159,7 @@ def _rows(block: dict, slices: int) -> pa.RecordBatch:
         rank = np.lexsort((h, lv))[: (z - a) // 5 + 1]
         shared = np.flatnonzero(lv[rank] > 0)
         if len(shared):
-            sets[d] = B.encode(np.unique(mix(h[lv > 0], 5) >> U(16)))
+            sets[d] = B.encode(distinct(mix(h[lv > 0], 5) >> U(16)))
             if len(h) < 1 << 15:
                 counts[d] = np.bincount((mix(h[lv > 0], 6) >> U(59)).astype(np.int64), minlength=CLASSES).astype(np.int16)
             tokens[d] = h[rank[shared]].view(np.int64)
