@@ -34,6 +34,8 @@ def reach(edges: DataFrame, start: DataFrame, direction: str = "out", depth: int
         step = frontier.join(hops, frontier["id"] == hops["src"]).select("root", F.col("dst").alias("id")).distinct()
         known = seen.select(F.col("root").alias("_r"), F.col("id").alias("_i"))
         new = step.join(known, step["root"].eqNullSafe(known["_r"]) & (step["id"] == known["_i"]), "left_anti")
+        if by_root and level == depth:  # the largest level by far, and nothing starts from it: it isn't written
+            return seen.unionAll(new.withColumn("depth", F.lit(level)))
         frontier, found = scratch.counted(new.withColumn("depth", F.lit(level)), "reach")
         if not found:
             break
