@@ -202,8 +202,8 @@ def _measured(pairs: DataFrame, stands: DataFrame) -> DataFrame:
     side = lambda df, x, *cols: df.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     some = pairs.join(side(stands, "a", "n", "counts"), "a").join(side(stands, "b", "n", "counts"), "b").where(f"{SIZES} and {CLASSED}")
     some = scratch.materialize(some.select("a", "b", "n_a", "n_b"), "pairs")
-    need = scratch.materialize(some.select(F.col("a").alias("key")).unionAll(some.select("b")).distinct(), "need")
-    if need.count() <= BROADCAST_ROWS:
+    need, many = scratch.counted(some.select(F.col("a").alias("key")).unionAll(some.select("b")).distinct(), "need")
+    if many <= BROADCAST_ROWS:
         need = F.broadcast(need)
     sets = stands.select("key", "ids").join(need, "key", "left_semi")
     both = some.join(side(sets, "a", "ids"), "a").join(side(sets, "b", "ids"), "b").withColumnsRenamed({"ids_a": "set_a", "ids_b": "set_b"})
@@ -236,7 +236,9 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     # first the rarest tokens only: each document meets the pivot (least key) of most of its regions
     few = stands.select("key", F.explode(F.slice("tokens", 1, FIRST)).alias("token"))
-    heads = few.groupBy("token").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b")
+    heads, many = scratch.counted(few.groupBy("token").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").select("token", "b"), "heads")
+    if many <= BROADCAST_ROWS:  # beyond it a token that very many documents share is split by adaptive execution
+        heads = F.broadcast(heads)
     met = few.join(heads, "token").where("key <> b").groupBy("key", "b").agg(F.count("*").alias("m"))
     pairs = met.groupBy("key").agg(F.max_by("b", F.struct("m", -F.col("b"))).alias("b")).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
     tested = _measured(pairs, stands)
@@ -246,8 +248,8 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     # then every token: the regions that still hold more than one component
     named = stands.select("key", "tokens").join(labels, "key", "left").select(F.explode("tokens").alias("token"), F.coalesce("c", "key").alias("c"))
-    open_ = scratch.materialize(named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token"), "crowded")
-    if open_.count() <= BROADCAST_ROWS:
+    open_, many = scratch.counted(named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token"), "crowded")
+    if many <= BROADCAST_ROWS:
         open_ = F.broadcast(open_)
     regions = scratch.materialize(windows.join(open_, "token", "left_semi"), "regions")
     keys = regions.select("key").distinct().join(labels, "key", "left_anti").withColumn("c", F.col("key"))
