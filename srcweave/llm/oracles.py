@@ -59,4 +59,67 @@ g AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op6_jaccard_join": OP6, "op8_decontamination": OP8}
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and means over whole-number vectors, spelt out; the list of centroids of round r is c{r}."""
+    near = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, rid, min({{'d': list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}}) AS m FROM v, c{r} GROUP BY vec_id, rid)"
+    out = [
+        "v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, q AS c FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 16))",
+        near(0),
+    ]
+    for r in range(1, rounds + 1):
+        out += [
+            f"s{r} AS (SELECT m.k AS k, i, sum(x) AS s, count(*) AS n FROM (SELECT m, unnest(q) AS x, unnest(range(64)) AS i FROM a{r - 1} JOIN v USING (rid)) GROUP BY 1, 2)",
+            f"t{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY k)",
+            f"c{r} AS MATERIALIZED (SELECT o.k, coalesce(t.c, o.c) AS c FROM c{r - 1} o LEFT JOIN t{r} t ON t.k = o.k)",
+            near(r),
+        ]
+    return ", ".join(out)
+
+
+OP13 = f"""WITH {_lloyd(3)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia,
+CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.k = m.k"""
+
+#: crc32 of a short ASCII string, by a table of the remainders of all bytes.
+_CRC = """crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(n, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS t FROM range(256) AS r(n)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+ops AS (SELECT raw.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)])), 4294967295) % 20 AS op FROM raw, crc)"""
+
+
+def _edits() -> str:
+    """Moves of the grammar: inserted rows go before a row's own edit."""
+    after, inserts = {"E": "U", "S": "U", "U": "A", "A": "U"}, []
+    for source in after:
+        at = source
+        for k in range(3):
+            inserts.append(f"('{source}', '{at}', '{'I' * k}', {5 * k})")
+            at = after[at]
+    new = ", ".join(f"('{a}', '{b}')" for a, b in after.items())
+    keep = "('E', 's', 'S'), ('E', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')"
+    return f"""ins AS (SELECT * FROM (VALUES {', '.join(inserts)}) AS v(source, here, edits, cost)),
+mv AS (SELECT source, here AS target, edits || 'D' AS edits, cost + 2 AS cost, CAST(NULL AS VARCHAR) AS initial, 0 AS stays FROM ins
+UNION ALL SELECT source, b, edits || 'R', cost + 1, NULL, 1 FROM ins JOIN (VALUES {new}) AS v(a, b) ON a = here
+UNION ALL SELECT source, c, edits || 'K', cost, b, 1 FROM ins JOIN (VALUES {keep}) AS v(a, b, c) ON a = here)"""
+
+
+OP11 = f"""WITH RECURSIVE {_CRC},
+hit AS (SELECT conv_id, turn, CASE WHEN op = 4 THEN 'user' ELSE role END AS role, CASE op WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN op = 3 THEN 2 ELSE 1 END)) AS copy FROM ops WHERE op <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, left(role, 1) AS initial FROM hit),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '{BLANK_WORDS}') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+{_edits()},
+walk AS (SELECT DISTINCT conv_id, 0 AS pos, 'E' AS state, 0 AS cost, '' AS audit FROM conversations
+UNION ALL SELECT conv_id, pos, state, m.c, m.a FROM (SELECT w.conv_id, f.pos, v.target AS state, min({{'c': w.cost + v.cost + CASE WHEN fault = 't' THEN 5 * stays ELSE 0 END, 'a': w.audit || v.edits}}) AS m
+FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN mv v ON v.source = w.state AND (stays = 0 OR fault NOT IN ('b', 'd')) AND (v.initial IS NULL OR v.initial = f.initial) GROUP BY ALL)),
+stat AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+count(*) FILTER (before IS NOT NULL AND left(before, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+fin AS (SELECT w.conv_id, min({{'c': cost + length(rest) * 5, 'a': audit || rest}}) AS m FROM walk w LEFT JOIN stat s ON s.conv_id IS NOT DISTINCT FROM w.conv_id JOIN (VALUES ('E', ''), ('A', ''), ('U', 'I'), ('S', 'II')) AS v(st, rest) ON st = w.state WHERE w.pos = coalesce(s.n, 0) GROUP BY 1),
+ed AS (SELECT conv_id, unnest(range(1, length(m.a) + 1)) AS i, unnest(string_split(m.a, '')) AS e FROM fin WHERE m.a <> ''),
+nu AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos FROM ed),
+ro AS (SELECT nu.*, f.role, f.text, count(*) FILTER (e IN ('R', 'I') OR e = 'K' AND f.initial <> 's') OVER (PARTITION BY nu.conv_id ORDER BY i) AS spoken FROM nu LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM nu.conv_id AND f.pos = nu.pos AND e <> 'I'),
+rep AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN spoken % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS told FROM ro WHERE e <> 'D' GROUP BY 1)
+SELECT fin.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(fin.m.c AS BIGINT) AS cost, fin.m.a AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM fin LEFT JOIN stat s ON s.conv_id IS NOT DISTINCT FROM fin.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM fin.conv_id"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op6_jaccard_join": OP6, "op8_decontamination": OP8, "op11_conversation_repair": OP11, "op13_centroid_clustering": OP13}

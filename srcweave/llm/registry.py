@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .centroid_clustering import op13_centroid_clustering
+from .conversation_repair import op11_conversation_repair
 from .decontamination import op8_decontamination
+from .fingerprints import op12_fingerprints
 from .jaccard_join import op6_jaccard_join
 from .license_scan import op10_license_scan
 from .line_dedup import op2_line_dedup
@@ -25,6 +28,9 @@ _ALL = (
     op8_decontamination,
     op9_quality_rules,
     op10_license_scan,
+    op11_conversation_repair,
+    op12_fingerprints,
+    op13_centroid_clustering,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
