@@ -92,6 +92,77 @@ def sanitized(paths: DataFrame) -> DataFrame:
     return paths.where(F.exists("all_sanitized", lambda x: x))
 
 
+def flag_search(edges: DataFrame, start: DataFrame, flags: tuple[str, ...], direction: str = "out", depth: int | None = None) -> DataFrame:
+    """(root, id, mask, depth, from_id, from_mask): which flags (bit k for the k-th) walks from a root to a vertex meet.
+
+    A search in the product of vertices and sets of flags: each (root, vertex, mask) is reached once, with the least
+    number of edges and the least vertex and mask before it, so the state is bounded by roots x vertices x 2^flags
+    however many paths there are. Roots are there with mask 0 and depth 0. A walk may use an edge again: to a vertex
+    behind a cycle it meets what the cycle has.
+    """
+    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+    bits = F.lit(0)
+    for k, x in enumerate(flags):
+        bits = bits + F.when(F.coalesce(F.col(x), F.lit(False)), 1 << k).otherwise(0)
+    hops = scratch.materialize(edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), bits.alias("_m")).distinct(), "flagged")
+    seen = start.select(F.col("id").alias("root"), "id").distinct().withColumns({"mask": F.lit(0), "depth": F.lit(0), "from_id": F.lit(None).cast(start.schema["id"].dataType), "from_mask": F.lit(None).cast("int")})
+    seen = scratch.materialize(seen, "search")
+    frontier, level = seen, 0
+    while depth is None or level < depth:
+        level += 1
+        step = frontier.join(hops, frontier["id"] == hops["_a"]).select("root", F.col("_b").alias("id"), F.col("mask").bitwiseOR(F.col("_m")).alias("mask"), F.col("id").alias("from_id"), F.col("mask").alias("from_mask"))
+        step = step.groupBy("root", "id", "mask").agg(F.min(F.struct("from_id", "from_mask")).alias("f"))
+        new = step.join(seen.select("root", "id", "mask"), ["root", "id", "mask"], "left_anti").select("root", "id", "mask", F.lit(level).alias("depth"), "f.from_id", "f.from_mask")
+        frontier, found = scratch.counted(new, "search")
+        if not found:
+            break
+        seen = seen.unionAll(frontier)
+        if level % 8 == 0:
+            seen = scratch.materialize(seen, "search")
+    return seen
+
+
+def witnesses(search: DataFrame, ends: DataFrame) -> DataFrame:
+    """(root, id, mask, nodes): a shortest walk for each row (root, id, mask) of ``ends``, told backwards along the search."""
+    back = search.select("root", F.col("id").alias("_id"), F.col("mask").alias("_mask"), F.col("from_id").alias("_f"), F.col("from_mask").alias("_fm"))
+    now = ends.join(search, ["root", "id", "mask"]).select("root", "id", "mask", F.array("id").alias("nodes"), F.col("from_id").alias("at"), F.col("from_mask").alias("at_mask"))
+    out = None
+    while True:
+        now, found = scratch.counted(now, "witnesses")
+        done = now.where("at is null").select("root", "id", "mask", "nodes")
+        out = done if out is None else out.unionAll(done)
+        if not found:
+            return out
+        open_ = now.where("at is not null")
+        step = open_.join(back, (open_["root"] == back["root"]) & (F.col("at") == F.col("_id")) & (F.col("at_mask") == F.col("_mask")))
+        now = step.select(open_["root"], "id", "mask", F.concat(F.array("at"), "nodes").alias("nodes"), F.col("_f").alias("at"), F.col("_fm").alias("at_mask"))
+
+
+def first_trails(edges: DataFrame, start: DataFrame, limit: int, direction: str = "out", depth: int | None = None) -> DataFrame:
+    """(root, id, length, nodes) of the first ``limit`` paths with no edge twice, by length and then by their nodes.
+
+    As every shorter path comes first, a level is only grown while all paths so far are fewer than the limit, and of
+    its own paths only as many as are still wanted stay. So no level starts from more rows than the limit, which is why
+    it may be broadcast, and what is written grows with the limit rather than with the number of paths.
+    """
+    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+    e = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.struct("src", "dst", *[x for x in ("label", "line") if x in edges.columns]).alias("_e"))
+    now = start.select(F.col("id").alias("root"), "id", F.array("id").alias("nodes"), F.array().cast(f"array<{dict(e.dtypes)['_e']}>").alias("used")).distinct()
+    out, left, length = None, limit, 0
+    while left > 0 and (depth is None or length < depth):
+        length += 1
+        small = F.broadcast(now) if length > 1 else now
+        step = e.join(small, (F.col("_a") == F.col("id")) & ~F.array_contains("used", F.col("_e")))
+        step = step.select("root", F.col("_b").alias("id"), F.concat("nodes", F.array("_b")).alias("nodes"), F.concat("used", F.array("_e")).alias("used"))
+        now, found = scratch.counted(step.orderBy("nodes", "used").limit(left), "first")
+        rows = now.select("root", "id", F.lit(length).alias("length"), "nodes")
+        out = rows if out is None else out.unionAll(rows)
+        left -= found
+        if not found:
+            break
+    return out
+
+
 def dependency_tree(edges: DataFrame, start: DataFrame, depth: int = 5) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes (id, depth) and edges below the start, at most ten levels deep."""
     nodes = reach(edges, start, "out", min(depth, 10)).select("id", "depth")

@@ -104,12 +104,23 @@ def resolve_links(links: DataFrame) -> DataFrame:
     return links.select(*links.columns, (~external).alias("is_internal"), F.when(~external, path).alias("resolved"), F.when(anchor != "", anchor).alias("anchor"))
 
 
+PROBE = 4  # characters of a variable by which sinks are looked up
+
+
 def taint_matches(sources: DataFrame, sinks: DataFrame, sanitizers: tuple[str, ...] = ()) -> DataFrame:
-    """Sources and sinks of a file where the sink's argument has the source's variable and no sanitiser's name.
+    """Sources (file, variable, ...) and sinks (file, argument, ...) of a file where the sink's argument has the source's
+    variable in it and no sanitiser's name.
 
-    The file is the join's key; ``contains`` is left to each file's pairs.
+    An equi-join on the file and the variable's first ``PROBE`` characters: a sink lists its argument's stretches of up to
+    that length once each, so pairs that share none never meet, and a file with very many of both is split by them. A
+    variable as short as a stretch needs no further test. An empty variable is in every argument, a null one in none.
     """
     clean = F.lit(False)
     for s in sanitizers:
         clean = clean | F.col("argument").contains(s)
-    return sources.join(sinks, "file").where(F.col("argument").contains(F.col("variable"))).where(~clean)
+    size = F.length("argument")
+    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("argument", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    stretches = F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in range(1, PROBE + 1)]))
+    probes = sinks.where(~clean).withColumn("_probe", F.explode(stretches))
+    keyed = sources.withColumn("_probe", F.left("variable", F.lit(PROBE)))
+    return keyed.join(probes, ["file", "_probe"]).where((F.length("variable") <= PROBE) | F.col("argument").contains(F.col("variable"))).drop("_probe")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import EDGE_LABELS, NODE_LABELS
 from ..operators import analysis as A
+from ..operators.impact import caller_counts, caller_estimates
 from .queries_paths import busiest
 from .queries_scans import FINDINGS, findings
 from .roster import query
@@ -40,19 +41,10 @@ def most_connected(t: Tables):
 CALLERS = "+RECURSIVE s AS (SELECT DISTINCT dst AS root FROM cs), r AS (SELECT root, root AS id, 0 AS depth FROM s UNION SELECT root, src, depth + 1 FROM r JOIN cs ON dst = r.id WHERE depth < 3), m AS (SELECT root, id, min(depth) AS depth FROM r WHERE id <> root GROUP BY 1, 2)"
 
 
-def _callers(t: Tables):
-    from ..operators.paths import reach
-
-    hops = t.calls().select(F.col("sk").alias("src"), F.col("dk").alias("dst"))  # numbers: a row for each root and caller
-    start = hops.select(F.col("dst").alias("id")).distinct()
-    return reach(hops, start, "in", 3, by_root=True).where("id <> root"), start.withColumnRenamed("id", "root")
-
-
 def _impact(t: Tables):
-    m, start = _callers(t)
-    n = m.groupBy("root").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
-    out = start.join(n, "root", "left").fillna(0)
-    return out.join(t.functions().select(F.col("k").alias("root"), F.col("id").alias("name"), "complexity", "k"), "root").drop("root").withColumnRenamed("name", "root")
+    """Of every function that is called: other functions that reach it in one call, and in two or three."""
+    n = caller_counts(t.calls(), 3)
+    return n.join(t.functions().select("id", "complexity", "k"), "id").withColumnRenamed("id", "root")
 
 
 @query(
@@ -75,6 +67,14 @@ def impact_score(t: Tables):
     return _impact(t).select("root", score.alias("score"), A.impact_tier(score).alias("tier"))
 
 
+@query("SELECT DISTINCT dst AS root, true AS near FROM cs", "cs")
+def impact_sketch(t: Tables):
+    """Whether the sketches' counts lie within five standard errors of the exact ones, and one more for the function itself."""
+    counts = caller_counts(t.calls(), 3).select("id", (F.col("direct") + F.col("transitive")).alias("n"))
+    both = counts.join(caller_estimates(t.calls(), 3), "id")
+    return both.select(F.col("id").alias("root"), (F.abs(F.col("callers") - F.col("n")) <= 5 * 1.04 / 64 * F.col("n") + 1.5).alias("near"))
+
+
 @query("+b AS (SELECT dst AS id FROM cs GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT a.file_path, count(*) AS callers, string_agg(a.name, ',' ORDER BY a.name, a.id) AS names FROM cs JOIN b ON cs.dst = b.id JOIN fn a ON a.id = src GROUP BY 1", "cs")
 def affected_files(t: Tables):
     hit = A.callers(t.calls(), busiest(t), 1).join(t.functions(), "id")

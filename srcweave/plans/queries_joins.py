@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A, changes as C, graph as G, resolve as R
+from ..operators.sections import section_spans
 from .queries_paths import BUSY, busiest
 from .roster import query
 from .testgraph import Tables
@@ -257,3 +258,20 @@ def annotations_resolve(t: Tables):
     words = F.split("text", " ")
     r = c.select(F.col("conv_id").alias("sample_id"), words[0].alias("head"), F.try_element_at(words, F.lit(2)).alias("tail"))
     return resolve_relations(r, e).select(F.col("sample_id").alias("conv_id"), "head", "tail", F.col("head_id").alias("head_turn"), F.col("tail_id").alias("tail_turn"))
+
+
+@query(
+    """WITH q AS (SELECT page_id, regexp_extract_all(html, '<(h1|ul|li|a|p|b)[ >]', 1) AS tags FROM pages),
+    l AS (SELECT page_id, unnest(tags) AS tag, unnest(range(1, len(tags) + 1)) AS line, len(tags) AS n FROM q),
+    v AS (SELECT *, CASE tag WHEN 'h1' THEN 1 WHEN 'ul' THEN 2 WHEN 'li' THEN 3 WHEN 'a' THEN 4 WHEN 'p' THEN 5 ELSE 6 END AS level FROM l)
+    SELECT v.page_id, v.line, v.level, coalesce(CAST(min(b.line) FILTER (b.line > v.line AND b.level <= v.level) - 1 AS INTEGER), CAST(v.n AS INTEGER)) AS end_line, max(b.line) FILTER (b.line < v.line AND b.level < v.level) AS parent
+    FROM v JOIN v b ON b.page_id = v.page_id GROUP BY v.page_id, v.line, v.level, v.n"""
+)
+def page_outline(t: Tables):
+    """Elements of web pages by rank: where each ends, and under which it stands."""
+    tags = t.table("pages").select("page_id", F.regexp_extract_all("html", F.lit("<(h1|ul|li|a|p|b)[ >]"), F.lit(1)).alias("tags"))
+    rows = tags.select(F.col("page_id").alias("file_path"), F.posexplode("tags").alias("k", "tag"))
+    level = F.when(F.col("tag") == "h1", 1).when(F.col("tag") == "ul", 2).when(F.col("tag") == "li", 3).when(F.col("tag") == "a", 4).when(F.col("tag") == "p", 5).otherwise(6)
+    rows = rows.select("file_path", (F.col("k") + 1).cast("long").alias("start_line"), level.alias("level"), (F.col("k") + 1).cast("long").alias("id"))
+    out = section_spans(rows, tags.select(F.col("page_id").alias("file_path"), F.size("tags").alias("lines")), part=16)
+    return out.select(F.col("file_path").alias("page_id"), F.col("start_line").alias("line"), "level", "end_line", F.col("parent_id").alias("parent"))

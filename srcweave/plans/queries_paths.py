@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis as A, paths as P
 from ..operators.components import connected_components
+from . import scratch
 from .roster import query
 from .testgraph import Tables
 
@@ -78,6 +79,49 @@ def sanitized_paths(t: Tables):
     return P.sanitized(flows(t)).select(F.array_join("nodes", ">").alias("path"))
 
 
+SEARCH = f"""+{TOP}, s AS (SELECT dst AS id FROM cs GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 3),
+h AS (SELECT DISTINCT src, dst, CASE WHEN tainted THEN 1 ELSE 0 END + CASE WHEN sanitized THEN 2 ELSE 0 END AS m FROM cs),
+RECURSIVE p(root, id, mask, depth) USING KEY (root, id, mask) AS (SELECT id, id, 0, 0 FROM (SELECT id FROM s UNION SELECT id FROM b)
+  UNION SELECT p.root, h.dst, p.mask | h.m, min(p.depth + 1) FROM p JOIN h ON h.src = p.id LEFT JOIN recurring.p AS k ON k.root = p.root AND k.id = h.dst AND k.mask = p.mask | h.m WHERE k.id IS NULL GROUP BY 1, 2, 3)"""
+
+
+def _search(t: Tables):
+    s = t.calls().groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(3).select(F.col("dst").alias("id"))
+    return P.flag_search(t.calls(), s.unionAll(caller_of_most(t)).distinct(), ("tainted", "sanitized"))
+
+
+@query(f"{SEARCH} SELECT root, id, depth FROM p WHERE mask = 1", "cs")
+def tainted_ends(t: Tables):
+    return _search(t).where("mask = 1").select("root", "id", "depth")
+
+
+@query(f"{SEARCH} SELECT root, id, min(depth) AS depth FROM p WHERE mask >= 2 GROUP BY 1, 2", "cs")
+def sanitized_ends(t: Tables):
+    return _search(t).where("mask >= 2").groupBy("root", "id").agg(F.min("depth").alias("depth"))
+
+
+@query(
+    f"""{SEARCH}, q AS (SELECT p.root, p.id, p.mask, p.depth, min({{'a': o.id, 'b': o.mask}}) AS f FROM p JOIN h ON h.dst = p.id JOIN p o ON o.root = p.root AND o.id = h.src AND o.depth = p.depth - 1 AND (o.mask | h.m) = p.mask GROUP BY ALL),
+    RECURSIVE w AS (SELECT root, id, f.a AS pre, f.b AS pre_mask, f.a || '>' || id AS path FROM q WHERE mask = 1 UNION ALL SELECT w.root, w.id, q.f.a, q.f.b, q.f.a || '>' || path FROM w JOIN q ON q.root = w.root AND q.id = w.pre AND q.mask = w.pre_mask)
+    SELECT root, id, path FROM w WHERE pre = root AND pre_mask = 0""",
+    "cs",
+)
+def tainted_witness(t: Tables):
+    found = scratch.materialize(_search(t), "search")
+    paths = P.witnesses(found, found.where("mask = 1").select("root", "id", "mask"))
+    return paths.select("root", "id", F.array_join("nodes", ">").alias("path"))
+
+
+@query(
+    f"""+RECURSIVE {TOP}, p AS (SELECT src AS root, dst AS id, 1 AS length, [src, dst] AS nodes, [src || '>' || dst] AS used FROM cs JOIN b ON src = b.id
+    UNION ALL SELECT root, dst, length + 1, list_append(nodes, dst), list_append(used, src || '>' || dst) FROM p JOIN cs ON src = p.id AND NOT list_contains(used, src || '>' || dst) WHERE length < 3)
+    SELECT root, id, length, array_to_string(nodes, '>') AS path FROM p ORDER BY length, nodes LIMIT 1000""",
+    "cs",
+)
+def first_flow_paths(t: Tables):
+    return P.first_trails(t.calls(), caller_of_most(t), 1000).select("root", "id", "length", F.array_join("nodes", ">").alias("path"))
+
+
 @query(
     """+e AS (SELECT src AS a, dst AS b FROM cs WHERE src <> dst UNION SELECT dst, src FROM cs WHERE src <> dst),
     RECURSIVE r(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e

@@ -37,6 +37,7 @@ RULES = {
 FLOWS = "const id = req.body.id;\nel.innerHTML = id;\nconst e = process.env.HOME; exec(e)"
 
 _made: dict[tuple[str, str], object] = {}
+scratch.on_clean(_made.clear)
 
 
 def files(spark: SparkSession, some: dict[str, str] = FILES) -> DataFrame:

@@ -8,11 +8,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _own: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_named: dict[str, list[str]] = {}
+_hooks: list[Callable[[], object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +37,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def on_clean(forget: Callable[[], object]) -> None:
+    """Call ``forget`` whenever tables are deleted: for what keeps references to them."""
+    _hooks.append(forget)
+
+
 def clean(spark: SparkSession) -> int:
-    """Delete every table that this session has written here; results that still read them can't be used any more."""
+    """Delete every table that this session has written here, those named in its catalog too; results that still read
+    them can't be used any more, and what is kept for later queries is made anew."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
+    for forget in _hooks:
+        forget()
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     return len(paths)
 
 
+def named(spark: SparkSession, table: str) -> str:
+    """Remember a catalog table of this session, for ``clean``."""
+    _named.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One file through the session's file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -50,6 +50,7 @@ def sql(body: str, *parts: str) -> str:
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+scratch.on_clean(_STORED.clear)
 
 
 class Tables:
