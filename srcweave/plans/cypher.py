@@ -5,7 +5,7 @@ full-text index with YIELD. Patterns have labels, property maps, directed and un
 lengths (``*``, ``*1..3``). A length without an end has none: paths grow until no edge is left that they don't hold, and
 where the query returns distinct rows without the paths themselves, only their ends are sought. Grouping is
 by the items that don't aggregate; within a MATCH no relationship is used twice; nulls sort as the largest values.
-Parameters become literals of the plan, never text. Writing is refused: snapshots change through ``operators.upsert``.
+Parameters become literals of the plan, never text. Writing is refused here: ``cypher_writes`` makes changes of it.
 
 A row holds a struct for each variable. Patterns are equi-joins on ids, so Catalyst picks how to join; a pattern that
 shares no variable with what is bound already would be a cross join and is refused.
@@ -185,7 +185,7 @@ class _Query:
     def _named(self, at: int) -> set[str]:
         """Names up to the next clause (to find which bound variables a pattern shares)."""
         out, k = set(), at
-        while k < len(self.t) and self.t[k][1].upper() not in ("RETURN", "WITH", "MATCH", "OPTIONAL"):
+        while k < len(self.t) and self.t[k][1].upper() not in ("RETURN", "WITH", "MATCH", "OPTIONAL", *_WRITES):
             if self.t[k][0] == "name":
                 out.add(self.t[k][1])
             k += 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .cypher import cypher
+from .cypher_writes import changes
 from .roster import query
 from .testgraph import Tables
 
@@ -80,3 +81,40 @@ def cypher_predicates(t: Tables):
 @query("+b AS (SELECT src, dst FROM cs WHERE sk = 5) SELECT DISTINCT CASE WHEN sk = 5 THEN cs.dst ELSE cs.src END AS id FROM cs WHERE sk = 5 OR dk = 5", "cs")
 def cypher_undirected(t: Tables):
     return _ask(t, "MATCH (a:Function {startLine: 5})-[:CALLS]-(b) RETURN DISTINCT b.id AS id")
+
+
+@query("+g AS (SELECT DISTINCT cs.src FROM cs JOIN fn ON fn.id = cs.dst WHERE fn.start_line < 20) SELECT id, id IN (SELECT src FROM g) AS external, CASE WHEN id IN (SELECT src FROM g) THEN start_line + 1 ELSE start_line END AS line FROM nodes WHERE label = 'Function'", "nodes", "cs")
+def cypher_set(t: Tables):
+    g = t.graph()
+    new = changes(g, "MATCH (f:Function)-[:CALLS]->(g:Function) WHERE g.startLine < 20 SET f.isExternal = true, f.startLine = f.startLine + 1").apply(g)
+    return new.nodes.where("label = 'Function'").select("id", F.col("is_external").alias("external"), F.col("start_line").alias("line"))
+
+
+MERGED = """+m AS (SELECT DISTINCT 1 AS hit, 'File:' || a.file_path AS src, 'File:' || b.file_path AS dst FROM cs JOIN fn a ON a.id = cs.src JOIN fn b ON b.id = cs.dst WHERE (cs.cnt > 1 OR a.file_path = b.file_path) AND cs.src <> cs.dst),
+o AS (SELECT src, dst, 1 AS hit FROM edges WHERE label = 'IMPORTS')
+SELECT src, dst, CASE WHEN m.hit IS NULL THEN NULL WHEN o.hit IS NULL THEN 1 ELSE 7 END AS line FROM o FULL JOIN m USING (src, dst)"""
+
+
+@query(MERGED, "edges")
+def cypher_merge(t: Tables):
+    g = t.graph()
+    text = """MATCH (f:File)-[:CONTAINS]->(a:Function)-[c:CALLS]->(b:Function), (h:File)-[:CONTAINS]->(b) WHERE c.count > 1 OR f.path = h.path
+    MERGE (f)-[r:IMPORTS]->(h) ON CREATE SET r.line = 1 ON MATCH SET r.line = $seven"""
+    made = changes(g, text, {"seven": 7})
+    once = made.apply(g)
+    return made.apply(once).edges.where("label = 'IMPORTS'").select("src", "dst", "line")  # applied twice: nothing more changes
+
+
+@query("SELECT label, count(*) AS n FROM edges WHERE src NOT IN (SELECT id FROM fn WHERE start_line < 50) AND dst NOT IN (SELECT id FROM fn WHERE start_line < 50) AND NOT (label = 'READS' AND src IN (SELECT id FROM fn WHERE start_line > 100)) GROUP BY 1", "edges")
+def cypher_delete(t: Tables):
+    g = t.graph()
+    done = changes(g, "MATCH (f:File)-[:CONTAINS]->(m:Function) WHERE m.startLine < 50 DETACH DELETE m").apply(g)
+    done = changes(done, "MATCH (a:Function)-[r:READS]->(:Variable) WHERE a.startLine > 100 DELETE r").apply(done)
+    return done.edges.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'Class:' || path || ':' || name || ':0' AS id, 'Class' AS label, name, path AS file_path, true AS is_external FROM f", "f")
+def cypher_merge_nodes(t: Tables):
+    g = t.graph()
+    made = changes(g, "MATCH (f:File) MERGE (c:Class {name: f.name, filePath: f.path}) ON CREATE SET c.isExternal = true")
+    return made.nodes.select("id", "label", "name", "file_path", "is_external")
