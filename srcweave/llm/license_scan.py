@@ -1,11 +1,12 @@
 """License scans, built of DataFrame functions only: phrases, and an exact set-similarity join with templates.
 
-Method: a text block and a template are word sets; a block matches a template when it holds at least ``CONTAINMENT`` of
-the template's words. Blocks are the lines, and for notices that are wrapped all windows of as many words as the
-template has, across line ends; a window need only begin with a word of the template and hold one of its prefix. Words
-are ordered by how often the whole corpus has them, rarest first. A block that matches must hold a word of the template's prefix, its m - a + 1 rarest words, where a is the least number
-of common words (prefix filter); it must have at least a template words (length filter); and from the first common
-word on both sides must still have enough words (positional filter). What passes is verified exactly.
+Method: a text block is a window of as many consecutive words as the template has, across line ends, so it is bounded
+from both sides; blocks and templates are word sets, and a block matches a template when it holds at least
+``CONTAINMENT`` of the template's distinct words. Words are ordered by how often the whole corpus has them, rarest first.
+A text with a matching block must hold a word of the template's prefix, its m - a + 1 rarest words, where a is the least
+number of common words (prefix and positional filter: with only less rare words too few are left), and at least a of its
+words in all (length filter). For the templates that are left every window is verified exactly, in one pass over the
+places of the template's words that carries the last place of each, so time grows with the text, not with its matches.
 
 Templates and phrases are parameters, by default the sets stated in this file, so they ride along as literals and the join runs inside each document's
 row: nothing is shuffled but the counts of the templates' few words. Documents without any prefix word leave early.
@@ -71,59 +72,40 @@ def _index(counts: dict[str, int], texts: Templates) -> tuple[list[str], list[tu
     return order, [(label, sorted({rank[x] for x in t.split()}), math.ceil(CONTAINMENT * len(set(t.split()))), len(t.split())) for label, t in texts]
 
 
-def _matches(text: Column, w: Column, order: list[str], templates: list[tuple[str, list[int], int, int]]) -> Column:
-    """array<struct(label, share)> of the templates that some line or window of the text holds."""
+def _matches(w: Column, order: list[str], templates: list[tuple[str, list[int], int, int]]) -> Column:
+    """array<struct(label, share)> of the templates that some window of the text holds."""
     words = F.array(*map(F.lit, order))
     index = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, r)).alias("ranks"), F.lit(a).alias("least"), F.lit(k).alias("size")) for label, r, a, k in templates])
     prefix = sorted({order[k - 1] for _, r, a, _ in templates for k in r[: len(r) - a + 1]})
+    none = F.array().cast("array<struct<label:string,share:double>>")
 
-    def join(block: Column, t: Column) -> Column:
-        m, n = F.size(t["ranks"]), F.size(block)
+    def passes(t: Column, present: Column) -> Column:
+        """A word of the template's prefix, and as many of its words as it takes, somewhere in the text."""
+        m = F.size(t["ranks"])
+        return F.arrays_overlap(F.slice(t["ranks"], 1, m - t["least"] + 1), present) & (F.size(F.array_intersect(t["ranks"], present)) >= t["least"])
 
-        def passes(k: Column) -> Column:
-            q = F.array_position(block, F.element_at(t["ranks"], k))
-            return (q > 0) & (F.least(m - k + 1, (n - q + 1).cast("int")) >= t["least"])
+    def most(t: Column, places: Column) -> Column:
+        """The most distinct words of the template in any window: the last place of each of its words is carried along."""
+        m = F.size(t["ranks"])
+        start = F.struct(F.array_repeat(-t["size"], m).alias("last"), F.lit(0).alias("best"))
 
-        return (n >= t["least"]) & F.exists(F.sequence(F.lit(1), m - t["least"] + 1), passes)
+        def step(s: Column, x: Column) -> Column:
+            at = F.array_position(t["ranks"], x["r"])
+            last = F.transform(s["last"], lambda p, j: F.when(j + 1 == at, x["i"]).otherwise(p))
+            return let(last, lambda p: F.struct(p.alias("last"), F.greatest(s["best"], F.size(F.filter(p, lambda q: q > x["i"] - t["size"]))).alias("best")))
 
-    def ranked(v: Column) -> Column:
-        return F.array_sort(F.array_distinct(v))
+        own = F.filter(places, lambda x: F.array_contains(t["ranks"], x["r"]))
+        return F.aggregate(own, start, step, lambda s: s["best"])
 
-    def verified(block: Column, some: Column) -> Column:
-        shares = F.transform(some, lambda t: F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(F.array_intersect(t["ranks"], block)).alias("common"), F.size(t["ranks"]).alias("m")))
-        return F.transform(F.filter(shares, lambda x: x["common"] >= x["least"]), lambda x: F.struct(x["label"].alias("label"), (x["common"] / x["m"]).alias("share")))
+    def of(places: Column) -> Column:
+        def some(present: Column) -> Column:
+            told = F.transform(F.filter(index, lambda t: passes(t, present)), lambda t: F.struct(t["label"].alias("label"), most(t, places).alias("common"), t["least"].alias("least"), F.size(t["ranks"]).alias("m")))
+            return F.transform(F.filter(told, lambda x: x["common"] >= x["least"]), lambda x: F.struct(x["label"].alias("label"), (x["common"] / x["m"]).alias("share")))
 
-    def of_line(line: Column) -> Column:
-        ranks = ranked(F.transform(F.filter(alnum_words(line), lambda x: x.isin(order)), lambda x: F.array_position(words, x).cast("int")))
-        return let(ranks, lambda block: verified(block, F.filter(index, lambda t: join(block, t))))
-
-    def of_windows(places: Column) -> Column:
-        """places: (i, r), place and rank of each of the text's words that some template has."""
-
-        def of_template(t: Column) -> Column:
-            own = F.filter(places, lambda x: F.array_contains(t["ranks"], x["r"]))
-
-            def windows(own: Column) -> Column:
-                rare = F.transform(F.filter(own, lambda x: F.array_position(t["ranks"], x["r"]) <= F.size(t["ranks"]) - t["least"] + 1), lambda x: x["i"])
-
-                def near(rare: Column) -> Column:
-                    starts = F.filter(F.transform(own, lambda x, k: F.struct(x["i"].alias("i"), k.alias("k"))), lambda x: F.exists(rare, lambda i: (i >= x["i"]) & (i < x["i"] + t["size"])))
-
-                    def of(x: Column) -> Column:
-                        seen = F.filter(F.slice(own, x["k"] + 1, t["size"]), lambda y: y["i"] < x["i"] + t["size"])
-                        return let(ranked(F.transform(seen, lambda y: y["r"])), lambda block: F.when(join(block, t), verified(block, F.array(t))).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
-
-                    return F.flatten(F.transform(starts, of))
-
-                return let(rare, near)
-
-            return let(own, windows)
-
-        return F.flatten(F.transform(index, of_template))
+        return let(F.array_distinct(F.transform(places, lambda x: x["r"])), some)
 
     places = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), F.array_position(words, x).cast("int").alias("r"))), lambda x: x["r"] > 0)
-    found = F.concat(F.flatten(F.transform(F.split(text, "\n"), of_line)), let(places, of_windows))
-    return F.when(F.exists(w, lambda x: x.isin(prefix)), found).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    return F.when(F.exists(w, lambda x: x.isin(prefix)), let(places, of)).otherwise(none)
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", phrases: Mapping[str, str] = PHRASES, texts: Templates = TEMPLATES) -> DataFrame:
@@ -134,10 +116,9 @@ def license_scan(docs: DataFrame, text_col: str = "text", phrases: Mapping[str,
     order, templates = _index(word_counts(docs, text_col, texts), texts)
     found = set_aside(docs, "license")
     text_col = found.columns[[c.lower() for c in docs.columns].index(text_col.lower())]
-    text = F.coalesce(F.col(text_col), F.lit(""))
 
     def of(w: Column) -> Column:
-        places = F.struct(*[_places(w, p).alias(f"p{i}") for i, p in enumerate(phrases)], _matches(text, w, order, templates).alias("found"), F.size(w).alias("n"))
+        places = F.struct(*[_places(w, p).alias(f"p{i}") for i, p in enumerate(phrases)], _matches(w, order, templates).alias("found"), F.size(w).alias("n"))
 
         def collect(x: Column) -> Column:
             starts = F.concat(*[x[f"p{i}"] for i in range(len(phrases))])

@@ -109,8 +109,8 @@ def test_license_templates_against_all_pairs(spark):
     lines = [t for _, t in L.TEMPLATES] + [" ".join(t.split()[1:]) for _, t in L.TEMPLATES] + ["x y z", "the " * 30, "under the license of the public version 2 and this software"]
     docs = spark.createDataFrame([(i, f"first\n{x}\nlast") for i, x in enumerate(lines)], "doc_id long, text string")
     for r in L.license_scan(docs).collect():
-        have = [set(x.split()) for x in r.text.split("\n")]
-        want = {label for label, t in L.TEMPLATES if any(10 * len(set(t.split()) & b) >= 9 * len(set(t.split())) for b in have)}
+        w = r.text.split()
+        want = {label for label, t in L.TEMPLATES if any(10 * len(set(t.split()) & set(w[i : i + len(t.split())])) >= 9 * len(set(t.split())) for i in range(len(w)))}
         assert set(r.license.labels) - set(r.license.base_labels) == want - set(r.license.base_labels)
 
 
@@ -128,7 +128,7 @@ def test_license_templates_that_are_wrapped(spark):
         want = {}
         for label, t in L.TEMPLATES:
             own, k = set(t.split()), len(t.split())
-            blocks = [set(w[i : i + k]) for i in range(len(w))] + [set(ALNUM.findall(x.translate(FOLD))) for x in r.text.split("\n")]
+            blocks = [set(w[i : i + k]) for i in range(len(w))]
             share = max(len(own & b) / len(own) for b in blocks)
             if share >= L.CONTAINMENT:
                 want[label] = max(share, want.get(label, 0))
@@ -137,6 +137,36 @@ def test_license_templates_that_are_wrapped(spark):
         assert r.doc_id >= 2 * 3 * len(L.TEMPLATES) or L.TEMPLATES[r.doc_id // 3 % len(L.TEMPLATES)][0] in r.license.labels
 
 
+def test_license_words_that_are_scattered_make_no_label(spark):
+    from srcweave.llm import license_scan as L
+
+    def scattered(template, gap):
+        return " ".join(x for word in template.split() for x in [word, *["prose"] * gap])
+
+    texts = [scattered(t, gap) for _, t in L.TEMPLATES for gap in (3, 60)] + ["the mit students who have released something under a " + "new " * 500 + "license"]
+    got = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.license.labels == [] and r.license.score == 0 for r in got)
+    near = [scattered(t, 0) for _, t in L.TEMPLATES]
+    assert all(r.license.labels for r in L.license_scan(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).collect())
+
+
+def test_license_time_follows_the_text(spark):
+    """Very many matches in one text: every word has a template, and five times the text takes about five times as long."""
+    import time
+
+    from srcweave.llm import license_scan as L
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "Released under the MIT License. " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = L.license_scan(docs).first().license
+        assert r.labels == ["mit"] and r.n_words == 5 * n and r.n_base == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 10 * max(seconds(8_000), 1)
+
+
 def test_sharding(docs, rows, empty, spark):
     from srcweave.llm.sharding import SHARDS, permute, shard
 
