@@ -69,7 +69,7 @@ def store(rows: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> DataFra
     """Rows with a column block, written bucketed by it: the number of buckets depends on the corpus's bytes alone."""
     spark = rows.sparkSession
     n = max(math.ceil(size / (2 * block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"blocks_{uuid.uuid4().hex[:12]}"
+    name = scratch.named(spark, f"blocks_{uuid.uuid4().hex[:12]}")
     rows.write.format("parquet").option("compression", "zstd").option("path", scratch.new_path(spark, name)).bucketBy(n, "block").saveAsTable(name)
     return spark.table(name)
 

@@ -8,8 +8,10 @@ members of a class are neighbours in the order of names all the same, which is a
 global sort is made. A class of several members at 2^j lines is an interval of the array whose longest common prefix
 is that long or longer. Its first member, by document id, text checksum and place, is the original and the others are
 later copies; each suffix keeps the original of the deepest interval in which it is a later copy. Neighbouring suffixes
-whose originals are neighbours too are one repeated run, as long as its last interval reaches: the maximal runs with one
-original each (``copies``). What the copies cover together is deleted (``runs``).
+whose originals are neighbours too are told as one copied run, as long as its last interval reaches (``copies``). Depths are
+powers of two and no longest common prefix is computed in between, so where an earlier document has a part of a run of
+another length, that run is told as two overlapping copies with an original each. What copies cover together is all that
+is deleted (``runs``), and that doesn't depend on how they are told.
 
 Names are exchanged by ``blocks``: each block sends a name once with its own first place, however often it has it, so
 a line that a third of all documents share makes no task large, and texts are not shuffled. From the second round on
@@ -165,7 +167,7 @@ def _only(s: _State, keep: np.ndarray) -> _State:
 
 
 def _copies(s: _State, least: int, long: np.ndarray) -> list[tuple[int, int, int, int | None, int]]:
-    """Maximal runs (document, first line, lines, the original's id and line), by document and line."""
+    """Copied runs (document, first line, lines, the original's id and line), by document and line."""
     at = np.flatnonzero((s.size >= least) | ((s.size > 0) & long))
     doc, place, end = s.doc[at], s.place[at], s.place[at] + s.size[at]
     go_on = np.zeros(len(at), bool)
@@ -267,7 +269,7 @@ def _round(rows: DataFrame, state, size: int, last: int, slices: int, bytes_: in
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, keep: tuple[str, ...] = (), min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document (doc_id, text, n_lines, n_removed, runs: the stretches deleted, copies: the repeated runs with their originals, and the columns of keep)."""
+    """Per document (doc_id, text, n_lines, n_removed, runs: the stretches deleted, copies: copied runs with their originals, and the columns of keep)."""
     table, bytes_ = B.pack(docs, id_col, text_col, keep)
     slices = max(1, math.ceil(bytes_ / 50 / B.SLICE_VALUES))
     states = _round(table, lambda one: _lines(B.row(one)), 1, 0, slices, bytes_)

@@ -6,16 +6,18 @@ and a logistic loss l, the linear model g minimises the non-negative unbiased ri
     pi * E_p[l(g, +1)] + max(0, E_u[l(g, -1)] - pi * E_p[l(g, -1)])
 
 and while the second part is negative its gradient is followed upwards. The prior is estimated first: a classifier of
-positives against unlabelled rows of one half ranks held-back positives and all rows of the other half, and pi is the ratio of
+positives against a sample of at most ``GROUP`` unlabelled rows of one half ranks held-back positives and all rows of the
+other half, and pi is the ratio of
 the shares of unlabelled and of positive rows above the threshold for which that ratio's upper confidence bound is least.
 
 Features of a whole text: shares of character classes, word statistics, repeated words and lines, and hashed word
 endings. Labels, language, source and id are no features. They are made once and written. At most ``POSITIVES`` labelled
-rows are learnt from, those with the smallest hashes of their ids; all else is taken over every row. The scale of the
-features and the unlabelled side of the prior are sums over all rows. For the risk all rows are dealt by hash into
-groups of about ``GROUP`` rows; each group's risk, of its rows and the positives, is minimised in a task of its own, and
-the model is the mean of their weights by numbers of rows: up to ``GROUP`` rows it is the minimum over all of them, and
-beyond that every row has the same part in it. One sum for each weight comes to the driver. Every row is scored, with a
+rows are learnt from, those with the smallest hashes of their ids. The scale of the features and the unlabelled side of
+the prior are sums over all rows; what ranks for the prior is learnt from the samples named above. For the risk all rows
+are dealt by hash into groups of about ``GROUP`` rows; each group's risk, of its rows and the positives, is minimised in a
+task of its own (by a fixed number of steps), and the model is the mean of their weights by numbers of rows. Up to
+``GROUP`` rows there is one group; beyond that every row has the same part in the model, but a mean of minima isn't the
+minimum over all rows. One sum for each weight comes to the driver. Every row is scored, with a
 model of some KB that rides along; scoring needs no shuffle.
 
 Cases: a null or empty text has zero features and a score like any; repeated rows are scored each; without positives
