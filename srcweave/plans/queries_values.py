@@ -107,7 +107,10 @@ def annotation_validate(t: Tables):
     return nlp.valid_entities(x).select("conv_id", "turn", F.col("text").alias("entity"), "type", F.col("start").cast("long").alias("start"))
 
 
-@query("WITH x AS (SELECT user_id, event_type, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM x) SELECT user_id, count(*) AS merged, arg_max(event_type, event_id) AS type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY ts DESC, event_id DESC) AS r FROM s) GROUP BY user_id, s HAVING false UNION ALL SELECT user_id, n, event_type FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id, s) AS n, row_number() OVER (PARTITION BY user_id, s ORDER BY ts DESC, event_id DESC) AS r FROM s) WHERE r = 1")
+DEBOUNCED = "WITH x AS (SELECT user_id, event_type, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM x) SELECT user_id, count(*) AS merged, arg_max(event_type, event_id) AS type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY ts DESC, event_id DESC) AS r FROM s) GROUP BY user_id, s HAVING false UNION ALL SELECT user_id, n, event_type FROM (SELECT user_id, event_type, count(*) OVER (PARTITION BY user_id, s) AS n, row_number() OVER (PARTITION BY user_id, s ORDER BY ts DESC, event_id DESC) AS r FROM s) WHERE r = 1"
+
+
+@query(DEBOUNCED)
 def debounce_last_wins(t: Tables):
     e = t.table("events").select(F.col("user_id").alias("path"), F.col("event_type").alias("type"), "ts", F.col("event_id").alias("seq"))
     out = debounce_batch(e, 6 * 3600)

@@ -27,6 +27,6 @@ def query(body: str | None = None, *parts: str):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import queries_aggregates, queries_cypher, queries_extract, queries_indexes, queries_joins, queries_paths, queries_scans, queries_service, queries_values, queries_writes  # noqa: F401
+    from . import queries_aggregates, queries_cypher, queries_extract, queries_indexes, queries_joins, queries_paths, queries_scans, queries_service, queries_streams, queries_values, queries_writes  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)
