@@ -281,7 +281,8 @@ def _left_over(now: DataFrame, tested: DataFrame, stands: DataFrame) -> DataFram
     A crowded region is cut into parts of about PART documents, each of which meets all of the region in a task of its own.
     A pair comes up in the region of its first common token only: while its components differ, all its regions are open.
     """
-    rows = now.select("token", "key", "n", "at", "c", F.ceil(F.col("m") / PART).cast("int").alias("parts")).join(stands.select("key", "counts", "tokens"), "key")
+    open_ = now.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"))  # of a document's window, in order
+    rows = now.select("token", "key", "n", "at", "c", F.ceil(F.col("m") / PART).cast("int").alias("parts")).join(stands.select("key", "counts"), "key").join(open_, "key")
     own, every = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     x, y = (rows.select(F.col("token").alias(f"token_{s}"), part.alias(f"part_{s}"), F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "c", "counts", "tokens")]) for s, part in (("a", own), ("b", every)))
     pairs = x.join(y, F.expr(f"token_a = token_b and part_a = part_b and a < b and c_a <> c_b and {POSSIBLE} and {CLASSED} and array_intersect(tokens_a, tokens_b)[0] = token_a")).select("a", "b").distinct()
