@@ -56,3 +56,8 @@ def match_renames(changes: DataFrame) -> DataFrame:
 def summary(changes: DataFrame) -> DataFrame:
     kinds = ("added", "modified", "deleted", "renamed", "unchanged")
     return changes.agg(F.count("*").alias("total"), *[F.count_if(F.col("type") == k).alias(k) for k in kinds], F.count_if(F.col("type").isin("added", "modified", "renamed")).alias("to_process"))
+
+
+def recent(commits: DataFrame, limit: int, date: str = "date", key: str = "id") -> DataFrame:
+    """The last commits by date, the least id first among equal dates."""
+    return commits.orderBy(F.desc(date), key).limit(limit)

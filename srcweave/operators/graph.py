@@ -197,6 +197,16 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def without_edges(nodes: DataFrame, edges: DataFrame, end: str = "dst") -> DataFrame:
+    """Nodes at which none of the edges has that end (NOT EXISTS)."""
+    return nodes.join(edges.select(F.col(end).alias("id")).distinct(), "id", "left_anti")
+
+
+def accessors(edges: DataFrame, labels: Sequence[str] = ("READS", "WRITES")) -> DataFrame:
+    """(id, label, n): how many edges of these labels lead to each node."""
+    return edges.where(F.col("label").isin(*labels)).groupBy(F.col("dst").alias("id"), "label").agg(F.count("*").alias("n"))
+
+
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     from pyspark.sql import Window

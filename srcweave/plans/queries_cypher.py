@@ -118,3 +118,8 @@ def cypher_merge_nodes(t: Tables):
     g = t.graph()
     made = changes(g, "MATCH (f:File) MERGE (c:Class {name: f.name, filePath: f.path}) ON CREATE SET c.isExternal = true")
     return made.nodes.select("id", "label", "name", "file_path", "is_external")
+
+
+@query("SELECT id, len(list_filter(string_split(name, ' '), lambda w: contains(w, 'e'))) AS n FROM fn", "fn")
+def cypher_comprehension(t: Tables):
+    return _ask(t, "MATCH (f:Function) RETURN f.id AS id, size([w IN split(f.name, ' ') WHERE w CONTAINS 'e' | toUpper(w)]) AS n").select("id", F.col("n").cast("long").alias("n"))

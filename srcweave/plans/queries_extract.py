@@ -11,7 +11,7 @@ from ..operators.sections import section_spans
 from ..service import Service
 from ..sources import files as S
 from . import sample_project as P, scratch
-from .roster import query
+from .roster import example, query
 from .testgraph import Tables
 
 
@@ -39,25 +39,25 @@ def _sizes(*endings: str) -> str:
     return _values("path, size", *[("/" + k, len(v)) for k, v in P.FILES.items() if k.endswith(endings)])
 
 
-@query(_sizes(".ts", ".tsx", ".py", ".cs"))
+@example(_sizes(".ts", ".tsx", ".py", ".cs"))
 def source_tree_scan(t: Tables):
     root = P.tree(t.spark)
     return _paths(S.scan(t.spark, root), root)
 
 
-@query(_sizes(".ts", ".tsx"))
+@example(_sizes(".ts", ".tsx"))
 def analytics_scan(t: Tables):
     root = P.tree(t.spark)
     return _paths(S.analytics_scan(t.spark, root), root)
 
 
-@query(_values("path, size", ("/lib/index.ts", len(P.FILES["lib/index.ts"]))))
+@example(_values("path, size", ("/lib/index.ts", len(P.FILES["lib/index.ts"]))))
 def vulnerability_scan_of_a_file(t: Tables):
     root = P.tree(t.spark)
     return _paths(S.vulnerability_scan(t.spark, f"{root}/lib/index.ts"), root)
 
 
-@query(_values("path, kind, name", ("lib/index.ts", "Class", "Base"), ("lib/index.ts", "File", "index.ts"), ("lib/index.ts", "Function", "load"), ("lib/index.ts", "Interface", "Saver"), ("py/util.py", "File", "util.py"), ("py/util.py", "Function", "helper")))
+@example(_values("path, kind, name", ("lib/index.ts", "Class", "Base"), ("lib/index.ts", "File", "index.ts"), ("lib/index.ts", "Function", "load"), ("lib/index.ts", "Interface", "Saver"), ("py/util.py", "File", "util.py"), ("py/util.py", "Function", "helper")))
 def extract_command(t: Tables):
     """Relative paths and md5 of a folder's files that match, with what they define."""
     out = S.extract_rows(P.files(t.spark), P.ROOT, include=("lib/*", "py/util*"), exclude=("*.tsx",))
@@ -79,7 +79,7 @@ def jsonl_messages(t: Tables):
     return S.read_messages(t.spark, path).select("id", "text", "source")
 
 
-@query(_values("text, body, k", ("one", " one ", 1), ("two", "two", 2)))
+@example(_values("text, body, k", ("one", " one ", 1), ("two", "two", 2)))
 def json_array_import(t: Tables):
     path = scratch.new_path(t.spark, "array") + ".json"
     scratch.write_text(t.spark, path, '[{"body": " one ", "k": 1}, {"body": ""},\n {"body": "two", "k": 2}]')
@@ -87,7 +87,7 @@ def json_array_import(t: Tables):
     return nlp.from_json_array(t.spark, path, "body").select("text", x["body"].alias("body"), x["k"].alias("k"))
 
 
-@query(_values("text, source, same", ("alice met bob", "list", True), ("boom", "list", True)))
+@example(_values("text, source, same", ("alice met bob", "list", True), ("boom", "list", True)))
 def string_list_import(t: Tables):
     got = nlp.from_strings(t.spark, [" alice met bob ", "", "boom"], source="list", created_at="now")
     return got.select("text", "source", (F.col("id") == F.substring(F.sha2("text", 256), 1, 32)).alias("same"))
@@ -100,7 +100,7 @@ def csv_result(t: Tables):
     return t.spark.read.text(path).where("value not like '%conv_id%'").select(F.col("value").alias("line"))
 
 
-@query(_values("line", ("name | n",), ("---- | --",), ("ab   | 1",), ("c    | 22",)))
+@example(_values("line", ("name | n",), ("---- | --",), ("ab   | 1",), ("c    | 22",)))
 def table_result(t: Tables):
     rows = t.spark.createDataFrame([("ab", 1), ("c", 22)], "name string, n int")
     return t.spark.createDataFrame([(x,) for x in S.as_table(rows.orderBy("n")).split("\n")], "line string")
@@ -111,41 +111,41 @@ def _rows(t: Tables, kind: str, like: str = "%.ts%") -> DataFrame:
     return P.snapshot(t.spark).table(kind).where(F.col("file_path").like(like))
 
 
-@query(_values("file, source, def, ns, names", ("store.ts", "./people", None, None, "Person>,makePerson>make"), ("store.ts", "fs", None, "fs", ""), ("store.ts", "../lib", "Base", None, ""), ("View.tsx", "react", "React", None, ""), ("View.tsx", "./Row", None, None, "Row>")))
+@example(_values("file, source, def, ns, names", ("store.ts", "./people", None, None, "Person>,makePerson>make"), ("store.ts", "fs", None, "fs", ""), ("store.ts", "../lib", "Base", None, ""), ("View.tsx", "react", "React", None, ""), ("View.tsx", "./Row", None, None, "Row>")))
 def ts_imports(t: Tables):
     names = F.array_join(F.transform("specifiers", lambda x: F.concat(x["name"], F.lit(">"), F.coalesce(x["alias"], F.lit("")))), ",")
     return _rows(t, "Import").select(_base(), "source", F.col("default_alias").alias("def"), F.col("namespace_alias").alias("ns"), names.alias("names"))
 
 
-@query(_values("file, name, first, last, exported, asynchronous, params, returns", ("people.ts", "makePerson", 6, 8, True, False, "name,age", "Person"), ("people.ts", "nextId", 10, 12, False, False, "", "string"), ("store.ts", "add", 8, 16, True, False, "name", "Person"), ("store.ts", "check", 18, 20, True, False, "p", "boolean"), ("store.ts", "missing", 22, 24, True, True, "xs", None), ("index.ts", "load", 3, 3, True, True, "id", None), ("View.tsx", "helper", 8, 8, True, False, "", None), ("Row.tsx", "Row", 1, 3, True, False, "props", None)))
+@example(_values("file, name, first, last, exported, asynchronous, params, returns", ("people.ts", "makePerson", 6, 8, True, False, "name,age", "Person"), ("people.ts", "nextId", 10, 12, False, False, "", "string"), ("store.ts", "add", 8, 16, True, False, "name", "Person"), ("store.ts", "check", 18, 20, True, False, "p", "boolean"), ("store.ts", "missing", 22, 24, True, True, "xs", None), ("index.ts", "load", 3, 3, True, True, "id", None), ("View.tsx", "helper", 8, 8, True, False, "", None), ("Row.tsx", "Row", 1, 3, True, False, "props", None)))
 def ts_functions(t: Tables):
     f = _rows(t, "Function").where("name <> 'View'")
     return f.select(_base(), "name", F.col("start_line").alias("first"), F.col("end_line").alias("last"), F.col("is_exported").alias("exported"), F.col("is_async").alias("asynchronous"), F.array_join(F.transform("params", lambda x: x["name"]), ",").alias("params"), F.col("return_type").alias("returns"))
 
 
-@query(_values("name, complexity, cognitive, nesting", ("makePerson", 1, 0, 0), ("nextId", 1, 0, 0), ("add", 5, 6, 2), ("check", 1, 0, 1), ("missing", 1, 0, 0), ("load", 1, 0, 0), ("helper", 1, 0, 0), ("Row", 1, 0, 0)))
+@example(_values("name, complexity, cognitive, nesting", ("makePerson", 1, 0, 0), ("nextId", 1, 0, 0), ("add", 5, 6, 2), ("check", 1, 0, 1), ("missing", 1, 0, 0), ("load", 1, 0, 0), ("helper", 1, 0, 0), ("Row", 1, 0, 0)))
 def ts_complexity(t: Tables):
     f = _rows(t, "Function").where("name <> 'View'")
     return f.select("name", "complexity", F.col("cognitive_complexity").alias("cognitive"), F.col("nesting_depth").alias("nesting"))
 
 
-@query(_values("name, first, last, abstract, parent, interfaces", ("Store", 5, 25, True, "Base", "Saver,Person"), ("Base", 1, 1, False, None, "")))
+@example(_values("name, first, last, abstract, parent, interfaces", ("Store", 5, 25, True, "Base", "Saver,Person"), ("Base", 1, 1, False, None, "")))
 def ts_classes(t: Tables):
     return _rows(t, "Class").select("name", F.col("start_line").alias("first"), F.col("end_line").alias("last"), F.col("is_abstract").alias("abstract"), F.col("extends").alias("parent"), F.array_join(F.coalesce("implements", F.array().cast("array<string>")), ",").alias("interfaces"))
 
 
-@query(_values("file, name, line, exported", ("store.ts", "p", 9, False), ("store.ts", "store", 27, True)))
+@example(_values("file, name, line, exported", ("store.ts", "p", 9, False), ("store.ts", "store", 27, True)))
 def ts_variables(t: Tables):
     return _rows(t, "Variable", "%store.ts").select(_base(), "name", "line", F.col("is_exported").alias("exported"))
 
 
-@query(_values("label, name, first", ("Interface", "Person", 2), ("Interface", "Saver", 2), ("Type", "Mode", 28), ("Type", "Kind", 29)))
+@example(_values("label, name, first", ("Interface", "Person", 2), ("Interface", "Saver", 2), ("Type", "Mode", 28), ("Type", "Kind", 29)))
 def ts_types(t: Tables):
     pick = lambda k: _rows(t, k).select(F.lit(k).alias("label"), "name", F.col("start_line").alias("first"))
     return pick("Interface").unionAll(pick("Type"))
 
 
-@query(_values("name, props_type, props", ("View", "ViewProps", "title!,size?"), ("Row", "RowProps", "")))
+@example(_values("name, props_type, props", ("View", "ViewProps", "title!,size?"), ("Row", "RowProps", "")))
 def ts_components(t: Tables):
     props = F.array_join(F.transform(F.coalesce("props", F.array().cast(dict(_rows(t, "Component").dtypes)["props"])), lambda x: F.concat(x["name"], F.when(x["required"], "!").otherwise("?"))), ",")
     return _rows(t, "Component").select("name", "props_type", props.alias("props"))
@@ -164,22 +164,22 @@ IMPORTS = [
 ]
 
 
-@query(_values("label, src, dst", *CALLS))
+@example(_values("label, src, dst", *CALLS))
 def index_calls(t: Tables):
     return _edges(t, "CALLS")
 
 
-@query(_values("label, src, dst", *IMPORTS))
+@example(_values("label, src, dst", *IMPORTS))
 def index_imports(t: Tables):
     return _edges(t, "IMPORTS")
 
 
-@query(_values("label, src, dst", ("RENDERS", "Component:View.tsx:View", "Component:Row.tsx:Row")))
+@example(_values("label, src, dst", ("RENDERS", "Component:View.tsx:View", "Component:Row.tsx:Row")))
 def index_renders(t: Tables):
     return _edges(t, "RENDERS")
 
 
-@query(
+@example(
     _values(
         "label, src, dst", ("EXTENDS", "Class:store.ts:Store", "Class:index.ts:Base"), ("EXTENDS", "Class:app.py:Job", "Class:external:Base"), ("EXTENDS", "Class:User.cs:User", "Class:external:Entity"),
         ("IMPLEMENTS", "Class:store.ts:Store", "Interface:external:Saver"), ("IMPLEMENTS", "Class:store.ts:Store", "Interface:people.ts:Person"), ("IMPLEMENTS", "Class:User.cs:User", "Interface:external:IUser"),
@@ -189,24 +189,24 @@ def index_inheritance(t: Tables):
     return _edges(t, "EXTENDS", "IMPLEMENTS")
 
 
-@query(_values("path, failed", ("/demo/py/bad.py", True)))
+@example(_values("path, failed", ("/demo/py/bad.py", True)))
 def parse_errors(t: Tables):
     return P.snapshot(t.spark).errors().select("path", F.col("error").isNotNull().alias("failed"))
 
 
-@query(_values("kind, name, n", ("Class", "Job", 6), ("Function", "helper", 1), ("Function", "run", 7), ("Import", ".util", 2), ("Variable", "LIMIT", 3)))
+@example(_values("kind, name, n", ("Class", "Job", 6), ("Function", "helper", 1), ("Function", "run", 7), ("Import", ".util", 2), ("Variable", "LIMIT", 3)))
 def py_entities(t: Tables):
     pick = lambda k, name, n: _rows(t, k, "%.py").select(F.lit(k).alias("kind"), F.col(name).alias("name"), F.col(n).alias("n"))
     return pick("Class", "name", "start_line").unionAll(pick("Function", "name", "start_line")).unionAll(pick("Import", "source", "line")).unionAll(pick("Variable", "name", "line"))
 
 
-@query(_values("source, resolved", (".util", "/demo/py/util.py")))
+@example(_values("source, resolved", (".util", "/demo/py/util.py")))
 def py_imports(t: Tables):
     i = _rows(t, "Import", "%.py").drop("resolved_path").withColumn("module", F.col("source"))
     return R.resolve_python_imports(i, P.snapshot(t.spark).files, P.ROOT).select("source", F.col("resolved_path").alias("resolved"))
 
 
-@query(_values("kind, name, n", ("Class", "User", 3), ("Function", "Find", 7), ("Function", "Name", 6), ("Function", "User", 5), ("Import", "System", 1), ("Variable", "x", 4)))
+@example(_values("kind, name, n", ("Class", "User", 3), ("Function", "Find", 7), ("Function", "Name", 6), ("Function", "User", 5), ("Import", "System", 1), ("Variable", "x", 4)))
 def cs_entities(t: Tables):
     pick = lambda k, name, n: _rows(t, k, "%.cs").select(F.lit(k).alias("kind"), F.col(name).alias("name"), F.col(n).alias("n"))
     return pick("Class", "name", "start_line").unionAll(pick("Function", "name", "start_line")).unionAll(pick("Import", "source", "line")).unionAll(pick("Variable", "name", "line"))
@@ -216,7 +216,7 @@ def _guide(t: Tables) -> DataFrame:
     return extract(P.files(t.spark, {"docs/guide.md": P.GUIDE}))
 
 
-@query(_values("title, heading, first, last, parent", ("Guide", "One", 4, 11, None), ("Guide", "Two", 6, 10, "One"), ("Guide", "Three", 10, 10, "Two"), ("Guide", "Four", 11, 11, "One"), ("Guide", "Five", 12, 13, None)))
+@example(_values("title, heading, first, last, parent", ("Guide", "One", 4, 11, None), ("Guide", "Two", 6, 10, "One"), ("Guide", "Three", 10, 10, "Two"), ("Guide", "Four", 11, 11, "One"), ("Guide", "Five", 12, 13, None)))
 def md_sections(t: Tables):
     x = _guide(t)
     docs = rows_of(x, "MarkdownDocument")
@@ -225,7 +225,7 @@ def md_sections(t: Tables):
     return s.join(names, "parent_id", "left").join(docs.select("file_path", "title"), "file_path").select("title", "heading", F.col("start_line").alias("first"), F.col("end_line").alias("last"), "parent")
 
 
-@query(_values("language, content, target", ("ts", "code", "./b.md#top")))
+@example(_values("language, content, target", ("ts", "code", "./b.md#top")))
 def md_blocks_and_links(t: Tables):
     x = _guide(t)
     return rows_of(x, "CodeBlock").join(rows_of(x, "Link"), "file_path").select("language", "content", "target")
@@ -240,33 +240,33 @@ def _rule(rule: str, cases: list[tuple[str, int]]) -> None:
         return every.join(hits, "file", "left").groupBy("code").agg(F.count("type").cast("int").alias("n"))
 
     run.__name__ = f"rule_{rule}"
-    query(_values("code, n", *[(k, n) for k, (_, n) in enumerate(cases)]))(run)
+    example(_values("code, n", *[(k, n) for k, (_, n) in enumerate(cases)]))(run)
 
 
 for _name, _cases in P.RULES.items():
     _rule(_name, _cases)
 
 
-@query(_values("kind, category, what", ("source", "user_input", "id"), ("source", "user_input", "e"), ("sink", "xss", "id"), ("sink", "command_injection", "(e)")))
+@example(_values("kind, category, what", ("source", "user_input", "id"), ("source", "user_input", "e"), ("sink", "xss", "id"), ("sink", "command_injection", "(e)")))
 def taint_points(t: Tables):
     x, own = P.ruled(t.spark), F.col("file").endswith("flows/0.ts")
     src = rows_of(x, "Source").where(own).select(F.lit("source").alias("kind"), "category", F.col("variable").alias("what"))
     return src.unionAll(rows_of(x, "Sink").where(own).select(F.lit("sink").alias("kind"), "category", F.col("argument").alias("what")))
 
 
-@query(_values("type, severity, steps, sanitizers", ("sql_injection", "critical", "source:3 sink:3", "")))
+@example(_values("type, severity, steps, sanitizers", ("sql_injection", "critical", "source:3 sink:3", "")))
 def flow_path_build(t: Tables):
     p = Service(t.spark, P.snapshot(t.spark)).flow_paths()
     steps = F.array_join(F.transform("steps", lambda x: F.concat(x["kind"], F.lit(":"), x["line"].cast("string"))), " ")
     return p.select("type", "severity", steps.alias("steps"), F.array_join("sanitizers", ",").alias("sanitizers"))
 
 
-@query(_values("unvalidated_payment_amount, pci_data_logging, hardcoded_payment_key, missing_idempotency_key", (1, 1, 1, 1)))
+@example(_values("unvalidated_payment_amount, pci_data_logging, hardcoded_payment_key, missing_idempotency_key", (1, 1, 1, 1)))
 def payment_findings(t: Tables):
     return A.payment_summary(rows_of(P.ruled(t.spark), "Finding")).select(*[F.col(c).cast("int").alias(c) for c in A.PAYMENT_RULES])
 
 
-@query(_values("argument, names", ("escape(a) + sanitize(b)", "escape,sanitize"), ("a", "")))
+@example(_values("argument, names", ("escape(a) + sanitize(b)", "escape,sanitize"), ("a", "")))
 def sanitizers_by_name(t: Tables):
     from ..functions.rules import sanitizers_in
 
@@ -282,7 +282,7 @@ def _after(*, without: str = "util.py") -> list[tuple]:
     return [*kept, ("CALLS", "Function:people.ts:makePerson", "Function:people.ts:other"), ("CALLS", "Function:new.ts:fresh", "Function:people.ts:makePerson"), ("IMPORTS", "File:new.ts", "File:people.ts")]
 
 
-@query(_values("label, src, dst", *_after()))
+@example(_values("label, src, dst", *_after()))
 def foreach_upsert(t: Tables):
     """Edges after events: a file changed, one came, one was removed; files that didn't change keep what they refer to."""
     from ..streaming.apply import SnapshotStore, apply_events
@@ -295,7 +295,7 @@ def foreach_upsert(t: Tables):
     return e.select("label", _short("src").alias("src"), _short("dst").alias("dst"))
 
 
-@query(_values("missing, added", (0, 0)))
+@example(_values("missing, added", (0, 0)))
 def reindex_equals_index(t: Tables):
     """Edges and nodes that the two ways to the same files don't share."""
     old = P.snapshot(t.spark)
@@ -312,13 +312,13 @@ def _whole(t: Tables) -> tuple[DataFrame, DataFrame]:
     return scratch.materialize(S.file_rows(every), "files"), extract(every)
 
 
-@query(_values("kind, n", ("Function", 14), ("Class", 4), ("Component", 2), ("Error", 1)))
+@example(_values("kind, n", ("Function", 14), ("Class", 4), ("Component", 2), ("Error", 1)))
 def project_extract_counts(t: Tables):
     x = P.snapshot(t.spark).extracted
     return x.where("kind in ('Function', 'Class', 'Component', 'Error')").groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
-@query(_values("name, file, exported", ("makePerson", "people.ts", True), ("nextId", "people.ts", False), ("helper", "View.tsx", True)))
+@example(_values("name, file, exported", ("makePerson", "people.ts", True), ("nextId", "people.ts", False), ("helper", "View.tsx", True)))
 def symbol_lookups(t: Tables):
     """All of a file, and of a name those that are exported from one file."""
     f = P.snapshot(t.spark).table("Function")

@@ -102,8 +102,7 @@ def optional_internal_calls(t: Tables):
 
 @query("SELECT id FROM fn WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.dst = fn.id AND cs.line = 1)", "cs")
 def untested_callers_anti(t: Tables):
-    tested = t.calls().where("line = 1").select(F.col("dst").alias("id"))
-    return t.functions().select("id").join(tested, "id", "left_anti")
+    return G.without_edges(t.functions().select("id"), t.calls().where("line = 1"))
 
 
 @query("SELECT cs.src AS id, v.dst AS variable FROM cs JOIN edges v ON v.src = cs.dst WHERE v.label = 'READS' GROUP BY 1, 2", "edges")
@@ -115,8 +114,7 @@ def readers_of_callees(t: Tables):
 
 @query("SELECT dst AS variable, label, count(*) AS functions FROM edges WHERE label IN ('READS', 'WRITES') GROUP BY 1, 2", "edges")
 def variable_access(t: Tables):
-    e = t.accesses("READS").unionAll(t.accesses("WRITES"))
-    return e.groupBy(F.col("dst").alias("variable"), "label").agg(F.count("*").alias("functions"))
+    return G.accessors(t.edges()).select(F.col("id").alias("variable"), "label", F.col("n").alias("functions"))
 
 
 # resolution: references are calls by name; files import the files that they call

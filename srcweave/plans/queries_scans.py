@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import node_id
 from ..operators import analysis as A, graph as G
+from ..operators.changes import recent
 from .roster import query
 from .testgraph import Tables
 
@@ -131,8 +132,8 @@ def hotspot_summary(t: Tables):
 
 @query("SELECT o_orderkey AS id, CAST(o_orderdate AS VARCHAR) AS date FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")
 def commits_recent(t: Tables):
-    o = t.table("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(25)
-    return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"))
+    commits = t.table("orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"))
+    return recent(commits, 25)
 
 
 @query("SELECT id, split_part(id, ':', 1) AS label, split_part(id, ':', 3) AS name, CAST(split_part(id, ':', 4) AS BIGINT) AS line FROM fn", "fn")

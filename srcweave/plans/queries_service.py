@@ -12,7 +12,7 @@ from ..service import Projects, Service, interval_of
 from ..streaming import cache
 from . import sample_project as P, scratch
 from .queries_extract import _short, _values
-from .roster import query
+from .roster import example, query
 from .testgraph import Tables
 
 
@@ -23,49 +23,49 @@ def _service(t: Tables) -> Service:
     return s
 
 
-@query(_values("name, label", ("Store", "Class"), ("store", "Variable"), ("store.ts", "File")))
+@example(_values("name, label", ("Store", "Class"), ("store", "Variable"), ("store.ts", "File")))
 def rest_search(t: Tables):
     return _service(t).search("STORE").where("label <> 'Function' and name like '%tore%'").select("name", "label")
 
 
-@query(_values("name", ("add",)))
+@example(_values("name", ("add",)))
 def tool_search_code(t: Tables):
     """By name with case, and as a pattern: what both find."""
     s = _service(t)
     return s.search_code("add").join(s.search_code("^add$", "pattern").select("id"), "id", "left_semi").select("name")
 
 
-@query(_values("name, file", ("helper", "View.tsx"), ("helper", "util.py")))
+@example(_values("name, file", ("helper", "View.tsx"), ("helper", "util.py")))
 def tool_find_symbol(t: Tables):
     return _service(t).find_symbol("helper", "Function").select("name", F.element_at(F.split("file_path", "/"), -1).alias("file"))
 
 
-@query(_values("direction, type, other", ("out", "CONTAINS", "Component:View.tsx:View"), ("out", "CONTAINS", "Function:View.tsx:View"), ("out", "CONTAINS", "Function:View.tsx:helper"), ("out", "CONTAINS", "Variable:View.tsx:View"), ("out", "IMPORTS", "File:Row.tsx")))
+@example(_values("direction, type, other", ("out", "CONTAINS", "Component:View.tsx:View"), ("out", "CONTAINS", "Function:View.tsx:View"), ("out", "CONTAINS", "Function:View.tsx:helper"), ("out", "CONTAINS", "Variable:View.tsx:View"), ("out", "IMPORTS", "File:Row.tsx")))
 def tool_get_context(t: Tables):
     around = _service(t).get_context(f"File:{P.ROOT}/src/View.tsx")[1].where("type <> 'HAS_FILE'")
     return around.select("direction", "type", _short("other").alias("other"))
 
 
-@query(_values("part, id", ("dependencies", "File:index.ts"), ("dependencies", "File:people.ts"), ("average", "2.3333")))
+@example(_values("part, id", ("dependencies", "File:index.ts"), ("dependencies", "File:people.ts"), ("average", "2.3333")))
 def tool_explain_code(t: Tables):
     x = _service(t).explain_code(f"{P.ROOT}/src/store.ts")
     pick = lambda k: x[k].select(F.lit(k).alias("part"), _short("id").alias("id"))
     return pick("dependencies").unionAll(pick("dependents")).unionAll(x["complexity"].select(F.lit("average"), F.format_string("%.4f", "average")))
 
 
-@query(_values("direct, transitive, files, tests, score, tier", (1, 1, 2, 0, "12.5", "medium")))
+@example(_values("direct, transitive, files, tests, score, tier", (1, 1, 2, 0, "12.5", "medium")))
 def tool_analyze_impact(t: Tables):
     i = _service(t).impact("nextId")
     whole = [F.col(c).cast("int").alias(c) for c in ("direct", "transitive", "files", "tests")]
     return i.select(*whole, F.format_string("%.1f", F.col("score").cast("double")).alias("score"), "tier")
 
 
-@query(_values("type, severity, file", ("sql_injection", "critical", "index.ts")))
+@example(_values("type, severity, file", ("sql_injection", "critical", "index.ts")))
 def tool_find_vulnerabilities(t: Tables):
     return _service(t).security(least="high", category="sql").select("type", "severity", F.element_at(F.split("file", "/"), -1).alias("file"))
 
 
-@query(_values("what, name, depth", ("callers", "add", 2), ("callers", "makePerson", 1), ("deps", "check", 1), ("deps", "makePerson", 1), ("deps", "missing", 1), ("deps", "nextId", 2)))
+@example(_values("what, name, depth", ("callers", "add", 2), ("callers", "makePerson", 1), ("deps", "check", 1), ("deps", "makePerson", 1), ("deps", "missing", 1), ("deps", "nextId", 2)))
 def command_analyze(t: Tables):
     s = _service(t)
     names = s.graph.nodes.select("id", "name")
@@ -73,17 +73,17 @@ def command_analyze(t: Tables):
     return pick("callers", "nextId").unionAll(pick("deps", "add"))
 
 
-@query(_values("name, complexity", ("add", 5), ("Name", 3), ("run", 4)))
+@example(_values("name, complexity", ("add", 5), ("Name", 3), ("run", 4)))
 def tool_complexity_report(t: Tables):
     return _service(t).complexity(3)[0].select("name", F.col("complexity").cast("int").alias("complexity"))
 
 
-@query(_values("number, line", (1, "import React from 'react';"), (2, "import { Row } from './Row';")))
+@example(_values("number, line", (1, "import React from 'react';"), (2, "import { Row } from './Row';")))
 def rest_source(t: Tables):
     return _service(t).source(f"{P.ROOT}/src/View.tsx", 1, 2).select(F.col("number").cast("int").alias("number"), "line")
 
 
-@query(_values("step, names", (0, "other"), (1, ""), (2, "other,third")))
+@example(_values("step, names", (0, "other"), (1, ""), (2, "other,third")))
 def configure_projects(t: Tables):
     """Active projects after setting one, removing it, and adding two; by name in any case or by the path's end."""
     p = Projects()
@@ -93,7 +93,7 @@ def configure_projects(t: Tables):
     return t.spark.createDataFrame(list(enumerate(rows)), "step int, names string")
 
 
-@query(_values("files, left_over", (8, 0)))
+@example(_values("files, left_over", (8, 0)))
 def rest_delete_and_clear(t: Tables):
     """Files after one was deleted, and nodes after the graph was cleared."""
     s = _service(t)
@@ -103,7 +103,7 @@ def rest_delete_and_clear(t: Tables):
     return t.spark.createDataFrame([(files, s.graph.nodes.count() + s.graph.edges.count())], "files int, left_over int")
 
 
-@query(_values("kind, name", ("Class", "Job"), ("Function", "run"), ("Import", ".util"), ("Variable", "LIMIT"), ("error", "/x.unknown")))
+@example(_values("kind, name", ("Class", "Job"), ("Function", "run"), ("Import", ".util"), ("Variable", "LIMIT"), ("error", "/x.unknown")))
 def live_parse_of_a_file(t: Tables):
     got = parse_file(f"{P.ROOT}/py/app.py", P.FILES["py/app.py"])
     rows = [(k, r.get("name") or r["source"]) for k in ("Class", "Function", "Import", "Variable") for r in got[k]]
@@ -114,12 +114,12 @@ def live_parse_of_a_file(t: Tables):
     return t.spark.createDataFrame(rows, "kind string, name string")
 
 
-@query(_values("milliseconds", (300000,), (7200000,), (3600000,), (86400000,)))
+@example(_values("milliseconds", (300000,), (7200000,), (3600000,), (86400000,)))
 def schedules(t: Tables):
     return t.spark.createDataFrame([(interval_of(x),) for x in ("*/5 * * * *", "0 */2 * * *", "0 * * * *", "30 4 * * *")], "milliseconds int")
 
 
-@query(_values("code, shell", ("npm install x", True), ("$ ls", True), ("# note", True), ("let a = 1", False)))
+@example(_values("code, shell", ("npm install x", True), ("$ ls", True), ("# note", True), ("let a = 1", False)))
 def shell_blocks(t: Tables):
     c = t.spark.createDataFrame([("npm install x",), ("$ ls",), ("# note",), ("let a = 1",)], "code string")
     return c.select("code", V.is_shell(F.lit("ts"), F.col("code")).alias("shell"))
@@ -148,7 +148,7 @@ def cache_get_and_invalidate(t: Tables):
 
 
 # a stream ----------------------------------------------------------------------------------------------------------
-@query(_values("type, path", ("file-changed", "/src/people.ts"), ("file-removed", "/py/util.py"), ("graph-updated", None)))
+@example(_values("type, path", ("file-changed", "/src/people.ts"), ("file-removed", "/py/util.py"), ("graph-updated", None)))
 def stream_file_events(t: Tables):
     """Messages of a stream of file events: debounced, ignored paths left out, applied, and handed to a sink."""
     from ..streaming.apply import EVENT, SnapshotStore, read_events, run

@@ -8,6 +8,7 @@ from .testgraph import Tables, sql
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+EXAMPLES: dict[str, tuple[Callable, str]] = {}
 
 
 def query(body: str | None = None, *parts: str):
@@ -26,7 +27,18 @@ def query(body: str | None = None, *parts: str):
     return register
 
 
+def example(body: str):
+    """Keep a function of Tables that works on a small typed project, with its expected rows as SQL: run by tests only, as
+    registered queries read the given tables."""
+
+    def register(fn):
+        EXAMPLES[fn.__name__] = (lambda spark, sf_dir: fn(Tables(spark, sf_dir)), body)
+        return fn
+
+    return register
+
+
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import queries_aggregates, queries_cypher, queries_extract, queries_indexes, queries_joins, queries_paths, queries_scans, queries_service, queries_streams, queries_values, queries_writes  # noqa: F401
+    from . import queries_aggregates, queries_changes, queries_cypher, queries_extract, queries_indexes, queries_joins, queries_paths, queries_scans, queries_service, queries_streams, queries_values, queries_writes  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

@@ -1,4 +1,4 @@
-"""Every query of the roster against its SQL on DuckDB."""
+"""Every query of the roster, and every example on typed rows, against its SQL on DuckDB."""
 
 import pytest
 
@@ -6,6 +6,8 @@ from srcweave.plans import roster
 from tests.oracle import duck_rows, spark_rows
 
 QUERIES, ORACLES = roster.load()
+QUERIES |= {name: run for name, (run, _) in roster.EXAMPLES.items()}
+ORACLES |= {name: sql for name, (_, sql) in roster.EXAMPLES.items()}
 SAME = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
