@@ -43,8 +43,9 @@ CALLERS = "+RECURSIVE s AS (SELECT DISTINCT dst AS root FROM cs), r AS (SELECT r
 
 def _impact(t: Tables):
     """Of every function that is called: other functions that reach it in one call, and in two or three."""
-    n = caller_counts(t.calls(), 3)
-    return n.join(t.functions().select("id", "complexity", "k"), "id").withColumnRenamed("id", "root")
+    hops = t.calls().select(F.col("sk").alias("src"), F.col("dk").alias("dst"))  # numbers are shorter than ids
+    n = caller_counts(hops, 3).withColumnRenamed("id", "k")
+    return n.join(t.functions().select("k", F.col("id").alias("root"), "complexity"), "k")
 
 
 @query(
