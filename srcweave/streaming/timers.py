@@ -2,8 +2,9 @@
 
 Events of a path wait in its state until the watermark has passed them, so that all earlier ones are there; then they
 join the run that is open, or close it and begin another. A timer closes a run once the watermark has passed its last
-event by the gap. Events behind the watermark when they come are late: they change no run and are counted. State holds
-a path's open run and the events of the watermark's delay, and goes when both are gone.
+event by the gap. Events behind the watermark when they come are late: Spark drops them before the state and counts them,
+``late_events`` tells how many. State holds a path's open run and the events of the watermark's delay, and goes when both
+are gone.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
-OUT = "path string, type string, ts timestamp, merged long, late long"
+OUT = "path string, type string, ts timestamp, merged long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENT = "micros long, seq long, type string"
 
@@ -28,21 +29,15 @@ class _Runs(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _EVENT)
         self.run = handle.getValueState("run", "type string, micros long, merged long")
 
-    def _row(self, key, kind: str, micros: int, merged: int, late: int) -> pd.DataFrame:
-        return pd.DataFrame({"path": [key[0]], "type": [kind], "ts": [pd.Timestamp(micros, unit="us", tz="UTC")], "merged": [merged], "late": [late]})
+    def _row(self, key, kind: str, micros: int, merged: int) -> pd.DataFrame:
+        return pd.DataFrame({"path": [key[0]], "type": [kind], "ts": [pd.Timestamp(micros, unit="us", tz="UTC")], "merged": [merged]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        late, last = 0, None
         for some in rows:
             for micros, seq, kind in zip(some["micros"].tolist(), some["seq"].tolist(), some["type"].tolist(), strict=True):
-                if micros < passed:
-                    late, last = late + 1, max(last or micros, micros)
-                else:
-                    self.waiting.appendValue((micros, seq, kind))
-                    self.handle.registerTimer(micros // 1000 + 1)
-        if late:
-            yield self._row(key, "late", last, 0, late)
+                self.waiting.appendValue((micros, seq, kind))
+                self.handle.registerTimer(micros // 1000 + 1)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -67,16 +62,21 @@ class _Runs(StatefulProcessor):
         else:
             self.run.clear()
         for kind, micros, merged in out:
-            yield self._row(key, kind, micros, merged, 0)
+            yield self._row(key, kind, micros, merged)
 
     def close(self) -> None:
         pass
 
 
 def debounce_timers(events: DataFrame, gap_seconds: float, watermark: str = "10 seconds") -> DataFrame:
-    """A stream of (path, type, ts, seq) to (path, type, ts, merged, late): a row for each run once it is over, and one of
-    type ``late`` for events that came behind the watermark. The session must use the state store ``PROVIDER``."""
+    """A stream of (path, type, ts, seq) to (path, type, ts, merged): a row for each run once it is over. The session must
+    use the state store ``PROVIDER``."""
     from pyspark.sql import functions as F
 
     rows = events.withWatermark("ts", watermark).select("path", "type", "seq", F.unix_micros("ts").alias("micros"), "ts")
     return rows.groupBy("path").transformWithStateInPandas(_Runs(round(gap_seconds * 1e6)), OUT, "Append", "EventTime")
+
+
+def late_events(query) -> int:
+    """Events that a running or finished query dropped because they came behind the watermark."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
