@@ -194,7 +194,7 @@ def _illegal(a: str, b: str) -> bool:
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each unit; cost, audit and hash are those of a conversation that has no other unit."""
-    walker, held, n = _Walker(), [], 0
+    walker, held, n, size = _Walker(), [], 0, 0
     schema = ["conv", "piece", "part", "n", "blank", "duplicate", "truncated", "illegal", "first", "last", "ways", "cost", "audit", "repaired_sha256"]
 
     def done():
@@ -215,10 +215,10 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             faults = [_fault(r, before, marks) for r, before in zip(rows, [marks.get("last"), *rows], strict=False)]
             held.append((key, rows, faults))
-            n += len(rows)
-        if n >= BATCH:
+            n, size = n + len(rows), size + sum(len(r["text"]) for r in rows)
+        if n >= BATCH or size >= BATCH_BYTES:
             yield done()
-            held, n = [], 0
+            held, n, size = [], 0, 0
     if held:
         yield done()
 

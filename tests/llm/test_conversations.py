@@ -99,3 +99,13 @@ def test_none_left_empty_and_clashing(spark):
     got = {r.conv_id: r for r in R.repair(df.selectExpr("*", "1 as h", "2 as kind"), ids).collect()}
     assert got[1].audit == "D" and got[2] == (2, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     assert R.repair(df.where("false")).collect() == [] and R.repair(df.where("false"), ids.where("false")).collect() == []
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts that fill a batch by themselves."""
+    monkeypatch.setattr(R, "BATCH_BYTES", 1 << 20)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t} " + "x" * 700_000 + ".") for c in range(3) for t in range(4)]
+    got = {r.conv_id: r for r in R.repair(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for c in range(3):
+        told = "\n".join(f"{r}:{x}" for k, _, r, x in rows if k == c)
+        assert (got[c].audit, got[c].cost, got[c].repaired_sha256) == ("KKKK", 0, hashlib.sha256(told.encode()).hexdigest())
