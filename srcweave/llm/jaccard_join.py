@@ -13,7 +13,7 @@ distance 0.2 share one of the first n/5 + 1 shingles of either. A document is re
    few comparisons for each member, not one for each pair.
 2. Then all regions are looked at, and those that hold more than one component go on: a round draws one more pivot in
    each, measures it against the documents outside its component, and regions that became one component drop out.
-3. After ``ROUNDS`` rounds the regions left over are cut into parts and join, but only pairs of different components,
+3. After ``ROUNDS`` rounds, or one that settled less than a tenth of the regions, those left over are cut into parts and join, but only pairs of different components,
    within the length and position bounds, and not set apart by the triangle inequality: by the
    distances to common pivots that differ by more than the radius, or by the numbers of shingles in ``CLASSES`` hash
    classes, which act as pivots too (in all classes together two sets share at most the sum of the smaller numbers).
@@ -255,6 +255,7 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     keys = regions.select("key").distinct().join(labels, "key", "left_anti").withColumn("c", F.col("key"))
     labels = scratch.materialize(labels.unionByName(keys), "labels")
 
+    before = math.inf
     for r in range(1, ROUNDS + 1):
         now = regions.join(labels, "key")
         crowds = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("key", "n", "at", "c"), F.xxhash64("key", F.lit(r))).alias("p")).where("lo <> hi")
@@ -262,7 +263,8 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         if not many:
             break
         now = scratch.materialize(now.join(F.broadcast(crowds) if many <= BROADCAST_ROWS else crowds, "token"), "open")
-        if r == ROUNDS:
+        last, before = r == ROUNDS or many > 0.9 * before, many
+        if last:
             pairs = _left_over(now, tested, stands)
         else:
             near = now.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), F.col("p.key").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b"), F.col("p.c").alias("c_b"))
@@ -271,6 +273,8 @@ def _components(table: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         done = _measured(pairs, stands)
         tested = tested.unionAll(done)
         labels = _relabel(labels, done.where(LINKED))
+        if last:
+            break
         regions = now.select("token", "key", "n", "at")
     return rows, labels
 
