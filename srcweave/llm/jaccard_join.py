@@ -175,10 +175,10 @@ def _rows(block: dict, slices: int) -> pa.RecordBatch:
 def _measure(it):
     """(a, b, common): numbers of common shingles."""
     for batch in it:
-        a, b = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
         common, last, x = [], None, None
-        for p, q in zip(a, b, strict=True):
-            if q is not last and q != last:
+        for p, q in zip(batch.column("set_a"), batch.column("set_b"), strict=True):  # one pair at a time: sets may be large
+            p, q = p.as_py(), q.as_py()
+            if q != last:
                 last, x = q, B.decode(q, U)
             y = B.decode(p, U)
             k = np.searchsorted(x, y)
