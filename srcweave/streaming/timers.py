@@ -1,8 +1,8 @@
 """Debounce by timers: exact to the microsecond, and the same whatever the order in which events arrive.
 
 Events of a path wait in its state until the watermark has passed them, so that all earlier ones are there; then they
-join the run that is open, or close it and begin another. A timer closes a run once the watermark has passed its last
-event by the gap. Events behind the watermark when they come are late: Spark drops them before the state and counts them,
+join the run that is open, or close it and begin another. A run is closed once the watermark has passed its last event by
+the gap. A path has one timer, the earliest that it needs, so calls follow paths and batches, not events. Events behind the watermark when they come are late: Spark drops them before the state and counts them,
 ``late_events`` tells how many. State holds a path's open run and the events of the watermark's delay, and goes when both
 are gone.
 """
@@ -28,22 +28,31 @@ class _Runs(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", _EVENT)
         self.run = handle.getValueState("run", "type string, micros long, merged long")
-
-    def _row(self, key, kind: str, micros: int, merged: int) -> pd.DataFrame:
-        return pd.DataFrame({"path": [key[0]], "type": [kind], "ts": [pd.Timestamp(micros, unit="us", tz="UTC")], "merged": [merged]})
+        self.due = handle.getValueState("due", "millis long")
+
+    def _wake(self, millis: int) -> None:
+        """One timer for a path: the earliest that its state wants."""
+        due = self.due.get()
+        if due and due[0] <= millis:
+            return
+        if due:
+            self.handle.deleteTimer(due[0])
+        self.handle.registerTimer(millis)
+        self.due.update((millis,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for some in rows:
-            for micros, seq, kind in zip(some["micros"].tolist(), some["seq"].tolist(), some["type"].tolist(), strict=True):
-                self.waiting.appendValue((micros, seq, kind))
-                self.handle.registerTimer(micros // 1000 + 1)
+        events = [e for some in rows for e in zip(some["micros"].tolist(), some["seq"].tolist(), some["type"].tolist(), strict=True)]
+        if events:
+            self.waiting.appendList(events)
+            self._wake(min(e[0] for e in events) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = list(self.waiting.get())
         ready = sorted(e for e in held if e[0] < passed)
-        run = self.run.get() if self.run.exists() else None
+        rest = [e for e in held if e[0] >= passed]
+        before = run = self.run.get()
         out = []
         for micros, _, kind in ready:
             if run and micros - run[1] >= self.gap:
@@ -54,15 +63,18 @@ class _Runs(StatefulProcessor):
             out.append(run)
             run = None
         if ready:
-            rest = [e for e in held if e[0] >= passed]
             self.waiting.put(rest) if rest else self.waiting.clear()
         if run:
             self.run.update(run)
-            self.handle.registerTimer((run[1] + self.gap) // 1000 + 1)
-        else:
+        elif before:
             self.run.clear()
-        for kind, micros, merged in out:
-            yield self._row(key, kind, micros, merged)
+        self.due.clear()
+        wanted = [e[0] // 1000 + 1 for e in rest] + ([(run[1] + self.gap) // 1000 + 1] if run else [])
+        if wanted:
+            self._wake(min(wanted))
+        if out:
+            kinds, micros, merged = zip(*out, strict=True)
+            yield pd.DataFrame({"path": key[0], "type": kinds, "ts": pd.to_datetime(micros, unit="us", utc=True), "merged": merged})
 
     def close(self) -> None:
         pass

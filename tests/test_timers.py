@@ -1,6 +1,8 @@
 """Debounce by timers: out of order, late and across a restart."""
 
-from srcweave.streaming.timers import OUT, PROVIDER, debounce_timers, late_events
+import pandas as pd
+
+from srcweave.streaming.timers import OUT, PROVIDER, _Runs, debounce_timers, late_events
 
 SHAPE = "path string, type string, ts timestamp, seq long"
 
@@ -33,3 +35,67 @@ def test_runs_to_the_microsecond_late_events_and_restarts(spark, tmp_path):
         [("a", "unlink", "01.900000", 3), ("b", "add", "01.000000", 1), ("b", "unlink", "01.500000", 1), ("c", "add", "31.000000", 1), ("c", "change", "03.000000", 2)],
         [0, 0, 0, 1],
     )
+
+
+class _State:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+
+    def clear(self):
+        self.rows = []
+
+
+class _Value(_State):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+    def update(self, row):
+        self.rows = [row]
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.registered = set(), 0
+
+    def getListState(self, *_):  # noqa: N802
+        return _State()
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+    def registerTimer(self, millis):  # noqa: N802
+        self.timers.add(millis)
+        self.registered += 1
+
+    def deleteTimer(self, millis):  # noqa: N802
+        self.timers.remove(millis)
+
+
+def test_a_path_has_one_timer_whatever_its_events():
+    handle, runs = _Handle(), _Runs(10_000_000)
+    runs.init(handle)
+    batch = pd.DataFrame({"micros": [k * 1_000_000 for k in range(999, -1, -1)], "seq": range(1000), "type": "add"})
+    assert list(runs.handleInputRows(("a",), iter([batch]), None)) == [] and len(handle.timers) == 1 and handle.registered == 1
+    out, calls = [], 0
+    for passed in (500_000, 500_500, 2_000_000):
+        while due := [t for t in handle.timers if t <= passed]:
+            clock = type("T", (), {"getCurrentWatermarkInMs": lambda self, p=passed: p})()
+            out += [tuple(r) for df in runs.handleExpiredTimer(("a",), clock, None) for r in df[["path", "type", "merged"]].itertuples(index=False)]
+            handle.timers -= set(due)
+            calls += 1
+    assert out == [("a", "add", 1000)] and calls <= 4 and not handle.timers
