@@ -12,6 +12,7 @@ from srcweave.operators.resolve import taint_matches
 from srcweave.operators.sections import section_spans
 from srcweave.operators.textindex import PageIndex, TextIndex, TrigramIndex
 from srcweave.plans import roster, scratch
+from srcweave.plans.testgraph import Tables
 
 
 def _edges(seed, n=25, m=70):
@@ -194,3 +195,20 @@ def test_queries_run_after_clean(spark, sf_dir):
     pages = found["page_first"](spark, sf_dir).collect()
     assert scratch.clean(spark) > 0
     assert found["most_connected"](spark, sf_dir).collect() == before and found["page_first"](spark, sf_dir).collect() == pages
+
+
+def test_a_packed_table_is_not_broadcast(spark, sf_dir):
+    """Ids in order pack twenty times and more: files of 2 MB hold far more than a broadcast may have."""
+    Tables(spark, sf_dir)
+    packed = scratch.materialize(spark.range(400_000).selectExpr("id as k", "concat('Function:/AFRICA/KENYA/Supplier#000000001.ts:', id) as id"), "packed")
+    joined = packed.join(packed.withColumnRenamed("k", "j"), "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    small = scratch.materialize(spark.range(10).selectExpr("concat('Function:', id) as id"), "small")
+    assert "BroadcastHashJoin" in packed.join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_tables_by_label(spark):
+    pieces = {"CALLS": spark.range(3).selectExpr("id", "id * 2 as n"), "a=b/c": spark.range(2).selectExpr("id * 5 as n", "id"), "NONE": spark.range(0).selectExpr("id", "id as n")}
+    got = scratch.by_label(pieces, "pieces")
+    assert sorted(map(tuple, got.select("label", "id", "n").collect())) == [("CALLS", 0, 0), ("CALLS", 1, 2), ("CALLS", 2, 4), ("a=b/c", 0, 0), ("a=b/c", 1, 5)]
+    assert "PartitionFilters: [isnotnull(label" in got.where("label = 'CALLS'")._jdf.queryExecution().executedPlan().toString()
