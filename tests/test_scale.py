@@ -6,11 +6,12 @@ import random
 import pytest
 
 from srcweave.operators import paths as P
-from srcweave.operators.impact import caller_counts, caller_estimates
+from srcweave.operators.impact import BYTES, _ored, caller_counts, caller_estimates
 from srcweave.operators.numbering import numbered
 from srcweave.operators.resolve import taint_matches
 from srcweave.operators.sections import section_spans
 from srcweave.operators.textindex import PageIndex, TextIndex, TrigramIndex
+from srcweave.operators.upsert import renders
 from srcweave.plans import roster, scratch
 from srcweave.plans.testgraph import Tables
 
@@ -49,6 +50,21 @@ def test_caller_counts_over_several_bitmaps_and_passes(spark):
     assert caller_counts(chain.where("false")).collect() == []
 
 
+def test_a_block_sends_a_bitmap_for_each_function_it_calls():
+    """Not one for each call: 900 calls from 300 functions to 3, in two groups that are cut by batches."""
+    import pyarrow as pa
+
+    bit = lambda s: bytes([0] * (s // 8) + [1 << s % 8] + [0] * (BYTES - s // 8 - 1))
+    rows = [{"bucket": b, "block": 0, "s": s, "d": d, "bits": None if d else bit(s)} for b in (1, 2) for s in range(300) for d in (None, 7001, 7002, 7003)]
+    kind = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("bits", pa.binary())])
+    whole = pa.RecordBatch.from_pylist(rows, kind)
+    got = [r for b in _ored(whole.slice(k, 500) for k in range(0, len(rows), 500)) for r in b.to_pylist()]
+    called = [r for r in got if r["d"] > 7000]
+    assert sorted((r["bucket"], r["d"]) for r in called) == [(b, d) for b in (1, 2) for d in (7001, 7002, 7003)]
+    assert {r["bits"] for r in called} == {bytes([255] * 37 + [15] + [0] * (BYTES - 38))} and len(got) == 606
+    assert list(_ored([])) == []
+
+
 def test_caller_estimates(spark):
     star = spark.range(20_000).selectExpr("id as src", "if(id < 10000, -1L, -2L) as dst").unionAll(spark.createDataFrame([(-1, -2)], "src long, dst long"))
     got = {r.id: r.callers for r in caller_estimates(star, 2).collect()}
@@ -212,3 +228,12 @@ def test_tables_by_label(spark):
     got = scratch.by_label(pieces, "pieces")
     assert sorted(map(tuple, got.select("label", "id", "n").collect())) == [("CALLS", 0, 0), ("CALLS", 1, 2), ("CALLS", 2, 4), ("a=b/c", 0, 0), ("a=b/c", 1, 5)]
     assert "PartitionFilters: [isnotnull(label" in got.where("label = 'CALLS'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_renders_does_not_shuffle_its_pairs(spark):
+    refs = spark.createDataFrame([("a", "x", 3), ("a", "x", 2), ("b", "x", 1), ("b", "y", None), ("c", None, 1)], "src string, child string, line int")
+    known = spark.createDataFrame([("1", "x"), ("2", "x"), ("2", "x"), ("3", "z"), ("4", None)], "id string, name string")
+    got = renders(refs, known)
+    assert sorted(map(tuple, got.collect())) == [("a", "1", 2), ("a", "2", 2), ("b", "1", 1), ("b", "2", 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.splitlines()[1] and "Aggregate" not in plan.splitlines()[0]
