@@ -112,7 +112,7 @@ def taint_matches(sources: DataFrame, sinks: DataFrame, sanitizers: tuple[str, .
     variable in it and no sanitiser's name.
 
     An equi-join on the file and the variable's first ``PROBE`` characters: a sink lists its argument's stretches of up to
-    that length once each, so pairs that share none never meet, and a file with very many of both is split by them. A
+    that length once each, so pairs that share none never meet, and a file with very many of both is split by them. Neither side is collected to be broadcast. A
     variable as short as a stretch needs no further test. An empty variable is in every argument, a null one in none.
     """
     clean = F.lit(False)
@@ -123,4 +123,4 @@ def taint_matches(sources: DataFrame, sinks: DataFrame, sanitizers: tuple[str, .
     stretches = F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in range(1, PROBE + 1)]))
     probes = sinks.where(~clean).withColumn("_probe", F.explode(stretches))
     keyed = sources.withColumn("_probe", F.left("variable", F.lit(PROBE)))
-    return keyed.join(probes, ["file", "_probe"]).where((F.length("variable") <= PROBE) | F.col("argument").contains(F.col("variable"))).drop("_probe")
+    return keyed.hint("merge").join(probes, ["file", "_probe"]).where((F.length("variable") <= PROBE) | F.col("argument").contains(F.col("variable"))).drop("_probe")

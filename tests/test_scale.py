@@ -194,6 +194,7 @@ def test_taint_matches(spark):
     got = taint_matches(spark.createDataFrame(sources, "file int, variable string, source int"), spark.createDataFrame(sinks, "file int, argument string, sink int"), ("clean",))
     want = sorted((a, b) for f, v, a in sources for g, x, b in sinks if f == g and v is not None and x is not None and v in x and "clean" not in x)
     assert sorted((r.source, r.sink) for r in got.collect()) == want
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_taint_matches_in_a_hot_file(spark):
