@@ -6,7 +6,7 @@ import random
 import pytest
 
 from srcweave.operators import paths as P
-from srcweave.operators.impact import BYTES, _ored, caller_counts, caller_estimates
+from srcweave.operators.impact import BYTES, _merged, _ored, caller_counts, caller_estimates
 from srcweave.operators.numbering import numbered
 from srcweave.operators.resolve import taint_matches
 from srcweave.operators.sections import section_spans
@@ -65,6 +65,23 @@ def test_a_block_sends_a_bitmap_for_each_function_it_calls():
     assert list(_ored([])) == []
 
 
+def test_a_block_sends_a_sketch_for_each_function_it_calls():
+    import numpy as np
+    import pyarrow as pa
+
+    kind = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("bits", pa.binary())])
+    rows = [{"bucket": 0, "block": 0, "s": s, "d": d, "bits": None if d else bytes([s, 9 - s])} for s in range(10) for d in (None, 7001, 7002)]
+    got = [r for b in _merged([pa.RecordBatch.from_pylist(rows, kind)], np.maximum, np.uint8) for r in b.to_pylist() if r["d"] > 7000]
+    assert [(r["d"], r["bits"]) for r in got] == [(7001, bytes([9, 9])), (7002, bytes([9, 9]))]
+
+
+@pytest.mark.parametrize("n", [1, 7, 300, 4000, 12_000, 70_000])
+def test_caller_estimates_at_any_count(spark, n):
+    got = caller_estimates(spark.range(n).selectExpr("id as src", "-1L as dst"), 1).collect()
+    assert [r.id for r in got] == [-1] and abs(got[0].callers - n) <= 0.05 * n + 0.5
+    assert caller_estimates(spark.range(0).selectExpr("id as src", "-1L as dst")).collect() == []
+
+
 def test_caller_estimates(spark):
     star = spark.range(20_000).selectExpr("id as src", "if(id < 10000, -1L, -2L) as dst").unionAll(spark.createDataFrame([(-1, -2)], "src long, dst long"))
     got = {r.id: r.callers for r in caller_estimates(star, 2).collect()}
