@@ -272,3 +272,13 @@ def test_renders_does_not_shuffle_its_pairs(spark):
     assert sorted(map(tuple, got.collect())) == [("a", "1", 2), ("a", "2", 2), ("b", "1", 1), ("b", "2", 1)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan.splitlines()[1] and "Aggregate" not in plan.splitlines()[0]
+
+
+def test_relation_groups_shuffles_rows_once(spark):
+    from srcweave.operators.analysis import relation_groups
+
+    rows = [("a", "out", "CALLS", f"x{k:02}") for k in range(40)] * 2 + [("b", "in", "READS", "y"), ("b", "in", "READS", "y"), ("b", "in", "CALLS", None)]
+    df = spark.createDataFrame(rows, "id string, direction string, type string, other string")
+    got = relation_groups(df)
+    assert sorted(map(tuple, got.collect())) == [("a", "out", "CALLS", 40, "x00,x01,x02,x03,x04"), ("b", "in", "CALLS", 1, ""), ("b", "in", "READS", 1, "y")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
