@@ -59,7 +59,11 @@ class TextIndex:
         """Index a batch; returns its record."""
         words = folded_words(F.col(text_col))
         rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("w"))
-        postings = rows.select("id", F.size("w").alias("size"), F.explode("w").alias("word")).groupBy("word", "id", "size").agg(F.count("*").cast("int").alias("tf"))
+        rows_in_order = rows.select("id", F.sort_array("w").alias("w"))
+        starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda k: (k == 1) | (F.element_at("w", k) != F.element_at("w", F.greatest(k - 1, F.lit(1)))))
+        counted = rows_in_order.where(F.size("w") > 0).select("id", "w", F.size("w").alias("size"), starts.alias("at"))  # a text's words are counted in its row
+        each = F.transform("at", lambda k, i: F.struct(F.element_at("w", k).alias("word"), (F.coalesce(F.get("at", i + 1), F.col("size") + 1) - k).alias("tf")))
+        postings = counted.select("id", "size", F.explode(each).alias("x")).select("x.word", "id", "size", "x.tf")
         return self._write(postings, *rows.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first(), [])
 
     def merge(self) -> dict:
@@ -70,7 +74,7 @@ class TextIndex:
 
     def _write(self, postings: DataFrame, docs: int, words: int, replaces: list[str]) -> dict:
         record = {"segment": uuid.uuid4().hex[:12], "docs": docs, "words": words, "replaces": replaces}
-        rows = postings.withColumn("bucket", _bucket(F.col("word"))).repartition("bucket", "word").sortWithinPartitions("bucket", "word", "id")
+        rows = postings.withColumn("bucket", _bucket(F.col("word"))).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "word").sortWithinPartitions("bucket", "word", "id")
         rows.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/segment={record['segment']}")
         scratch.write_text(self.spark, f"{self.path}/records/{record['segment']}.json", json.dumps(record))
         return record
@@ -85,6 +89,7 @@ class TextIndex:
             return self.spark.createDataFrame([], "id long, score double")
         docs, words = sum(r["docs"] for r in segments), sum(r["words"] for r in segments)
         hits = self._postings(segments).where(F.col("bucket").isin(_buckets(wanted)) & F.col("word").isin(wanted))
+        hits = hits.groupBy("word", "id", "size").agg(F.sum("tf").alias("tf"))
         df = hits.groupBy("word").agg(F.count("*").alias("df"))  # a row for each word of the query
         idf = F.ln(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (words / max(docs, 1))))

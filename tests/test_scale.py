@@ -282,3 +282,16 @@ def test_relation_groups_shuffles_rows_once(spark):
     got = relation_groups(df)
     assert sorted(map(tuple, got.collect())) == [("a", "out", "CALLS", 40, "x00,x01,x02,x03,x04"), ("b", "in", "CALLS", 1, ""), ("b", "in", "READS", 1, "y")]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_are_counted_in_their_row(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "i"))
+    seen = []
+    index._write = lambda postings, *rest: seen.append(postings)
+    index.add(spark.createDataFrame([(1, "b a b, b c a"), (2, ""), (3, "d")], "doc_id long, text string"))
+    assert sorted(map(tuple, seen[0].select("word", "id", "size", "tf").collect())) == [("a", 1, 6, 2), ("b", 1, 6, 3), ("c", 1, 6, 1), ("d", 3, 1, 1)]
+    assert _shuffles(seen[0]) == 0
