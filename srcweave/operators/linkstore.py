@@ -67,15 +67,19 @@ class LinkStore:
     @staticmethod
     def _edges(delta: DataFrame, there: DataFrame) -> DataFrame:
         """The edges' change: new references to old and new definitions, old references to new definitions."""
-        end = lambda df, kind, c: df.where(F.col("kind") == kind).select("name", F.col("file").alias(c), F.col("n").alias(f"n_{c}"))
-        both = end(delta, "ref", "src").join(end(there.unionByName(delta), "def", "dst"), "name").unionByName(end(there, "ref", "src").join(end(delta, "def", "dst"), "name"))
+        tasks = int(delta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = there.withColumn("new", F.lit(False)).unionByName(delta.withColumn("new", F.lit(True))).repartition(tasks, "name")
+        end = lambda kind, c: every.where(F.col("kind") == kind).select("name", F.col("file").alias(c), F.col("n").alias(f"n_{c}"), F.col("new").alias(f"new_{c}"))
+        both = end("ref", "src").join(end("def", "dst"), "name").where("new_src or new_dst")  # a name's pairs are summed where they are made
         return both.groupBy("src", "dst", "name").agg(F.sum(F.col("n_src") * F.col("n_dst")).alias("n")).where("n <> 0")
 
     def _write(self, rows: DataFrame, edges: DataFrame, replaces: list[str]) -> int:
         segment, written = uuid.uuid4().hex[:12], 0
-        for table, schema, df, key in (("by_file", ROW, rows, "file"), ("by_name", ROW, rows, "name"), ("edges", EDGE, edges, "src")):
-            out = df.withColumn("bucket", _bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key)
-            out.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{table}/segment={segment}")
+        for table, schema, df, key in (("by_file", ROW, rows, "file"), ("by_name", ROW, rows, "name"), ("edges", EDGE, edges, None)):
+            if key:
+                df = df.withColumn("bucket", _bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key)
+            out = df.write.option("compression", "zstd")
+            (out.partitionBy("bucket") if key else out).parquet(f"{self.path}/{table}/segment={segment}")  # edges are only read whole
             written += self._read(table, schema, [segment]).count()
         scratch.write_text(self.spark, f"{self.path}/records/{segment}.json", json.dumps({"segment": segment, "replaces": replaces}))
         return written
@@ -84,7 +88,11 @@ class LinkStore:
         return self._read("by_file", ROW, self.segments()).groupBy("file", "name", "kind").agg(F.sum("n").alias("n")).where("n <> 0")
 
     def edges(self) -> DataFrame:
-        return self._read("edges", EDGE, self.segments()).groupBy("src", "dst", "name").agg(F.sum("n").alias("n")).where("n <> 0")
+        segments = self.segments()
+        rows = self._read("edges", EDGE, segments)
+        if len(segments) == 1:  # an edge is there once in a segment
+            return rows.select("src", "dst", "name", "n")
+        return rows.groupBy("src", "dst", "name").agg(F.sum("n").alias("n")).where("n <> 0")
 
     def compact(self) -> int:
         """One segment in place of all."""
