@@ -274,20 +274,20 @@ def test_renders_does_not_shuffle_its_pairs(spark):
     assert "Join" in plan.splitlines()[1] and "Aggregate" not in plan.splitlines()[0]
 
 
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def test_relation_groups_shuffles_rows_once(spark):
     from srcweave.operators.analysis import relation_groups
 
     rows = [("a", "out", "CALLS", f"x{k:02}") for k in range(40)] * 2 + [("b", "in", "READS", "y"), ("b", "in", "READS", "y"), ("b", "in", "CALLS", None)]
     df = spark.createDataFrame(rows, "id string, direction string, type string, other string")
     got = relation_groups(df)
-    assert sorted(map(tuple, got.collect())) == [("a", "out", "CALLS", 40, "x00,x01,x02,x03,x04"), ("b", "in", "CALLS", 1, ""), ("b", "in", "READS", 1, "y")]
+    assert sorted(map(tuple, got.collect())) == [("a", "CALLS", "out", 40, "x00,x01,x02,x03,x04"), ("b", "CALLS", "in", 1, ""), ("b", "READS", "in", 1, "y")]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-def _shuffles(df):
-    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
-
-
 def test_words_are_counted_in_their_row(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path / "i"))
     seen = []
@@ -295,3 +295,25 @@ def test_words_are_counted_in_their_row(spark, tmp_path):
     index.add(spark.createDataFrame([(1, "b a b, b c a"), (2, ""), (3, "d")], "doc_id long, text string"))
     assert sorted(map(tuple, seen[0].select("word", "id", "size", "tf").collect())) == [("a", 1, 6, 2), ("b", 1, 6, 3), ("c", 1, 6, 1), ("d", 3, 1, 1)]
     assert _shuffles(seen[0]) == 0
+
+
+def test_components_are_found_over_numbers(spark, sf_dir, monkeypatch):
+    from srcweave.plans import queries_paths
+
+    kinds, real = [], queries_paths.connected_components
+    monkeypatch.setattr(queries_paths, "connected_components", lambda e, *ends: kinds.extend(e.schema[c].dataType.simpleString() for c in ends) or real(e, *ends))
+    roster.load()[0]["components"](spark, sf_dir)
+    assert kinds == ["bigint", "bigint"]
+
+
+def test_levels_of_a_chain_do_not_sort_the_orders_again(spark, sf_dir):
+    assert "Window" not in roster.load()[0]["order_chain_deep"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_of_a_change_are_not_shuffled(spark):
+    from srcweave.operators.linkstore import ROW, LinkStore
+
+    rows = spark.createDataFrame([("a", "x", "def", 1), ("b", "x", "ref", 2)], ROW)
+    made = LinkStore._edges(rows, rows.where("false"))
+    assert [tuple(r) for r in made.collect()] == [("b", "a", "x", 2)]
+    assert "hashpartitioning(src" not in made._jdf.queryExecution().executedPlan().toString()
