@@ -317,3 +317,12 @@ def test_edges_of_a_change_are_not_shuffled(spark):
     made = LinkStore._edges(rows, rows.where("false"))
     assert [tuple(r) for r in made.collect()] == [("b", "a", "x", 2)]
     assert "hashpartitioning(src" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_read_bounded_parts(spark, sf_dir):
+    Tables(spark, sf_dir)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("16m", "16777216b", "16777216")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "5m")
+    Tables(spark, sf_dir)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("5m", "5242880b")  # the session's own stays
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
