@@ -7,8 +7,9 @@ where the query returns distinct rows without the paths themselves, only their e
 by the items that don't aggregate; within a MATCH no relationship is used twice; nulls sort as the largest values.
 Parameters become literals of the plan, never text. Writing is refused here: ``cypher_writes`` makes changes of it.
 
-A row holds a struct for each variable. Patterns are equi-joins on ids, so Catalyst picks how to join; a pattern that
-shares no variable with what is bound already would be a cross join and is refused.
+A row holds a struct for each variable. Patterns are equi-joins on ids, so Catalyst picks how to join; where only the far
+end of a pattern's first relationship is filtered, the nodes there are written and relationships meet these first. A pattern
+that shares no variable with what is bound already would be a cross join and is refused.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from . import scratch
 
 _TOKEN = re.compile(r"\s+|//[^\n]*|(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+\.\d+|\d+)|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<par>\$\w+)|(?P<op><=|>=|<>|=~|->|<-|\.\.|[-+*/%=<>()\[\]{},.:|])")
 _WRITES = {"CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "FOREACH", "LOAD"}
+_TESTS = {"NOT", "IS", "NULL", "STARTS", "ENDS", "WITH", "CONTAINS", "IN", "AND", "OR", "TRUE", "FALSE"}
 _AGGREGATES: dict[str, Callable] = {
     "count": F.count, "sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "collect": F.collect_list,
 }
@@ -69,6 +71,8 @@ class _Query:
         self.local: dict[str, tuple[Column, str]] = {}
         self.aggregated = False
         self.fresh = 0
+        self.tests: dict[str, list[int]] = {}
+        self.bare: str | None = None  # the node that a pattern begins at, while nothing filters it
         self.node_columns, self.edge_columns = set(graph.nodes.columns), set(graph.edges.columns)
         self.ends_only = self._distinct_ends()
 
@@ -170,6 +174,7 @@ class _Query:
             self.rows = before.select(*sorted(shared)).distinct()
             self.kinds = {v: bound[v] for v in shared}
         used: list[str] = []
+        self.tests = self._tests()
         self.pattern(used)
         while self.take(","):
             self.pattern(used)
@@ -191,6 +196,28 @@ class _Query:
             k += 1
         return out
 
+    def _tests(self) -> dict[str, list[int]]:
+        """Where, in the WHERE of the clause that begins here, the conditions begin that must hold and test one variable alone."""
+        words, depth, k = [x.upper() if kind != "str" else "" for kind, x in self.t], 0, self.k
+        starts: list[int] = []
+        while k < len(words):
+            w, word = words[k], self.t[k][0] == "name" and words[k - 1] not in (".", ":") and words[k + 1 : k + 2] != ["."]
+            depth += (w in ("(", "[", "{") or word and w == "CASE") - (w in (")", "]", "}") or word and w == "END")
+            if not depth and word:
+                if w in ("RETURN", "MATCH", "OPTIONAL", "CALL", "ON", *_WRITES) or w == "WITH" and words[k - 1] not in ("STARTS", "ENDS"):
+                    break
+                if starts and w == "OR":
+                    return {}
+                if w == "WHERE" or starts and w == "AND":
+                    starts.append(k + 1)
+            k += 1
+        out: dict[str, list[int]] = {}
+        for a, b in zip(starts, [x - 1 for x in starts[1:]] + [k], strict=False):
+            names = {self.t[i][1].strip("`") for i in range(a, b) if self.t[i][0] == "name" and words[i - 1] not in (".", ":") and words[i] not in _TESTS and words[i + 1 : i + 2] != ["("]}
+            if len(names) == 1:
+                out.setdefault(names.pop(), []).append(a)
+        return out
+
     def pattern(self, used: list[str]) -> None:
         """One pattern. One that doesn't begin at a bound node is matched by itself and joined on what it shares."""
         k = self.k + 2 if self.peek(1) == "=" else self.k
@@ -282,6 +309,7 @@ class _Query:
         self.need(")")
         self._want = (var, labels, props)
         if via is None:
+            self.bare = None if var in self.kinds or props or var in self.tests else var
             if var in self.kinds:
                 self.rows = self._only(self.rows, var, labels, props)
             else:
@@ -307,6 +335,17 @@ class _Query:
             n = n.where((F.col(_snake(k)) if _snake(k) in self.node_columns else F.lit(None)) == v)
         return n.select(F.struct("*").alias(var))
 
+    def _far(self, var: str, labels: list[str], props: dict) -> DataFrame:
+        """The filtered nodes at a far end, written: so few that they can be broadcast are then known to be few."""
+        before, kinds, at = self.rows, self.kinds, self.k
+        self.rows, self.kinds = self._nodes(var, labels, props), {var: "node"}
+        for k in self.tests.get(var, ()):
+            self.k = k
+            self.rows = self.rows.where(self._not())
+        found = scratch.materialize(self.rows, "ends")
+        self.rows, self.kinds, self.k = before, kinds, at
+        return found
+
     def hop(self, left: str, rel: str, types: list[str], props: dict, direction: str, low, high, used: list[str], keep: bool) -> str:
         e = self.g.edges
         if types:
@@ -321,6 +360,10 @@ class _Query:
         hops = {"out": out, "in": into}.get(direction)
         if hops is None:
             hops = out.unionAll(into.where("_a <> _b"))
+        far = self.bare == left and low is None and right not in self.kinds and bool(node_props or right in self.tests)
+        self.bare = None
+        if far:
+            hops = hops.join(self._far(right, labels, node_props), F.col("_b") == F.col(right)["id"])
         if low is None:
             rows = self.rows.join(hops, F.col(left)["id"] == F.col("_a")).withColumnRenamed("_s", rel).drop("_a")
             self.kinds[rel] = "rel"
@@ -329,7 +372,10 @@ class _Query:
             ends = self.ends_only and not keep and direction != "both" and low == 1 and high is None
             rows = self._ends(left, rel, hops) if ends else self._lengths(left, rel, hops, low, high)
             self.kinds[rel] = "rels"
-        if right in self.kinds and right in rows.columns:
+        if far:
+            rows = rows.drop("_b")
+            self.kinds[right] = "node"
+        elif right in self.kinds and right in rows.columns:
             rows = self._only(rows.where(F.col(right)["id"] == F.col("_b")), var, labels, node_props).drop("_b")
         else:
             rows = rows.join(self._nodes(right, labels, node_props), F.col("_b") == F.col(right)["id"]).drop("_b")

@@ -2,9 +2,10 @@
 
 A query reads with the clauses of ``cypher`` and ends in writes: ``SET``, ``MERGE`` of a node or of a relationship between
 bound nodes with ``ON CREATE SET`` and ``ON MATCH SET``, ``DELETE`` of relationships and ``DETACH DELETE`` of nodes. All reads
-are done and written before the first write, so a query never sees its own changes; where several rows set one property,
-the greatest value counts, and MERGE acts once for each node or pair however many rows name it. The result is a
-``Changes``: whole new rows and keys that go. As it holds values, not steps, applying it twice changes nothing.
+are done and written (of the variables only those that the writes name) before the first write, so a query never sees its
+own changes; where several rows set one property, the greatest value counts, and MERGE acts once for each node or pair
+however many rows name it. The result is a ``Changes``: whole new rows and keys that go. As it holds values, not steps,
+applying it twice changes nothing.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ class _Write(_Query):
                 break
         if self.rows is None:
             self.rows = self.g.nodes.sparkSession.range(1).select(F.lit(1).alias("_one"))
-        self.rows = scratch.materialize(self.rows, "read")
+        named = {x.strip("`") for _, x in self.t[self.k :]}
+        self.rows = scratch.materialize(self.rows.select(F.lit(1).alias("_one"), *[F.col(f"`{v}`") for v in self.rows.columns if v in named]), "read")
         while self.k < len(self.t) and self.peek() != ";":
             if self.take("SET"):
                 self._set()

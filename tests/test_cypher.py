@@ -89,3 +89,48 @@ def test_fulltext_call(graph):
     for bad in ("CALL db.labels() YIELD label RETURN label", "CALL db.index.fulltext.queryNodes('x', 'y') YIELD other RETURN other"):
         with pytest.raises(CypherError):
             cypher(graph, bad)
+
+
+def test_conditions_on_one_variable(graph):
+    from srcweave.plans.cypher import _Query
+
+    def tests(text):
+        q = _Query(graph, text, {}, None)
+        q.k = 1
+        return {v: [" ".join(x for _, x in q.t[k : k + 3]) for k in at] for v, at in q._tests().items()}
+
+    assert tests("MATCH (a)-[c]->(b) WHERE NOT b.end > 1 AND a.name = b.name AND (b:Class OR b:File) AND size(a.name) < 3 RETURN a") == {"b": ["NOT b .", "( b :"], "a": ["size ( a"]}
+    assert tests("MATCH (a)-[c]->(b) WHERE b.x = 1 AND CASE WHEN a.x > 1 AND b.x > 1 THEN true ELSE false END AND b.name STARTS WITH 'q' WITH a WHERE a.x = 1 RETURN a") == {"b": ["b . x", "b . name"]}
+    assert tests("MATCH (a)-[c]->(b) WHERE b.x = 1 OR a.x = 1 RETURN a") == {} == tests("MATCH (a)-[c]->(b) RETURN a")
+    assert tests("MATCH (a)-[]->(on) WHERE a.x = on.x AND any(x IN a.l WHERE x = 1) AND 'RETURN OR' = a.y MATCH (b) WHERE b.x = 1 RETURN a") == {"a": ["'RETURN OR' = a"]}
+
+
+FAR = [
+    ("MATCH (a:Function)-[c:CALLS]->(b) WHERE b.startLine >= 20 AND c.line > 1 RETURN a.name AS a, b.name AS b, c.line AS l ORDER BY l", [("q", "r", 2), ("s", "s", 5)]),
+    ("MATCH (a)-[:CALLS]-(b {name: 's'}) RETURN a.name AS a ORDER BY a", [("q",), ("s",)]),
+    ("MATCH (a)<-[:CALLS]-(b)-[:CALLS]->(c) WHERE b.name = 's' AND a.name <> 'zz' RETURN a.name AS a, c.name AS c ORDER BY a", [("q", "s"), ("s", "q")]),
+    ("MATCH (b:Function)<-[:CALLS]-(a) WHERE a.name = 's' AND NOT b.name = 's' RETURN b.name AS b", [("q",)]),
+    ("MATCH (f:File) OPTIONAL MATCH (f)-[:CONTAINS]->(m:Function), (n)-[:CALLS]->(m) WHERE m.name = 'q' RETURN f.name AS f, count(n) AS n ORDER BY f", [("a.ts", 0), ("b.ts", 2)]),
+]
+
+
+@pytest.mark.parametrize("text,want", FAR)
+def test_a_filtered_far_end_comes_first(graph, text, want):
+    assert rows(cypher(graph, text)) == want
+
+
+def test_edges_are_not_shuffled_to_a_few_far_ends(spark, graph, monkeypatch):
+    from srcweave.plans import scratch
+
+    written, real = [], scratch.materialize
+    monkeypatch.setattr(scratch, "materialize", lambda df, name, *more: written.append((name, df.count())) or real(df, name, *more))
+    edges = real(spark.range(400_000).selectExpr("concat('f', id) as src", "concat('f', id % 1000) as dst", "'CALLS' as label"), "edges")
+    nodes = real(spark.range(400_000).selectExpr("concat('f', id) as id", "'Function' as label", "id as start_line"), "nodes")
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", "40")
+    try:
+        got = cypher(PropertyGraph(nodes, edges), "MATCH (f:Function)-[:CALLS]->(g:Function) WHERE g.startLine < 3 RETURN f.id AS id")
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert written == [("ends", 3)] and got.count() == 1200
+        assert "BroadcastHashJoin" in plan.split("SortMergeJoin")[-1]
+    finally:
+        spark.conf.unset("spark.sql.sources.fileCompressionFactor")

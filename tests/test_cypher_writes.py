@@ -51,3 +51,15 @@ def test_deletes(graph):
     for text in ("MATCH (a:Function) DELETE a", "MATCH (a:Function) SET a.id = 'x'", "MATCH (a:Function) SET a.nothing = 1", "MATCH (a:Function) RETURN a"):
         with pytest.raises(CypherError):
             changes(graph, text)
+
+
+def test_only_variables_that_writes_name_are_written(graph, monkeypatch):
+    from srcweave.plans import scratch
+
+    read, real = [], scratch.materialize
+    monkeypatch.setattr(scratch, "materialize", lambda df, name, *more: (read.append(df.columns) if name == "read" else None) or real(df, name, *more))
+    new = changes(graph, "MATCH (f:Function)-[:CALLS]->(g:Function) WHERE g.startLine < 20 SET f.startLine = f.startLine + 1").apply(graph)
+    assert read == [["_one", "f"]] and {r["name"]: r.start_line for r in new.nodes.where("label = 'Function'").collect()} == {"f": 2, "g": 9, "h": 20}
+    changes(graph, "MATCH (f:Function)-[r:CALLS]->(g:Function) DELETE r")
+    changes(graph, "MATCH (f:Function) MERGE (c:Class {name: 'x', filePath: '/x'})")
+    assert read[1:] == [["_one", "r"], ["_one"]]
