@@ -326,3 +326,26 @@ def test_tasks_read_bounded_parts(spark, sf_dir):
     Tables(spark, sf_dir)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("5m", "5242880b")  # the session's own stays
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_a_shuffle_has_more_parts_for_more_input(spark, sf_dir, tmp_path):
+    """With a fixed number what one task sorts and groups grows as the input does."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    with open(tmp_path / "lineitem.parquet", "wb") as f:
+        f.truncate(41 << 20)
+    Tables(spark, str(tmp_path))
+    assert spark.conf.get(key) == "11" == str(scratch.parts(spark))
+    plan = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and ", 11)" in plan
+    assert [r.number for r in numbered(spark.range(1000).selectExpr("999 - id as id"), "id").orderBy("id").collect()] == list(range(1000))
+    Tables(spark, sf_dir)
+    assert spark.conf.get(key, None) is None and scratch.parts(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(key, "7")
+    Tables(spark, str(tmp_path))
+    assert spark.conf.get(key) == "7"  # the session's own stays
+    spark.conf.unset(key)
+
+
+def test_accesses_are_made_distinct_once(spark, sf_dir):
+    plan = Tables(spark, sf_dir)._accesses("READS")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
