@@ -67,7 +67,7 @@ class LinkStore:
     @staticmethod
     def _edges(delta: DataFrame, there: DataFrame) -> DataFrame:
         """The edges' change: new references to old and new definitions, old references to new definitions."""
-        tasks = int(delta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = scratch.parts(delta.sparkSession)
         every = there.withColumn("new", F.lit(False)).unionByName(delta.withColumn("new", F.lit(True))).repartition(tasks, "name")
         end = lambda kind, c: every.where(F.col("kind") == kind).select("name", F.col("file").alias(c), F.col("n").alias(f"n_{c}"), F.col("new").alias(f"new_{c}"))
         both = end("ref", "src").join(end("def", "dst"), "name").where("new_src or new_dst")  # a name's pairs are summed where they are made

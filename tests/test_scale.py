@@ -349,3 +349,18 @@ def test_a_shuffle_has_more_parts_for_more_input(spark, sf_dir, tmp_path):
 def test_accesses_are_made_distinct_once(spark, sf_dir):
     plan = Tables(spark, sf_dir)._accesses("READS")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+def test_dealt_rows_follow_the_input_too(spark):
+    from srcweave.operators.analysis import relation_groups
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    refs = spark.createDataFrame([("a", "x", 3)], "src string, child string, line int")
+    known = spark.createDataFrame([("1", "x")], "id string, name string")
+    rows = spark.createDataFrame([("a", "out", "CALLS", "x")], "id string, direction string, type string, other string")
+    spark.conf.set(key, "13")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (renders(refs, known), relation_groups(rows))]
+    finally:
+        spark.conf.unset(key)
+    assert all(", 13), REPARTITION_BY_NUM" in p for p in plans)
