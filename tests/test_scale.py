@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from srcweave.operators import paths as P
+from srcweave.operators import impact, paths as P
 from srcweave.operators.impact import BYTES, _merged, _ored, caller_counts, caller_estimates
 from srcweave.operators.numbering import numbered
 from srcweave.operators.resolve import taint_matches
@@ -51,6 +51,48 @@ def test_caller_counts_over_several_bitmaps_and_passes(spark):
     assert caller_counts(chain.where("false")).collect() == []
 
 
+def test_callers_by_lists(spark):
+    """Functions in several batches, callers in several blocks, a hub that calls many and is called by many."""
+    edges = _far_edges(3, 200)
+    hops = spark.createDataFrame(edges, "s long, d long").repartition(3)
+    n = len({x for e in edges for x in e})
+    within, count, _ = impact._within(hops.select(F.explode(F.array("s", "d")).alias("k")).distinct(), hops, 3)
+    assert count == n
+    got = impact._by_lists(hops, within, n, 3, listed=100).collect()
+    assert len(got) == len({b for _, b in edges})
+    assert {r.d: (r.direct, r.every - r.direct) for r in got} == _callers(edges, 3)
+
+
+def _far_edges(seed, hub):
+    dice = random.Random(seed)
+    far = lambda: dice.choice((1, 20_000, 60_000)) + dice.randrange(120)
+    return sorted({(far(), far()) for _ in range(500)} | {(1, far()) for _ in range(hub)} | {(far(), 1) for _ in range(hub)} | {(7, 7), (8, 9), (9, 8)})
+
+
+@pytest.mark.parametrize(("depth", "walks", "roots"), [(1, 9, 1), (2, 9, 1), (3, 50, 1), (3, 1 << 22, 40), (4, 1 << 22, 1)])
+def test_walks_of_a_batch_are_cut_at_whole_callers(monkeypatch, depth, walks, roots):
+    import numpy as np
+
+    monkeypatch.setattr(impact, "WALKS", walks)
+    edges = _far_edges(depth, 200)
+    s, d = np.array(edges).T
+    own = d % roots == 0
+    held = impact._Callers(s[own], d[own], depth)
+    for hop in range(2, depth + 1):
+        for block in np.unique(s >> 14):
+            held.meet(hop, s[s >> 14 == block], d[s >> 14 == block])
+    got = {r["d"]: (r["direct"], r["every"] - r["direct"]) for r in held.counts().to_pylist()}
+    assert got == {k: v for k, v in _callers(edges, depth).items() if k % roots == 0}
+
+
+def test_callers_of_all_hops_are_not_shuffled(spark, monkeypatch):
+    """A thin graph goes by lists, and what the last hop finds is counted in its task: bitmaps of 4 KB for each function were sent."""
+    monkeypatch.setattr(impact, "_by_bitmaps", lambda *a: pytest.fail("bitmaps"))
+    calls = spark.range(3000).selectExpr("id as src", "explode(array((id * 7 + 1) % 3000, (id * 11 + 5) % 3000)) as dst")
+    want = _callers([tuple(r) for r in calls.distinct().collect()], 3)
+    assert {r.id: (r.direct, r.transitive) for r in caller_counts(calls).collect()} == want
+
+
 def test_a_block_sends_a_bitmap_for_each_function_it_calls():
     """Not one for each call: 900 calls from 300 functions to 3, in two groups that are cut by batches."""
     import pyarrow as pa
