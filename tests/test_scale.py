@@ -85,6 +85,17 @@ def test_walks_of_a_batch_are_cut_at_whole_callers(monkeypatch, depth, walks, ro
     assert got == {k: v for k, v in _callers(edges, depth).items() if k % roots == 0}
 
 
+def test_sketches_of_a_thin_graph_are_not_sent(spark, monkeypatch):
+    """4 KB were sent for each function and block of callers; the lists give the same estimates."""
+    edges = _far_edges(3, 100)
+    begun = impact.known(spark.createDataFrame(edges, "src long, dst long"), 3)
+    want = {r.d: r.callers for r in impact._by_sketches(begun[1], 3, 12).collect()}
+    got = impact._by_lists(begun[1], begun[2], begun[3], 3, 2000, 12)
+    assert {r.d: r.callers for r in got.collect()} == want and len(want) == len({b for _, b in edges})
+    monkeypatch.setattr(impact, "_by_sketches", lambda *a: pytest.fail("sketches"))
+    caller_estimates(spark.range(3000).selectExpr("id as src", "id + 1 as dst"))
+
+
 def test_callers_of_all_hops_are_not_shuffled(spark, monkeypatch):
     """A thin graph goes by lists, and what the last hop finds is counted in its task: bitmaps of 4 KB for each function were sent."""
     monkeypatch.setattr(impact, "_by_bitmaps", lambda *a: pytest.fail("bitmaps"))
